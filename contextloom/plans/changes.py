@@ -8,10 +8,10 @@ from contextloom.sources.tables import table
 #: Common table expressions that give each snapshot's rows and its predecessor, in SQL.
 SNAPSHOT_SQL = r"""
 heads AS (
-  SELECT DISTINCT snapshot_id, repo, profile_name, git_branch, CAST(generated_at AS TIMESTAMPTZ) AS at, received_at
+  SELECT DISTINCT snapshot_id, repo, profile_name, git_branch, CAST(generated_at AS TIMESTAMPTZ) AS instant, received_at
   FROM snapshots WHERE snapshot_id IS NOT NULL),
 ordered AS (
-  SELECT snapshot_id, lag(snapshot_id) OVER (PARTITION BY repo, profile_name, git_branch ORDER BY at, received_at, snapshot_id) AS previous_id
+  SELECT snapshot_id, lag(snapshot_id) OVER (PARTITION BY repo, profile_name, git_branch ORDER BY instant, received_at, snapshot_id) AS previous_id
   FROM heads),
 cleaned AS (
   SELECT snapshot_id, regexp_replace(path, '^\./', '') AS path, received_at,
