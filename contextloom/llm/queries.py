@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from contextloom.llm.credentials import credential_spans, redacted_files
 from contextloom.llm.origin import source_origins
 from contextloom.sources.tables import table
 
@@ -14,5 +17,18 @@ def p1_origins(spark, sf_dir):
     return source_origins(table(spark, sf_dir, "files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins}
+def p4_found(spark, sf_dir):
+    return credential_spans(table(spark, sf_dir, "files")).select("file_id", "line_no").distinct()
+
+
+def p4_by_type(spark, sf_dir):
+    return credential_spans(table(spark, sf_dir, "files")).groupBy("secret_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
+
+
+def p4_redacted(spark, sf_dir):
+    masked = redacted_files(table(spark, sf_dir, "files").select("file_id", "path", "content"))
+    return masked.select("file_id", F.md5("content").alias("content_md5"), "found_redactions").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p4_found": p4_found, "p4_by_type": p4_by_type, "p4_redacted": p4_redacted}
 ORACLES: dict[str, str] = {}
