@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contextloom.llm.code_docs import function_docs
 from contextloom.llm.credentials import credential_spans, redacted_files
 from contextloom.llm.origin import source_origins
 from contextloom.sources.tables import table
@@ -17,6 +18,14 @@ def p1_origins(spark, sf_dir):
     return source_origins(table(spark, sf_dir, "files"))
 
 
+def p3_found(spark, sf_dir):
+    return function_docs(table(spark, sf_dir, "files"), texts=False)
+
+
+def p3_pairs(spark, sf_dir):
+    return function_docs(table(spark, sf_dir, "files"))
+
+
 def p4_found(spark, sf_dir):
     return credential_spans(table(spark, sf_dir, "files")).select("file_id", "line_no").distinct()
 
@@ -30,5 +39,5 @@ def p4_redacted(spark, sf_dir):
     return masked.select("file_id", F.md5("content").alias("content_md5"), "found_redactions").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p4_found": p4_found, "p4_by_type": p4_by_type, "p4_redacted": p4_redacted}
+QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_by_type": p4_by_type, "p4_redacted": p4_redacted}
 ORACLES: dict[str, str] = {}
