@@ -98,11 +98,3 @@ def signatures(texts: list[str | None]) -> list[np.ndarray | None]:
             flush()
     flush()
     return out
-
-
-def bands(sig: np.ndarray) -> list[int]:
-    """One 64-bit bucket key per band; the band's number is part of the key."""
-    return [
-        xxhash.xxh64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63)
-        for b in range(BANDS)
-    ]

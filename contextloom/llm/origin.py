@@ -37,10 +37,12 @@ MIN_DIR_SHARE = 0.5
 #: A name with at most this share of evident files is one that people use, whatever it looks like.
 MAX_KEPT_SHARE = 0.25
 SIMILARITY = 0.8
+ATTRIBUTE_FILE = ".gitattributes"
 
+_RULE = "struct<line: int, regex: string, attribute: string, value: boolean>"
 _MARKS = (
     "file_id long, repo string, path string, signed boolean, kept boolean, `foreign` boolean, dense boolean, "
-    "repetition double, literal double, is_code boolean, sig array<long>, bands array<long>"
+    f"repetition float, literal float, is_code boolean, sig array<int>, rules array<{_RULE}>"
 )
 
 
@@ -53,8 +55,11 @@ def _read_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks.insert(0, "repo", pdf["repo"].to_numpy())
         marks.insert(0, "file_id", pdf["file_id"].to_numpy())
         marks["is_code"] = [e in CODE for e in ext]
-        marks["sig"] = [None if s is None else s.astype("int64") for s in sigs]
-        marks["bands"] = [None if s is None else minhash.bands(s) for s in sigs]
+        marks["sig"] = [None if s is None else s.astype("uint32").view("int32") for s in sigs]
+        marks["rules"] = [
+            [dict(zip(("line", "regex", "attribute", "value"), rule)) for rule in parse_attributes(c)] if p.rsplit("/", 1)[-1] == ATTRIBUTE_FILE else None
+            for p, c in zip(pdf["path"], pdf["content"])
+        ]
         yield marks
 
 
@@ -66,19 +71,10 @@ def file_marks(files: DataFrame) -> DataFrame:
     return source.mapInPandas(_read_marks, _MARKS)
 
 
-def attribute_rules(files: DataFrame) -> DataFrame:
+def attribute_rules(told: DataFrame) -> DataFrame:
     """``repo, dir, line, regex, attribute, value`` of all attribute files; few rows, whatever the collection's size."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["repo", "dir", "line", "regex", "attribute", "value"]
-        for pdf in batches:
-            rows = [(r.repo, r.dir, *rule) for r in pdf.itertuples() for rule in parse_attributes(r.content)]
-            yield pd.DataFrame(rows, columns=columns)
-
-    found = files.where(F.col("path").rlike(r"(^|/)\.gitattributes$") & F.col("content").isNotNull() & F.col("repo").isNotNull())
-    return found.select("repo", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("dir"), "content").mapInPandas(
-        parse, "repo string, dir string, line int, regex string, attribute string, value boolean"
-    ).distinct()
+    rows = told.where(F.size("rules") > 0).select("repo", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("dir"), F.explode("rules").alias("rule"))
+    return rows.select("repo", "dir", "rule.*").distinct()
 
 
 def declared(paths: DataFrame, rules: DataFrame) -> DataFrame:
@@ -180,33 +176,36 @@ def in_foreign_dir(path: Column) -> Column:
     return F.exists(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda d: d.isin(sorted(FOREIGN_DIRS)))
 
 
-def foreign_copies(marks: DataFrame) -> DataFrame:
-    """``file_id`` of files outside that equal a known third-party file in ``SIMILARITY`` of their shingles or more.
+def foreign_copies(known: DataFrame, others: DataFrame) -> DataFrame:
+    """``file_id`` of the ``others`` that equal a ``known`` file in ``SIMILARITY`` of their shingles or more.
 
     Equal signatures among the known files collapse first. Each bucket names one of its known files; a
-    file that isn't similar enough to any of those is compared with all known files of its buckets.
+    file that isn't similar enough to any of those is compared with all known files of its buckets. Only
+    bucket keys and ids are joined; signatures are fetched for the few pairs that meet.
     """
-    known = marks.where(F.col("known_foreign") & F.col("sig").isNotNull()).groupBy("sig").agg(F.min("file_id").alias("known_id"), F.first("bands").alias("bands"))
-    known_rows = known.select("known_id", F.explode("bands").alias("band"))
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(minhash.BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * minhash.ROWS + 1, minhash.ROWS))))
+    known = known.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("file_id").alias("known_id"))
+    others = others.where(F.col("sig").isNotNull()).select("file_id", "sig")
+    known_rows = known.select("known_id", band.alias("band"))
     leaders = known_rows.groupBy("band").agg(F.min("known_id").alias("known_id"))
-    others = marks.where(~F.col("known_foreign") & F.col("sig").isNotNull())
-    rows = others.select("file_id", F.explode("bands").alias("band"))
+    rows = others.select("file_id", band.alias("band"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         agree = F.aggregate(F.zip_with("sig", "known_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
         return (
             pairs.distinct()
-            .join(others.select("file_id", "sig"), "file_id")
+            .join(others, "file_id")
             .join(known.select("known_id", F.col("sig").alias("known_sig")), "known_id")
             .where(agree >= F.lit(SIMILARITY * minhash.SLOTS))
             .select("file_id")
             .distinct()
         )
 
-    near = rows.join(leaders, "band").select("file_id", "known_id")
+    near = materialize(rows.join(leaders, "band").select("file_id", "known_id").distinct(), "origin-near")
     first = similar(near)
-    rest = rows.join(near.select("file_id").distinct(), "file_id", "left_semi").join(first, "file_id", "left_anti")
-    second = similar(rest.join(known_rows, "band").select("file_id", "known_id"))
+    rest = near.select("file_id").distinct().join(first, "file_id", "left_anti")
+    rest_rows = others.join(rest, "file_id", "left_semi").select("file_id", band.alias("band"))
+    second = similar(rest_rows.join(known_rows, "band").select("file_id", "known_id"))
     return first.union(second)
 
 
@@ -217,22 +216,33 @@ def source_origins(files: DataFrame) -> DataFrame:
     give one row. A null path or repo counts as an empty one, an empty text as hand-written unless its path
     says otherwise. Further columns are ignored; an empty table gives an empty result.
     """
-    rules = attribute_rules(files)
     told = materialize(file_marks(files), "origin-marks")
-    marks = told.dropDuplicates(["file_id"])
+    rules = attribute_rules(told)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    marks = marks.join(declared(marks.select("file_id", "repo", "path"), rules), "file_id", "left").withColumns(
+    looks_foreign = in_foreign_dir(F.col("path")) | F.col("foreign")
+    marks = told.drop("sig", "rules").dropDuplicates(["file_id"])
+    known = told.where(looks_foreign).select("file_id", "sig")
+    others = told.where(~looks_foreign).select("file_id", "sig")
+    if rules.isEmpty():
+        marks = marks.withColumns({"declared_generated": F.lit(None).cast("boolean"), "declared_vendored": F.lit(None).cast("boolean")})
+    else:
+        spoken = declared(marks.select("file_id", "repo", "path"), rules)
+        marks = marks.join(spoken, "file_id", "left")
+        said = spoken.where(F.col("declared_vendored").isNotNull()).select("file_id", "declared_vendored")
+        both = told.select("file_id", "sig", looks_foreign.alias("looks")).join(said, "file_id", "left").withColumn("known", F.coalesce("declared_vendored", "looks"))
+        known, others = both.where("known").select("file_id", "sig"), both.where("NOT known").select("file_id", "sig")
+    marks = marks.withColumns(
         {
             "stamped": (F.col("repetition") < STAMPED_OUT) & ~F.col("kept"),
-            "known_foreign": F.coalesce("declared_vendored", in_foreign_dir(F.col("path")) | F.col("foreign")),
+            "known_foreign": F.coalesce("declared_vendored", looks_foreign),
         }
     )
     marks = marks.withColumn("evident", F.coalesce("declared_generated", F.col("signed") | F.col("stamped")))
     patterns = mined_patterns(marks.where(~F.col("known_foreign") & ~F.col("dense")))
     verdicts = mined_verdicts(marks, patterns)
-    copies = foreign_copies(marks).withColumn("is_copy", F.lit(True))
+    copies = foreign_copies(known, others).withColumn("is_copy", F.lit(True))
     everything = (
-        marks.drop("sig", "bands")
+        marks
         .join(verdicts, "file_id", "left")
         .join(copies, "file_id", "left")
     )
