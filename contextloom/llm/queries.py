@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from contextloom.llm.code_docs import function_docs
 from contextloom.llm.credentials import credential_spans, redacted_files
+from contextloom.llm.leakage import leaked_items
 from contextloom.llm.origin import source_origins
+from contextloom.llm.splitting import file_pieces, oversized, piece_texts, run_pieces
 from contextloom.sources.tables import table
 
 
@@ -18,6 +20,32 @@ def p1_origins(spark, sf_dir):
     return source_origins(table(spark, sf_dir, "files"))
 
 
+def _run_tables(spark, sf_dir):
+    return [table(spark, sf_dir, name) for name in ("files", "runs", "run_files")]
+
+
+def p2_found(spark, sf_dir):
+    return run_pieces(*_run_tables(spark, sf_dir)).select("run_id", "file_id").distinct()
+
+
+def p2_pieces(spark, sf_dir):
+    return run_pieces(*_run_tables(spark, sf_dir))
+
+
+def p2_texts(spark, sf_dir):
+    files, runs, run_files = _run_tables(spark, sf_dir)
+    texts = piece_texts(files, file_pieces(files, oversized(files, runs, run_files)))
+    return texts.select("file_id", "max_tokens", "overlap_tokens", "piece_no", F.expr("octet_length(text) div 4").alias("tokens"), F.md5("text").alias("text_md5"))
+
+
+P2_SQL = """
+WITH limits AS (SELECT run_id, max(max_tokens) AS max_tokens FROM runs WHERE max_tokens > 0 GROUP BY run_id),
+lengths AS (SELECT file_id, max(strlen(content)) AS n_bytes FROM files WHERE content IS NOT NULL GROUP BY file_id)
+SELECT DISTINCT m.run_id, m.file_id
+FROM run_files m JOIN limits l USING (run_id) JOIN lengths b USING (file_id)
+WHERE b.n_bytes // 4 > l.max_tokens"""
+
+
 def p3_found(spark, sf_dir):
     return function_docs(table(spark, sf_dir, "files"), texts=False)
 
@@ -30,6 +58,14 @@ def p4_found(spark, sf_dir):
     return credential_spans(table(spark, sf_dir, "files")).select("file_id", "line_no").distinct()
 
 
+def p7_found(spark, sf_dir):
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark, sf_dir):
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions"), renamed=True)
+
+
 def p4_by_type(spark, sf_dir):
     return credential_spans(table(spark, sf_dir, "files")).groupBy("secret_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
@@ -39,5 +75,8 @@ def p4_redacted(spark, sf_dir):
     return masked.select("file_id", F.md5("content").alias("content_md5"), "found_redactions").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_origins": p1_origins, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_by_type": p4_by_type, "p4_redacted": p4_redacted}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    query.__name__: query
+    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p7_found, p7_leaks)
+}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL}

@@ -26,7 +26,7 @@ TOKEN_BYTES = 4
 FILL = 0.5
 LINE_PART, LINE, PARAGRAPH, BLOCK = 0, 1, 2, 3
 _TOP_LEVEL = re.compile(
-    rb"(?:[ \t]*(?:pub(?:\([^)]*\))?|export|default|async|static|public|private|protected|final|abstract|unsafe|inline|extern|const)[ \t]+)*[ \t]*(?:func|fn|def|class|interface|struct|enum|impl|trait|type|function|module|namespace|template|#{1,6}[ \t])\b?|[A-Za-z_][\w:<>,*& \t]*\([^;]*\{[ \t]*\r?$|\S.*\{[ \t]*\r?$"
+    rb"(?:[ \t]*(?:pub(?:\([^)]*\))?|export|default|async|static|public|private|protected|final|abstract|unsafe|inline|extern|const)[ \t]+)*[ \t]*(?:func|fn|def|class|interface|struct|enum|impl|trait|type|function|module|namespace|template|#{1,6})[ \t]|[A-Za-z_][\w:<>,*& \t]*\([^;]*\{[ \t]*\r?$|\S.*\{[ \t]*\r?$"
 )
 _LEAD = re.compile(rb"[ \t]*(?://|/\*|\*|#|@|\"\"\")")
 
@@ -98,7 +98,7 @@ def successors(offsets: np.ndarray, kinds: np.ndarray, limit: int, overlap: int)
     for kind in (BLOCK, PARAGRAPH, LINE):
         of_kind = np.flatnonzero(kinds >= kind)
         candidate = of_kind[np.maximum(np.searchsorted(of_kind, reach, side="right") - 1, 0)]
-        take = undecided & (candidate > np.arange(n)) & (offsets[candidate] >= least)
+        take = undecided & (candidate > np.arange(n)) & (candidate <= reach) & (offsets[candidate] >= least)
         best[take] = candidate[take]
         undecided &= ~take
     return best
