@@ -8,6 +8,7 @@ from contextloom.llm.code_docs import function_docs
 from contextloom.llm.credentials import credential_spans, redacted_files
 from contextloom.llm.leakage import leaked_items
 from contextloom.llm.origin import source_origins
+from contextloom.llm.packing import fill_report, packed
 from contextloom.llm.splitting import file_pieces, oversized, piece_texts, run_pieces
 from contextloom.sources.tables import table
 
@@ -58,6 +59,19 @@ def p4_found(spark, sf_dir):
     return credential_spans(table(spark, sf_dir, "files")).select("file_id", "line_no").distinct()
 
 
+def _packing_tables(spark, sf_dir):
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
+
+
+def p6_assignment(spark, sf_dir):
+    return packed(*_packing_tables(spark, sf_dir))
+
+
+def p6_fill(spark, sf_dir):
+    documents, containers = _packing_tables(spark, sf_dir)
+    return fill_report(packed(documents, containers), containers)
+
+
 def p7_found(spark, sf_dir):
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id").distinct()
 
@@ -77,6 +91,6 @@ def p4_redacted(spark, sf_dir):
 
 QUERIES = {
     query.__name__: query
-    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p7_found, p7_leaks)
+    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks)
 }
 ORACLES: dict[str, str] = {"p2_found": P2_SQL}
