@@ -9,6 +9,7 @@ from contextloom.llm.credentials import credential_spans, redacted_files
 from contextloom.llm.leakage import leaked_items
 from contextloom.llm.origin import source_origins
 from contextloom.llm.packing import fill_report, packed
+from contextloom.llm.reading_level import demanding_documents, reading_levels
 from contextloom.llm.splitting import file_pieces, oversized, piece_texts, run_pieces
 from contextloom.sources.tables import table
 
@@ -80,6 +81,14 @@ def p7_leaks(spark, sf_dir):
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions"), renamed=True)
 
 
+def p8_found(spark, sf_dir):
+    return demanding_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
+def p8_levels(spark, sf_dir):
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
 def p4_by_type(spark, sf_dir):
     return credential_spans(table(spark, sf_dir, "files")).groupBy("secret_type").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
@@ -91,6 +100,6 @@ def p4_redacted(spark, sf_dir):
 
 QUERIES = {
     query.__name__: query
-    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks)
+    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks, p8_found, p8_levels)
 }
 ORACLES: dict[str, str] = {"p2_found": P2_SQL}
