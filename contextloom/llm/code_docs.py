@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.code_spans import LANGUAGES, documented, spans_of
+from contextloom.functions.code_spans import LANGUAGES, documented, spans_of
 from contextloom.llm.origin_marks import extension
 
 #: A documentation needs so many words that aren't in the function's name.
