@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from contextloom.operators.snapshots import snapshot_changes
+import uuid
+
+from pyspark.sql import functions as F
+
+from contextloom.operators import changes as ops
+from contextloom.operators.snapshots import normal_hash, normal_path, series_positions, snapshot_changes
+from contextloom.operators.workflows import snapshot_listing, workspace_edges
 from contextloom.sources.tables import table
+from contextloom.storage import shared_dir
+from contextloom.streaming import changes as streaming
 
 #: Common table expressions that give each snapshot's rows and its predecessor, in SQL.
 SNAPSHOT_SQL = r"""
@@ -38,5 +46,90 @@ def p5_found(spark, sf_dir):
     return snapshot_changes(table(spark, sf_dir, "snapshots"), table(spark, sf_dir, "snapshot_files"))
 
 
-QUERIES = {"p5_found": p5_found}
-ORACLES = {"p5_found": P5_SQL}
+#: A name-status listing, for the parser.
+LISTING = ("A\tsrc/new.go", "M\tREADME.md", "D\tdocs/old.md", "R100\tlib/a.py\tlib/b.py", "C075\tsrc/x.ts\tsrc/y.ts", "R061\tREADME.md\tdocs/README.md")
+
+
+def snapshot_change_counts(spark, sf_dir):
+    """Added, modified, deleted paths of each snapshot that changed anything."""
+    return p5_found(spark, sf_dir).groupBy("snapshot_id").agg(*[F.sum((F.col("change_kind") == k).cast("long")).alias(f"n_{k}") for k in ("added", "modified", "deleted")])
+
+
+def _ends(spark, sf_dir):
+    """Rows of the first and of the last snapshot of each series."""
+    places = series_positions(table(spark, sf_dir, "snapshots"))
+    rows = table(spark, sf_dir, "snapshot_files").where("path IS NOT NULL").select("snapshot_id", normal_path(F.col("path")).alias("path"), normal_hash(F.col("content_hash")).alias("hash"))
+    joined = rows.join(places, "snapshot_id")
+    return [joined.where(w).select("series", "path", "hash") for w in ("pos = 1", "next_id IS NULL")]
+
+
+def state_compare(spark, sf_dir):
+    """The first state of each series against its last, all kinds of change."""
+    return ops.compared_states(*_ends(spark, sf_dir), "series").groupBy("change").agg(F.count("*").alias("n"))
+
+
+def _listing(spark):
+    return ops.name_status(spark.createDataFrame([(x,) for x in LISTING], "line string"))
+
+
+def git_name_status(spark, sf_dir):
+    return _listing(spark)
+
+
+def git_changes(spark, sf_dir):
+    return ops.changes_of_status(_listing(spark))
+
+
+def change_summary(spark, sf_dir):
+    """The summary of each snapshot's changes as Markdown; lists are ordered by path."""
+    listed = p5_found(spark, sf_dir).groupBy("snapshot_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("change_kind") == k, F.col("path")))).alias(k) for k in ("added", "modified", "deleted")])
+    return listed.select("snapshot_id", F.md5(ops.summary_markdown(F.col("added"), F.col("modified"), F.col("deleted"), F.lit(0))).alias("summary_md5"))
+
+
+def cached_states(spark, sf_dir):
+    return snapshot_listing(table(spark, sf_dir, "snapshots")).select("repo", "profile_name", "n_snapshots", "head")
+
+
+def workspace_links(spark, sf_dir):
+    """Repositories of a workspace with their integrations: here, repositories whose runs share a target."""
+    runs = table(spark, sf_dir, "runs").select("repo", "target").where("target IS NOT NULL").distinct()
+    lists = runs.groupBy("repo").agg(F.collect_set(F.concat(F.lit("target/"), "target")).alias("integrates_with")).withColumnRenamed("repo", "name")
+    return workspace_edges(lists)
+
+
+def streamed_changes(spark, sf_dir):
+    """The files table as a stream of deliveries, followed to its end."""
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "files").schema
+    query = streaming.follow_changes(streaming.delivered(spark, f"{sf_dir}/files.parquet*", schema), folder, f"{folder}/checkpoint")
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/changes").groupBy("change").agg(F.count("*").alias("n"))
+
+
+_STATUS = """WITH l(path, old_path, status) AS (VALUES ('src/new.go', NULL, 'added'), ('README.md', NULL, 'modified'), ('docs/old.md', NULL, 'deleted'), ('lib/b.py', 'lib/a.py', 'renamed'),
+  ('src/y.ts', NULL, 'added'), ('docs/README.md', 'README.md', 'renamed'))"""
+_LIST = lambda title, kind: f"CASE WHEN count(*) FILTER (change_kind = '{kind}') > 0 THEN chr(10) || '### {title} Files' || chr(10) || string_agg('- `' || path || '`' || chr(10), '' ORDER BY path) FILTER (change_kind = '{kind}') ELSE '' END"
+
+QUERIES = {
+    f.__name__: f
+    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, cached_states, workspace_links, streamed_changes)
+}
+ORACLES = {
+    "p5_found": P5_SQL,
+    "snapshot_change_counts": f"SELECT snapshot_id, " + ", ".join(f"sum((change_kind = '{k}')::INT)::BIGINT AS n_{k}" for k in ("added", "modified", "deleted")) + f" FROM ({P5_SQL}) GROUP BY snapshot_id",
+    "git_name_status": f"{_STATUS} SELECT * FROM l",
+    "git_changes": f"{_STATUS} SELECT path, status AS change FROM l WHERE status <> 'renamed' UNION SELECT old_path, 'deleted' FROM l WHERE status = 'renamed' UNION SELECT path, 'added' FROM l WHERE status = 'renamed'",
+    "change_summary": f"""SELECT snapshot_id, md5('**' || count(*) FILTER (change_kind = 'added') || ' added** | **' || count(*) FILTER (change_kind = 'modified') || ' modified** | **'
+        || count(*) FILTER (change_kind = 'deleted') || ' deleted** (0 unchanged)' || chr(10) || {_LIST('Added', 'added')} || {_LIST('Modified', 'modified')} || {_LIST('Deleted', 'deleted')}) AS summary_md5
+        FROM ({P5_SQL}) GROUP BY snapshot_id""",
+    "workspace_links": "SELECT DISTINCT repo AS src, 'target/' || target AS dst, FALSE AS is_known FROM runs WHERE target IS NOT NULL",
+    "cached_states": """WITH s AS (SELECT DISTINCT snapshot_id, repo, profile_name, CAST(generated_at AS TIMESTAMPTZ) AS instant, coalesce(git_head_sha, '') AS head FROM snapshots WHERE snapshot_id IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY repo, profile_name ORDER BY instant DESC, snapshot_id DESC) AS k FROM s)
+        SELECT repo, profile_name, count(DISTINCT snapshot_id) AS n_snapshots, substring(max(CASE WHEN k = 1 THEN head END), 1, 7) AS head FROM r GROUP BY repo, profile_name""",
+    "state_compare": f"""WITH {SNAPSHOT_SQL},
+        e AS (SELECT h.snapshot_id, h.repo, h.profile_name, h.git_branch, row_number() OVER w AS a, count(*) OVER (PARTITION BY repo, profile_name, git_branch) AS n FROM heads h WINDOW w AS (PARTITION BY repo, profile_name, git_branch ORDER BY instant, received_at, snapshot_id)),
+        x AS (SELECT repo, profile_name, git_branch, path, max(hash) AS hash FROM cleaned c JOIN e ON e.snapshot_id = c.snapshot_id WHERE a = 1 GROUP BY ALL),
+        y AS (SELECT repo, profile_name, git_branch, path, max(hash) AS hash FROM cleaned c JOIN e ON e.snapshot_id = c.snapshot_id WHERE a = n GROUP BY ALL)
+        SELECT CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' WHEN x.hash IS NOT DISTINCT FROM y.hash THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n
+        FROM x FULL JOIN y ON x.repo = y.repo AND x.profile_name = y.profile_name AND x.git_branch = y.git_branch AND x.path = y.path GROUP BY 1""",
+}
