@@ -34,6 +34,7 @@ _BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 _MASKED = re.compile(r"\[REDACTED:[^\]]*\]")
 _TOKEN = re.compile(r"[^ \t=:\"']+")
+_LONG_TOKEN = re.compile(r"[^ \t=:\"'\n]{8,}")
 _HEX, _ALNUM, _BASE64 = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9A-Za-z]+"), re.compile(r"[0-9A-Za-z+/=_-]+")
 
 
@@ -68,6 +69,9 @@ def scan_text(text: str | None, rules: tuple[Rule, ...], threshold: str, sensiti
     level = CONFIDENCE_LEVELS.get(threshold, 0) - bool(sensitive)
     active = [r for r in rules if CONFIDENCE_LEVELS[r.confidence] >= level]
     by_entropy = sensitive or level <= 0
+    words = sorted({k for r in active for k in r.lowered}, key=len)
+    every = any(not r.lowered for r in active)
+    hint = re.compile("|".join(re.escape(w) for w in words)) if words else None
     out, found, inside = [], [], False
     for number, line in enumerate(text.split("\n"), 1):
         if inside:
@@ -81,7 +85,7 @@ def scan_text(text: str | None, rules: tuple[Rule, ...], threshold: str, sensiti
             continue
         lowered = line.lower()
         hits = []
-        for order, rule in enumerate(active):
+        for order, rule in enumerate(active) if every or hint and hint.search(lowered) else ():
             if rule.lowered and not any(k in lowered for k in rule.lowered):
                 continue
             for m in rule.regex.finditer(line):
@@ -98,7 +102,7 @@ def scan_text(text: str | None, rules: tuple[Rule, ...], threshold: str, sensiti
             at = end
         line = "".join([*pieces, line[at:]])
         found += masked
-        if by_entropy and len(line) >= 16:
+        if by_entropy and _LONG_TOKEN.search(line):
             line, more = _by_entropy(line, number, level)
             found += more
         out.append(line)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from contextloom.functions.signatures import compressed, signatures
 from contextloom.functions.tables import COMPRESSED_MARK, COMPRESSOR_LANGUAGES, SIGNATURE_PATTERNS
 from contextloom.functions.text import ending, lookup
+from contextloom.sources.tables import spread
 
 _SOURCES = ("go", "python", "rust", "java", "c", "cpp", "typescript", "javascript")
 
@@ -41,7 +42,7 @@ def compressed_files(files: DataFrame, engine: str = "auto") -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "path", "language", "status", "n_signatures", "original_bytes", "compressed_bytes", "content"])
 
     source = files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull()).select("file_id", "path", compressor_language(F.col("path")).alias("language"), "content")
-    return source.mapInPandas(run, "file_id long, path string, language string, status string, n_signatures long, original_bytes long, compressed_bytes long, content string")
+    return spread(source, "file_id").mapInPandas(run, "file_id long, path string, language string, status string, n_signatures long, original_bytes long, compressed_bytes long, content string")
 
 
 def signature_rows(files: DataFrame, engine: str = "auto") -> DataFrame:
@@ -55,7 +56,7 @@ def signature_rows(files: DataFrame, engine: str = "auto") -> DataFrame:
 
     language = compressor_language(F.col("path"))
     source = files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull() & language.isin(*_SOURCES)).select("file_id", language.alias("language"), "content")
-    return source.mapInPandas(run, "file_id long, kind string, name string, source string, start_line int, end_line int").distinct()
+    return spread(source, "file_id").mapInPandas(run, "file_id long, kind string, name string, source string, start_line int, end_line int").distinct()
 
 
 def declaration_lines(files: DataFrame) -> DataFrame:
@@ -64,15 +65,19 @@ def declaration_lines(files: DataFrame) -> DataFrame:
     First pattern of the language wins; indented lines count in Python only.
     """
     language = compressor_language(F.col("path"))
+    source = files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull() & language.isin(*_SOURCES)).select("file_id", language.alias("language"), "content")
     lines = (
-        files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull() & language.isin(*_SOURCES))
-        .select("file_id", language.alias("language"), F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+        spread(source, "file_id")
+        .select("file_id", "language", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
         .where((F.col("language") == "python") | ~F.col("line").rlike(r"^\s"))
     )
     bare = F.when(F.col("language") == "python", F.trim("line")).otherwise(F.col("line"))
     kind = F.lit(None).cast("string")
-    for lang, name, pattern in reversed(SIGNATURE_PATTERNS):
-        kind = F.when((F.col("language") == lang) & bare.rlike(pattern), F.lit(name)).otherwise(kind)
+    for lang in _SOURCES:
+        of_language = F.lit(None).cast("string")
+        for _, name, pattern in reversed([p for p in SIGNATURE_PATTERNS if p[0] == lang]):
+            of_language = F.when(bare.rlike(pattern), F.lit(name)).otherwise(of_language)
+        kind = F.when(F.col("language") == lang, of_language).otherwise(kind)
     return lines.select("file_id", (F.col("pos") + 1).alias("line_no"), kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from contextloom.functions.globs import any_regex, glob_regex
 from contextloom.functions.rules import BUILT_IN, Rule, scan_text
 from contextloom.operators.discovery import is_sensitive_file
+from contextloom.sources.tables import spread
 
 
 def _prepared(files: DataFrame, exclude: Sequence[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def redaction_matches(files: DataFrame, threshold: str = "medium", custom: Seque
 
     schema = "file_id long, line_no int, start_col int, end_col int, rule_id string, secret_type string, confidence string"
     source = _prepared(files, exclude).where(~F.col("skipped") & F.col("content").isNotNull())
-    return source.select("file_id", "content", "sensitive").mapInPandas(scan, schema).distinct()
+    return spread(source.select("file_id", "content", "sensitive"), "file_id").mapInPandas(scan, schema).distinct()
 
 
 def redacted_contents(files: DataFrame, threshold: str = "medium", custom: Sequence[Rule] = (), exclude: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +52,7 @@ def redacted_contents(files: DataFrame, threshold: str = "medium", custom: Seque
             done = [(c, []) if s else scan_text(c, rules, threshold, x) for c, x, s in zip(pdf["content"], pdf["sensitive"], pdf["skipped"])]
             yield pd.DataFrame({"file_id": pdf["file_id"], "path": pdf["path"], "content": [t for t, _ in done], "n_redactions": [len(m) for _, m in done]})
 
-    return _prepared(files, exclude).mapInPandas(mask, "file_id long, path string, content string, n_redactions long")
+    return spread(_prepared(files, exclude), "file_id").mapInPandas(mask, "file_id long, path string, content string, n_redactions long")
 
 
 def redaction_summary(matches: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def rule_hits(files: DataFrame, rules: Sequence[Rule] = BUILT_IN) -> DataFrame:
         for k in rule.lowered:
             guard = guard | F.contains(lowered, F.lit(k))
         counts.append(F.when(guard, hits).otherwise(F.lit(0).cast("long")))
-    per_file = files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull()).select("file_id", F.array(*counts).alias("h")).groupBy("file_id").agg(F.max("h").alias("h"))
+    texts = spread(files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull()).select("file_id", "content"), "file_id")
+    per_file = texts.select("file_id", F.array(*counts).alias("h")).groupBy("file_id").agg(F.max("h").alias("h"))
     named = F.arrays_zip(F.array(*[F.lit(r.rule_id) for r in rules]).alias("rule_id"), F.col("h").alias("n"))
     rows = per_file.select(F.explode(named).alias("r")).select(F.col("r.rule_id").alias("rule_id"), F.col("r.n").alias("n"))
     return rows.groupBy("rule_id").agg(F.sum((F.col("n") > 0).cast("long")).alias("n_files"), F.sum("n").alias("n_hits"))

@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by hash of ``key`` over all cores where its source has fewer splits than that, else as it is.
+
+    Parsing texts is slow work, and a small table may be one file with one row group. A large one has more
+    splits than the cluster has cores and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def distinct_rows(df: DataFrame, key: str, *, latest: str | None = None) -> DataFrame:
     """One row per ``key`` for narrow tables whose rows may be delivered again.
 
