@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contextloom.functions.code_spans import LANGUAGES, documented, spans_of
 from contextloom.llm.origin_marks import extension
+from contextloom.sources.tables import spread
 
 #: A documentation needs so many words that aren't in the function's name.
 LEAST_WORDS = 4
@@ -95,4 +96,4 @@ def function_docs(files: DataFrame, *, texts: bool = True) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     schema = "file_id long, fn_line int, fn_name string" + ", code string, description string" * texts
-    return source.mapInPandas(extract, schema).dropDuplicates(["file_id", "fn_line", "fn_name"])
+    return spread(source, "file_id").mapInPandas(extract, schema).dropDuplicates(["file_id", "fn_line", "fn_name"])

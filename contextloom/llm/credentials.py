@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from contextloom.llm.credential_grammar import find_credentials, line_of, line_starts, redact
 from contextloom.llm.origin_marks import extension
+from contextloom.sources.tables import spread
 
 # Endings of files in which a bare word after ``=`` is a variable.
 PROGRAM_ENDINGS = frozenset("go py java ts tsx js jsx mjs cjs c h cc cpp cxx hpp rs kt scala swift cs php rb".split())
@@ -40,7 +41,7 @@ def credential_spans(files: DataFrame) -> DataFrame:
     further columns are ignored.
     """
     source = files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull()).select("file_id", "path", "content")
-    return source.mapInPandas(_find, "file_id long, line_no int, secret_type string, `start` long, `end` long").distinct()
+    return spread(source, "file_id").mapInPandas(_find, "file_id long, line_no int, secret_type string, `start` long, `end` long").distinct()
 
 
 def redacted_files(files: DataFrame) -> DataFrame:

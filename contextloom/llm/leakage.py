@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contextloom.sources.tables import spread
+
 #: Words in a row that make a leak.
 WINDOW = 12
 #: A word of so many items is part of their templates; rarer ones fill slots.
@@ -167,4 +169,4 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, renamed: bool = Fals
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "how"])
 
     source = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return source.mapInPandas(scan, "doc_id long, item_id long, how string").distinct()
+    return spread(source, "doc_id").mapInPandas(scan, "doc_id long, item_id long, how string").distinct()

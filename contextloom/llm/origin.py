@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from contextloom.llm import minhash
 from contextloom.llm.globs import parse_attributes
 from contextloom.llm.origin_marks import CODE, FOREIGN_DIRS, LOCK_NAMES, content_marks, extension
+from contextloom.sources.tables import spread
 from contextloom.storage import materialize
 
 #: Below this share of distinct line runs, code is stamped out from templates.
@@ -68,7 +69,7 @@ def file_marks(files: DataFrame) -> DataFrame:
     source = files.where(F.col("content").isNotNull() & F.col("file_id").isNotNull()).select(
         "file_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("path", F.lit("")).alias("path"), "content"
     )
-    return source.mapInPandas(_read_marks, _MARKS)
+    return spread(source, "file_id").mapInPandas(_read_marks, _MARKS)
 
 
 def attribute_rules(told: DataFrame) -> DataFrame:

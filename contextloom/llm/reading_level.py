@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.llm.prose import sentences
+from contextloom.sources.tables import spread
 from contextloom.storage import materialize
 
 LEVELS = 5
@@ -173,7 +174,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield out.astype({"level": "Int32", "demanding_share": "float64", "is_english": bool})
 
     source = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", named_language(F.col("lang")).alias("language"))
-    return source.mapInPandas(score, "doc_id long, level int, demanding_share double, is_english boolean").dropDuplicates(["doc_id"])
+    return spread(source, "doc_id").mapInPandas(score, "doc_id long, level int, demanding_share double, is_english boolean").dropDuplicates(["doc_id"])
 
 
 def demanding_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contextloom.sources.tables import spread
+
 #: Bytes of a token, by the estimate that needs no tokenizer.
 TOKEN_BYTES = 4
 #: A stronger kind of boundary is preferred if the piece is filled this far.
@@ -169,7 +171,7 @@ def file_pieces(files: DataFrame, big: DataFrame) -> DataFrame:
             yield pd.DataFrame({"file_id": pdf["file_id"], "offsets": [o for o, _ in found], "kinds": [k.astype("int16") for _, k in found]})
 
     source = files.where(F.col("content").isNotNull() & (F.octet_length("content") >= smallest)).select("file_id", "content")
-    table = source.mapInPandas(read, "file_id long, offsets array<int>, kinds array<smallint>").dropDuplicates(["file_id"])
+    table = spread(source, "file_id").mapInPandas(read, "file_id long, offsets array<int>, kinds array<smallint>").dropDuplicates(["file_id"])
     schema = "file_id long, max_tokens long, overlap_tokens long, piece_no long, n_pieces long, cut_start long, cut_end long"
     return settings.join(table, "file_id").select("file_id", "max_tokens", "overlap_tokens", "offsets", "kinds").mapInPandas(_cut, schema)
 
