@@ -146,7 +146,8 @@ def is_secret_value(value: str, *, quoted: bool, free: bool = False) -> bool:
     if " " in v and not (special and digits and v.count(" ") <= 1):
         return False
     if _IDENTIFIER.fullmatch(plain):
-        return mixed and len(plain) >= 16 and not re.search(r"[_. -]", plain) and sum(map(str.isupper, plain)) >= 4
+        upper, lower = sum(map(str.isupper, plain)), sum(map(str.islower, plain))
+        return len(plain) >= 10 and min(upper, lower) >= 0.3 * (upper + lower) or mixed and len(plain) >= 16 and upper >= 4 and not re.search(r"[_. -]", plain)
     if not letters:
         return digits and special and len(set(v)) >= 5
     if free:
@@ -348,7 +349,7 @@ def find_credentials(text: str | None, code: bool = False) -> list[Span]:
             if _CLIENTS.search(line) and is_secret_value(m.group(1), quoted=False, free=True):
                 found.add(Span(m.start(1), m.end(1), "password"))
     kept: list[Span] = []
-    for span in sorted(found, key=lambda s: (s.start, -s.end, s.kind)):
+    for span in sorted(found, key=lambda s: (s.start, -s.end, s.kind.startswith(("generic", "password")), s.kind)):
         if kept and span.start < kept[-1].end:
             continue
         kept.append(span)
