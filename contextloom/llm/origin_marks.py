@@ -71,6 +71,7 @@ PROSE = frozenset("md markdown rst txt adoc".split())
 HEAD_LINES = 24
 _COMMENT = re.compile(r"^\s*(?://|/\*|\*|#(?!!)|<!--|--|;|%|\"\"\"|''')")
 _STRING = re.compile(r"\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'")
+_TEMPLATE = re.compile(r"`[^`]*`")
 _RUN = re.compile(r"x[x0]*|0[x0]*")
 _TO_SHAPE = {ord(c): "x" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"} | {ord(c): "0" for c in "0123456789"} | {ord(c): None for c in "-+. \t\r"}
 _BANNER = re.compile(r"/\*!?.*?\*/|//[^\n]*", re.S)
@@ -126,8 +127,8 @@ def literal_share(text: str, lines: list[str]) -> float:
 
 
 def is_dense(text: str) -> bool:
-    """Whether the code, banners aside, is squeezed into long lines with hardly a space."""
-    body = _BANNER.sub("", text).strip()
+    """Whether the code, banners and strings aside, is squeezed into long lines with hardly a space."""
+    body = _BANNER.sub("", _TEMPLATE.sub("", _STRING.sub("", text))).strip()
     if len(body) < 120:
         return False
     lines = [line for line in body.split("\n") if line.strip()]
