@@ -77,6 +77,8 @@ _TO_SHAPE = {ord(c): "x" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRS
 _BANNER = re.compile(r"/\*!?.*?\*/|//[^\n]*", re.S)
 #: A line of data: this long and with hardly a space.
 DATA_LINE = 160
+#: A line of squeezed code.
+SQUEEZED_LINE = 80
 #: Lines in a block over which repetition is measured, so that long files aren't judged by their length.
 BLOCK = 48
 GRAM = 3
@@ -132,7 +134,7 @@ def is_dense(text: str) -> bool:
     if len(body) < 120:
         return False
     lines = [line for line in body.split("\n") if line.strip()]
-    long_bytes = sum(len(line) for line in lines if len(line) >= 120)
+    long_bytes = sum(len(line) for line in lines if len(line) >= SQUEEZED_LINE)
     spaces = sum(body.count(c) for c in " \t\n")
     return long_bytes >= 0.7 * len(body) and spaces <= 0.14 * len(body)
 
