@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contextloom.functions.text import xml_attribute
+
 
 def compared_states(previous: DataFrame, current: DataFrame, *keys: str) -> DataFrame:
     """``keys, path, change``: a full outer hash join on path; ``added``, ``modified``, ``deleted`` or ``unchanged``.
@@ -61,3 +63,14 @@ def summary_markdown(added: Column, modified: Column, deleted: Column, unchanged
     counts = F.format_string("**%d added** | **%d modified** | **%d deleted** (%d unchanged)\n", F.size(added), F.size(modified), F.size(deleted), unchanged)
     nothing = F.size(added) + F.size(modified) + F.size(deleted) == 0
     return F.when(nothing, F.lit("No changes detected since last run.\n")).otherwise(F.concat(counts, listed("Added", added), listed("Modified", modified), listed("Deleted", deleted)))
+
+
+def summary_xml(added: Column, modified: Column, deleted: Column, unchanged: Column) -> Column:
+    """The change summary of ordered path arrays as XML."""
+
+    def listed(tag: str, paths: Column) -> Column:
+        items = F.array_join(F.transform(paths, lambda p: F.concat(F.lit('    <file path="'), xml_attribute(p), F.lit('"/>\n'))), "")
+        return F.when(F.size(paths) > 0, F.concat(F.lit(f"  <{tag}_files>\n"), items, F.lit(f"  </{tag}_files>\n"))).otherwise("")
+
+    counts = F.format_string('  <counts added="%d" modified="%d" deleted="%d" unchanged="%d"/>\n', F.size(added), F.size(modified), F.size(deleted), unchanged)
+    return F.concat(F.lit("<change_summary>\n"), counts, listed("added", added), listed("modified", modified), listed("deleted", deleted), F.lit("</change_summary>\n"))

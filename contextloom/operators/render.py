@@ -74,3 +74,25 @@ def repository_hash(files: DataFrame) -> DataFrame:
     """
     per_file = files.where(F.col("content").isNotNull() & F.col("path").isNotNull() & F.col("repo").isNotNull()).select("repo", "path", F.md5("content").alias("digest")).groupBy("repo", "path").agg(F.max("digest").alias("digest"))
     return per_file.groupBy("repo").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat(x["path"], F.lit(":"), x["digest"])), "\n")).alias("content_hash"))
+
+
+def xml_documents(blocks: DataFrame, max_files: int = 5_000) -> DataFrame:
+    """``repo, document``: each repository's XML elements in order of tier and path; see ``documents`` for the limit."""
+    grouped = blocks.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
+    checked = F.when(F.size("b") > max_files, F.raise_error(F.lit("too many files for one document; split it"))).otherwise(F.col("b"))
+    body = F.array_join(F.transform(checked, lambda x: x["block"]), "\n")
+    return grouped.select("repo", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<repository>\n<files>\n'), body, F.lit("\n</files>\n</repository>\n")).alias("document"))
+
+
+def parsed_xml(docs: DataFrame, document: str = "document") -> DataFrame:
+    """The columns of ``docs`` but the document, and ``path, content, redactions`` of each file element."""
+    body = F.regexp_extract(F.col(document), r"(?s)<files>\n(.*)\n</files>", 1)
+    pieces = F.slice(F.split(body, r'(?:^|\]\]>\n</file>\n)<file path="'), 2, 2_000_000_000)
+    rest = [c for c in docs.columns if c != document]
+    rows = docs.select(*rest, F.explode(pieces).alias("piece"))
+    path = F.regexp_extract("piece", r'^([^"]*)"', 1)
+    for raw, escaped in (("'", "&apos;"), ('"', "&quot;"), (">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
+        path = F.replace(path, F.lit(escaped), F.lit(raw))
+    inner = F.regexp_replace(F.regexp_extract("piece", r"(?s)^[^>]*>\n<!\[CDATA\[(.*)$", 1), r"\]\]>\n</file>$", "")
+    out = rows.select(*rest, path.alias("path"), F.replace(inner, F.lit("]]]]><![CDATA[>"), F.lit("]]>")).alias("content"))
+    return out.withColumn("redactions", F.size(F.regexp_extract_all("content", F.lit(r"\[REDACTED:[^\]]*\]"), F.lit(0))))

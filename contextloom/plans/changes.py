@@ -86,6 +86,11 @@ def change_summary(spark, sf_dir):
     return listed.select("snapshot_id", F.md5(ops.summary_markdown(F.col("added"), F.col("modified"), F.col("deleted"), F.lit(0))).alias("summary_md5"))
 
 
+def change_summary_xml(spark, sf_dir):
+    listed = p5_found(spark, sf_dir).groupBy("snapshot_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("change_kind") == k, F.col("path")))).alias(k) for k in ("added", "modified", "deleted")])
+    return listed.select("snapshot_id", F.md5(ops.summary_xml(F.col("added"), F.col("modified"), F.col("deleted"), F.lit(0))).alias("summary_md5"))
+
+
 def cached_states(spark, sf_dir):
     return snapshot_listing(table(spark, sf_dir, "snapshots")).select("repo", "profile_name", "n_snapshots", "head")
 
@@ -110,9 +115,17 @@ _STATUS = """WITH l(path, old_path, status) AS (VALUES ('src/new.go', NULL, 'add
   ('src/y.ts', NULL, 'added'), ('docs/README.md', 'README.md', 'renamed'))"""
 _LIST = lambda title, kind: f"CASE WHEN count(*) FILTER (change_kind = '{kind}') > 0 THEN chr(10) || '### {title} Files' || chr(10) || string_agg('- `' || path || '`' || chr(10), '' ORDER BY path) FILTER (change_kind = '{kind}') ELSE '' END"
 
+_ESCAPED = """replace(replace(replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')"""
+
+
+def _xml_list(tag: str) -> str:
+    items = f"""string_agg('    <file path="' || {_ESCAPED} || '"/>' || chr(10), '' ORDER BY path) FILTER (change_kind = '{tag}')"""
+    return f"CASE WHEN count(*) FILTER (change_kind = '{tag}') > 0 THEN '  <{tag}_files>' || chr(10) || {items} || '  </{tag}_files>' || chr(10) ELSE '' END"
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, cached_states, workspace_links, streamed_changes)
+    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, streamed_changes)
 }
 ORACLES = {
     "p5_found": P5_SQL,
@@ -133,3 +146,6 @@ ORACLES = {
         SELECT CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' WHEN x.hash IS NOT DISTINCT FROM y.hash THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n
         FROM x FULL JOIN y ON x.repo = y.repo AND x.profile_name = y.profile_name AND x.git_branch = y.git_branch AND x.path = y.path GROUP BY 1""",
 }
+ORACLES["change_summary_xml"] = f"""SELECT snapshot_id, md5('<change_summary>' || chr(10) || '  <counts added="' || count(*) FILTER (change_kind = 'added') || '" modified="' || count(*) FILTER (change_kind = 'modified')
+  || '" deleted="' || count(*) FILTER (change_kind = 'deleted') || '" unchanged="0"/>' || chr(10) || {_xml_list('added')} || {_xml_list('modified')} || {_xml_list('deleted')} || '</change_summary>' || chr(10)) AS summary_md5
+  FROM ({P5_SQL}) GROUP BY snapshot_id"""

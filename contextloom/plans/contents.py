@@ -110,6 +110,13 @@ def parsed_markdown_files(spark, sf_dir):
     return render.parsed_markdown(_documents(spark, sf_dir)).select("repo", "path", F.md5("content").alias("content_md5"), "redactions")
 
 
+def parsed_xml_files(spark, sf_dir):
+    """The same files through an XML document and back."""
+    once = _renderable(spark, sf_dir).where(F.col("path").startswith("docs/") | F.col("path").startswith("config/"))
+    docs = render.xml_documents(once.select("repo", "tier", "path", render.xml_block().alias("block")).dropDuplicates(["repo", "path"]))
+    return render.parsed_xml(docs).select("repo", "path", F.md5("content").alias("content_md5"), "redactions")
+
+
 def verify_status(spark, sf_dir):
     return verify.verified(render.parsed_markdown(_documents(spark, sf_dir)), _files(spark, sf_dir))
 
@@ -180,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
-        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, parsed_markdown_files, verify_status, verify_redacted, line_differences, content_hash_md5,
+        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, parsed_markdown_files, parsed_xml_files, verify_status, verify_redacted, line_differences, content_hash_md5,
         content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, brief_budget,
     )
 }
@@ -258,3 +265,4 @@ ORACLES = {
         WHERE (starts_with(path, 'docs/') OR starts_with(path, 'config/'))""",
     "verify_status": f"{C_SQL} SELECT repo, path, 'MATCH' AS status FROM c WHERE starts_with(path, 'docs/') OR starts_with(path, 'config/')",
 }
+ORACLES["parsed_xml_files"] = ORACLES["parsed_markdown_files"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contextloom.functions.globs import any_regex, glob_regex, ignore_regex
 from contextloom.functions.tables import COMPRESSOR_LANGUAGES, DEFAULT_IGNORE, FENCE_LANGUAGES, KNOWN_DIRECTORIES, SENSITIVE_FILES, SENSITIVE_PATHS, TIER_KEYS, TIER_PATTERNS
 from contextloom.functions.text import thousands, tokens_ceil
-from contextloom.operators import budget, discovery, relevance, reports, trees, workflows
+from contextloom.operators import budget, discovery, metadata, relevance, reports, trees, workflows
 from contextloom.operators.compression import compressor_language
 from contextloom.operators.descriptors import DESCRIPTORS_SQL, descriptors
 from contextloom.operators.render import fence_language
@@ -231,6 +231,33 @@ def slice_budget(spark, sf_dir):
     return workflows.slice_budget(files, SLICE)
 
 
+def inclusion_summary(spark, sf_dir):
+    return metadata.inclusion_summary(budget.budget_truncate(_tiered(spark, sf_dir), BUDGET))
+
+
+def metadata_files(spark, sf_dir):
+    """Figures of each repository's metadata text, read back from it."""
+    out = metadata.metadata(_tiered(spark, sf_dir), BUDGET)
+    part = lambda where: F.get_json_object("metadata", where)
+    return out.select("repo", part("$.statistics.total_tokens").cast("long").alias("tokens"), part("$.statistics.budget_used_percent").cast("double").alias("percent"), part("$.files[0].path").alias("first_path"))
+
+
+def preview_records(spark, sf_dir):
+    return metadata.preview(_tiered(spark, sf_dir)).withColumnRenamed("preview", "record")
+
+
+def verify_sample(spark, sf_dir):
+    return metadata.sample(_narrow(spark, sf_dir).where("path IS NOT NULL"), 5, "s").select("file_id", "repo", "path")
+
+
+def decision_trace(spark, sf_dir):
+    return metadata.decision_trace(_narrow(spark, sf_dir), ("**/*.sql",), ("**/*.go", "**/*.sql", "**/*.md", "docs/**"), ("README*",), ("docs/**",))
+
+
+def fuzzy_search(spark, sf_dir):
+    return _narrow(spark, sf_dir).where(metadata.fuzzy_matches(F.col("path"), "srcCo.go")).select("file_id", "path")
+
+
 _DIRS = """parts AS (SELECT repo, path, tokens, string_split(path, '/') AS p FROM f),
 d AS (SELECT repo, path, tokens, array_to_string(list_slice(p, 1, n), '/') AS dir FROM (SELECT *, unnest(range(1, len(p))) AS n FROM parts))"""
 _SELECTED = f"""{F_SQL}, parts AS (SELECT repo, path, tokens > 200 AS included, string_split(path, '/') AS p FROM f WHERE tokens IS NOT NULL),
@@ -265,7 +292,7 @@ QUERIES = {
     for f in (
         ignore_filter, ignore_files, pattern_filter, sensitive_paths, binary_contents, skip_reasons, scan_skip_counts, tracked_files, assert_include, tier_match, tier_counts, tier_explain,
         language_breakdown, token_estimates, tier_token_report, top_files_by_tokens, token_heatmap, document_overhead, pipeline_stats, budget_truncate, budget_tier_stats, budget_skip,
-        budget_truncated_files, split_parts, split_part_sizes, dir_tristate, selection_patterns, tree_nodes, tree_drawing, module_map, health_checks, quality_coverage, quality_percent, slice_budget,
+        budget_truncated_files, split_parts, split_part_sizes, dir_tristate, selection_patterns, tree_nodes, tree_drawing, module_map, health_checks, quality_coverage, quality_percent, slice_budget, inclusion_summary, metadata_files, preview_records, verify_sample, decision_trace, fuzzy_search,
     )
 }
 
@@ -335,3 +362,17 @@ ORACLES = {
         UNION ALL SELECT r.repo, path, tokens, is_primary FROM r LEFT JOIN u ON u.repo = r.repo WHERE running <= {SLICE} - coalesce(used, 0) AND {SLICE} - coalesce(used, 0) > 0""",
 }
 ORACLES["quality_percent"] = f"SELECT count(*) AS n_questions, sum(covered::INT)::BIGINT AS n_covered, round(sum(covered::INT) * 100.0 / count(*), 6)::DOUBLE AS percent FROM ({ORACLES['quality_coverage']})"
+ORACLES |= {
+    "inclusion_summary": f"""{_TRUNCATE}, g AS (SELECT repo, tier, sum((status <> 'excluded')::INT)::BIGINT AS n_included, sum((status = 'excluded')::INT)::BIGINT AS n_excluded,
+          sum(CASE WHEN status <> 'excluded' THEN coalesce(tokens, 0) ELSE 0 END)::BIGINT AS tokens FROM b GROUP BY repo, tier), h AS (SELECT *, sum(tokens) OVER (PARTITION BY repo)::BIGINT AS total FROM g)
+        SELECT repo, {_TIER_KEY} AS tier_key, n_included, n_excluded, CASE WHEN total > 0 THEN tokens * 100 // total ELSE 0 END AS percent FROM h""",
+    "metadata_files": f"{T_SQL} SELECT repo, coalesce(sum(tokens), 0)::BIGINT AS tokens, round(sum(tokens) * 100.0::DOUBLE / {BUDGET}.0::DOUBLE, 4) AS percent, min(path) AS first_path FROM t GROUP BY repo",
+    "preview_records": f"""{T_SQL}, g AS (SELECT repo, tier, count(*) AS n, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM t GROUP BY repo, tier)
+        SELECT repo, '{{"total_files":' || sum(n) || ',"total_tokens":' || sum(tokens) || ',"tiers":{{' || string_agg('"' || tier || '":' || n, ',' ORDER BY tier) || '}}}}' AS record FROM g GROUP BY repo""",
+    "verify_sample": f"{F_SQL} SELECT file_id, repo, path FROM f WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY md5(path || '|s')) <= 5",
+    "decision_trace": f"""{T_SQL}, d AS (SELECT *, CASE WHEN {IGNORED} THEN 'default ignore' WHEN {matches('path', glob_regex('**/*.sql'))} THEN 'profile ignore'
+          WHEN NOT {matches('path', any_regex(glob_regex(g) for g in ('**/*.go', '**/*.sql', '**/*.md', 'docs/**')))} THEN 'not included' ELSE 'kept' END AS decision FROM t)
+        SELECT file_id, path, decision, CASE WHEN decision = 'kept' THEN tier ELSE -1 END AS tier, decision = 'kept' AND {matches('path', glob_regex('README*'))} AS is_priority,
+          decision = 'kept' AND NOT {matches('path', glob_regex('docs/**'))} AS is_redacted, {lookup_sql(ENDING, COMPRESSOR_LANGUAGES, "''")} AS language FROM d""",
+    "fuzzy_search": f"{F_SQL} SELECT file_id, path FROM f WHERE regexp_matches(lower(path), 's.*r.*c.*c.*o.*[.].*g.*o')",
+}

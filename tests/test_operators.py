@@ -234,3 +234,23 @@ def test_compression(spark, make_files):
     assert "return" not in out[1].content and "func F(x int) int" in out[1].content and out[1].status == "ast"
     assert (out[2].status, out[2].content) == ("skipped", "whole") and "/* 6 items */" in out[3].content and "object with 1 keys" in out[3].content
     assert set(out) == {1, 2, 3, 5}
+
+
+def test_side_outputs(spark):
+    import json
+
+    from contextloom.operators import metadata
+
+    df = spark.createDataFrame([("r", "b", 1, 30, 120, "included"), ("r", "a", 0, None, None, "excluded"), ("q", "c", 2, 5, 20, "truncated")], "repo string, path string, tier int, tokens long, n_bytes long, status string")
+    out = {r.repo: json.loads(r.metadata) for r in metadata.metadata(df, 100).collect()}
+    assert [f["path"] for f in out["r"]["files"]] == ["a", "b"] and out["r"]["statistics"]["budget_used_percent"] == 30.0
+    assert "budget_used_percent" not in json.loads(metadata.metadata(df).first().metadata)["statistics"]
+    assert json.loads({r.repo: r.preview for r in metadata.preview(df).collect()}["r"])["tiers"] == {"0": 1, "1": 1}
+    assert metadata.sample(df, 1, "x").count() == 2 and metadata.sample(df, 0).count() == 3
+    assert {(r.repo, r.tier_key): r.percent for r in metadata.inclusion_summary(df).collect()} == {("r", "primary"): 100, ("r", "critical"): 0, ("q", "secondary"): 100}
+    paths = spark.createDataFrame([("src/Main.go",), ("a.b",)], "p string")
+    assert [r[0] for r in paths.select(metadata.fuzzy_matches(F.col("p"), "SM.g")).collect()] == [True, False]
+    listed = [F.array(F.lit("a<b")), F.array().cast("array<string>"), F.array().cast("array<string>")]
+    xml, text_ = spark.range(1).select(changes.summary_xml(*listed, F.lit(2)).alias("x"), changes.summary_markdown(*listed, F.lit(2)).alias("m")).first()
+    assert '<file path="a&lt;b"/>' in xml and 'unchanged="2"' in xml and "### Added Files\n- `a<b`" in text_
+    assert spark.range(1).select(changes.summary_markdown(*[F.array().cast("array<string>")] * 3, F.lit(0))).first()[0] == "No changes detected since last run.\n"
