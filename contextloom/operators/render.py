@@ -68,12 +68,15 @@ def parsed_markdown(docs: DataFrame, document: str = "document") -> DataFrame:
 
 
 def repository_hash(files: DataFrame) -> DataFrame:
-    """``repo, content_hash``: one hash over all paths and contents of a repository, in order of paths.
+    """``repo, content_hash``: one hash over all paths and contents of a repository.
 
-    Contents are hashed where they are; only their digests are gathered, 32 characters a file, and hashed again.
+    Contents are hashed where they are. Digests are joined in order of path within each of 4,096 buckets of
+    the path's hash, and the buckets' hashes in order, so that no repository is gathered in one task.
     """
     per_file = files.where(F.col("content").isNotNull() & F.col("path").isNotNull() & F.col("repo").isNotNull()).select("repo", "path", F.md5("content").alias("digest")).groupBy("repo", "path").agg(F.max("digest").alias("digest"))
-    return per_file.groupBy("repo").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat(x["path"], F.lit(":"), x["digest"])), "\n")).alias("content_hash"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "digest"))), lambda x: F.concat(x["path"], F.lit(":"), x["digest"]))
+    buckets = per_file.groupBy("repo", F.substring(F.md5("path"), 1, 3).alias("bucket")).agg(F.md5(F.array_join(lines, "\n")).alias("digest"))
+    return buckets.groupBy("repo").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n")).alias("content_hash"))
 
 
 def xml_documents(blocks: DataFrame, max_files: int = 5_000) -> DataFrame:

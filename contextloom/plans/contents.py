@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from contextloom.functions import entropy
@@ -9,10 +11,11 @@ from contextloom.functions.hashing import xxh3_hex
 from contextloom.functions.rules import BUILT_IN
 from contextloom.functions.tables import ENTROPY_THRESHOLDS, FENCE_LANGUAGES, SIGNATURE_PATTERNS, SUSPICIOUS_WORDS, COMPRESSOR_LANGUAGES, TIER_KEYS
 from contextloom.functions.text import numbered_lines
+from contextloom.functions.tokenizers import token_count
 from contextloom.operators import compression, imports, redaction, relevance, render, verify, workflows
 from contextloom.operators.descriptors import descriptors
 from contextloom.plans.files import ENDING, lookup_sql, matches, q, tier_sql
-from contextloom.sources.tables import table
+from contextloom.sources.tables import spread, table
 
 #: Contents once per file, for oracles: a common table expression named ``c``.
 C_SQL = """WITH RECURSIVE c AS (SELECT file_id, max(repo) AS repo, max(path) AS path, max(content) AS content, max(coalesce(is_compressed, FALSE)::INT) = 1 AS is_compressed
@@ -24,6 +27,17 @@ def _files(spark, sf_dir):
     return table(spark, sf_dir, "files")
 
 
+#: A public vocabulary; where it isn't installed, the estimate is used.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def tokenizer_counts(spark, sf_dir):
+    """Tokens of each file by a public tokenizer beside the estimate."""
+    path = VOCABULARY if os.path.exists(VOCABULARY) else None
+    rows = spread(_files(spark, sf_dir).where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "content"), "file_id")
+    return rows.select("file_id", token_count(F.col("content"), path).alias("tokens"), token_count(F.col("content")).alias("estimate")).distinct()
+
+
 def rule_hits(spark, sf_dir):
     return redaction.rule_hits(_files(spark, sf_dir))
 
@@ -186,7 +200,7 @@ def brief_budget(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
+        tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
         compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, parsed_markdown_files, parsed_xml_files, verify_status, verify_redacted, line_differences, content_hash_md5,
         content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, brief_budget,
     )
@@ -256,7 +270,8 @@ ORACLES = {
         d AS (SELECT repo, '# ' || repo || chr(10) || chr(10) || '## Files' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY tier, path, block) || chr(10) AS document FROM b GROUP BY repo)
         SELECT repo, md5(document) AS document_md5, strlen(document) AS n_bytes FROM d""",
     "content_hash_md5": """WITH c AS (SELECT repo, path, max(md5(content)) AS digest FROM files WHERE content IS NOT NULL AND path IS NOT NULL AND repo IS NOT NULL GROUP BY repo, path)
-        SELECT repo, md5(string_agg(path || ':' || digest, chr(10) ORDER BY path)) AS content_hash FROM c GROUP BY repo""",
+        , b AS (SELECT repo, substring(md5(path), 1, 3) AS bucket, md5(string_agg(path || ':' || digest, chr(10) ORDER BY path)) AS digest FROM c GROUP BY ALL)
+        SELECT repo, md5(string_agg(digest, chr(10) ORDER BY bucket)) AS content_hash FROM b GROUP BY repo""",
     "import_targets": _IMPORTS_SQL,
     "line_differences": f"""{C_SQL}, s AS (SELECT file_id, string_split(content, chr(10)) AS a, string_split(regexp_replace(content, 'AKIA[0-9A-Z]{{16}}', '[REDACTED:aws_access_key_id]', 'g'), chr(10)) AS b FROM c),
         l AS (SELECT file_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS old, unnest(b) AS new FROM s)
