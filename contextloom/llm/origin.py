@@ -180,13 +180,15 @@ def in_foreign_dir(path: Column) -> Column:
 def foreign_copies(known: DataFrame, others: DataFrame) -> DataFrame:
     """``file_id`` of the ``others`` that equal a ``known`` file in ``SIMILARITY`` of their shingles or more.
 
-    Equal signatures among the known files collapse first. Each bucket names one of its known files; a
-    file that isn't similar enough to any of those is compared with all known files of its buckets. Only
-    bucket keys and ids are joined; signatures are fetched for the few pairs that meet.
+    Equal signatures collapse first on both sides, so a text that a third of all files share is one row.
+    Each bucket names one of its known files; a text that isn't similar enough to any of those is compared
+    with all known files of its buckets. Only bucket keys and ids are joined; signatures are fetched for the
+    few pairs that meet.
     """
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(minhash.BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * minhash.ROWS + 1, minhash.ROWS))))
     known = known.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("file_id").alias("known_id"))
-    others = others.where(F.col("sig").isNotNull()).select("file_id", "sig")
+    everyone = others.where(F.col("sig").isNotNull()).select(F.col("file_id").alias("member"), F.xxhash64("sig").alias("text"), "sig")
+    others = everyone.groupBy("text").agg(F.first("sig").alias("sig")).select(F.col("text").alias("file_id"), "sig")
     known_rows = known.select("known_id", band.alias("band"))
     leaders = known_rows.groupBy("band").agg(F.min("known_id").alias("known_id"))
     rows = others.select("file_id", band.alias("band"))
@@ -207,7 +209,8 @@ def foreign_copies(known: DataFrame, others: DataFrame) -> DataFrame:
     rest = near.select("file_id").distinct().join(first, "file_id", "left_anti")
     rest_rows = others.join(rest, "file_id", "left_semi").select("file_id", band.alias("band"))
     second = similar(rest_rows.join(known_rows, "band").select("file_id", "known_id"))
-    return first.union(second)
+    texts = first.union(second).select(F.col("file_id").alias("text"))
+    return everyone.select("member", "text").join(texts, "text", "left_semi").select(F.col("member").alias("file_id")).distinct()
 
 
 def source_origins(files: DataFrame) -> DataFrame:
