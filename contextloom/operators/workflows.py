@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.functions.globs import glob_regex
+from contextloom.functions.manifests import manifest_section
 from contextloom.functions.tables import KNOWN_DIRECTORIES
 from contextloom.functions.text import ending, lookup, top_dir
 from contextloom.operators.ordered import running_sum
@@ -99,6 +100,18 @@ def make_targets(content: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?m)^([a-zA-Z_][a-zA-Z0-9_\-]*)\s*:"), F.lit(1)))
 
 
+def manifest_sections(files: DataFrame) -> DataFrame:
+    """``repo, path, section``: what each build file or package manifest says; files without a word are left out."""
+    names = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).isin("makefile", "gnumakefile", "package.json", "go.mod", "cargo.toml", "pyproject.toml")
+
+    def run(batches):
+        for pdf in batches:
+            pdf["section"] = [manifest_section(p, c) for p, c in zip(pdf["path"], pdf["content"])]
+            yield pdf[pdf["section"] != ""][["repo", "path", "section"]]
+
+    return files.where(names & F.col("content").isNotNull()).select("repo", "path", "content").mapInPandas(run, "repo string, path string, section string").distinct()
+
+
 def health_checks(df: DataFrame) -> DataFrame:
     """``repo, check, n_found``: large binaries, large texts and build artifacts of each repository, also where none is found."""
     segment = F.exists(F.split("path", "/"), lambda s: s.isin(*ARTIFACT_DIRS))

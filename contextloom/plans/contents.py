@@ -192,6 +192,10 @@ def review_slice(spark, sf_dir):
     return workflows.slice_budget(files.join(chosen, ["repo", "path"]).select("repo", "path", "tokens", "is_primary"), 6_000)
 
 
+def manifest_sections(spark, sf_dir):
+    return workflows.manifest_sections(_files(spark, sf_dir))
+
+
 def brief_budget(spark, sf_dir):
     sections = workflows.brief_sections(_files(spark, sf_dir)).select("repo", "priority", "name", F.expr("(octet_length(content) + 3) div 4").alias("tokens"))
     return workflows.brief_budget(sections, 1_500)
@@ -202,7 +206,7 @@ QUERIES = {
     for f in (
         tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
         compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, parsed_markdown_files, parsed_xml_files, verify_status, verify_redacted, line_differences, content_hash_md5,
-        content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, brief_budget,
+        content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, manifest_sections, brief_budget,
     )
 }
 
