@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contextloom.functions import entropy
 from contextloom.functions.hashing import xxh3_hex
 from contextloom.functions.rules import BUILT_IN
-from contextloom.functions.tables import ENTROPY_THRESHOLDS, FENCE_LANGUAGES, SIGNATURE_PATTERNS, SUSPICIOUS_WORDS, COMPRESSOR_LANGUAGES, TIER_KEYS
+from contextloom.functions.tables import ENTROPY_THRESHOLDS, FENCE_LANGUAGES, IMPORT_ENDINGS, INDEX_FILES, SIGNATURE_PATTERNS, SUSPICIOUS_WORDS, COMPRESSOR_LANGUAGES, TIER_KEYS
 from contextloom.functions.text import numbered_lines
 from contextloom.functions.tokenizers import token_count
 from contextloom.operators import compression, imports, redaction, relevance, render, verify, workflows
@@ -176,9 +176,9 @@ def test_edges(spark, sf_dir):
 
 
 def neighbours_depth2(spark, sf_dir):
-    """Around the read-mes and every file of ``cmd/``."""
+    """Around the files of ``cmd/`` and every document on caches, columns and cursors."""
     paths = descriptors(_files(spark, sf_dir)).where("path IS NOT NULL").select("repo", "path")
-    changed = paths.where(F.col("path").startswith("cmd/") | F.lower("path").rlike(r"(^|/)readme\.md$"))
+    changed = paths.where(F.col("path").startswith("cmd/") | F.col("path").rlike(r"(^|/)c(ache|olumn|ursor)[^/]*\.md$"))
     return imports.neighbours(changed, paths, _edges(spark, sf_dir), imports.test_edges(paths), 2)
 
 
@@ -285,3 +285,22 @@ ORACLES = {
     "verify_status": f"{C_SQL} SELECT repo, path, 'MATCH' AS status FROM c WHERE starts_with(path, 'docs/') OR starts_with(path, 'config/')",
 }
 ORACLES["parsed_xml_files"] = ORACLES["parsed_markdown_files"]
+
+
+def _cleaned_sql(path: str) -> str:
+    """Dots resolved in a path below its root; deep enough for the imports here."""
+    path = f"replace('/' || {path}, '/./', '/')"
+    for _ in range(8):
+        path = rf"regexp_replace({path}, '/[^/.][^/]*/[.][.]/', '/')"
+    return f"ltrim({path}, '/')"
+
+
+_VARIANTS = ", ".join(q(x) for x in ("", *IMPORT_ENDINGS, *INDEX_FILES))
+_EDGES_SQL = f"""WITH RECURSIVE i AS ({_IMPORTS_SQL}), k AS (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL),
+t AS (SELECT DISTINCT repo, path AS src, CASE WHEN starts_with(target, './') OR starts_with(target, '../') THEN {_cleaned_sql("regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1) || '/' || target")} ELSE target END AS t FROM i),
+v AS (SELECT repo, src, t, unnest([{_VARIANTS}]) AS tail FROM t),
+h AS (SELECT v.repo, src, t, tail = '' AS exact, k.path AS dst FROM v JOIN k ON k.repo = v.repo AND k.path = t || tail
+      UNION ALL SELECT t.repo, src, t, FALSE, k.path FROM t JOIN k ON k.repo = t.repo AND regexp_extract(k.path, '^(?:(.*)/)?[^/]*$', 1) = t.t AND ends_with(k.path, '.go')),
+e AS (SELECT repo, src, t, max(exact::INT) AS any_exact FROM h GROUP BY ALL)
+SELECT DISTINCT h.repo, h.src, h.dst FROM h JOIN e ON e.repo = h.repo AND e.src = h.src AND e.t = h.t WHERE h.exact OR any_exact = 0"""
+ORACLES["import_edges"] = _EDGES_SQL

@@ -305,6 +305,7 @@ ORACLES = {
     "pattern_filter": f"{F_SQL} SELECT file_id, path FROM f WHERE {WANTED}",
     "sensitive_paths": f"""{F_SQL} SELECT file_id, {matches('path', any_regex(ignore_regex(p) for p in SENSITIVE_PATHS))} AS by_path,
         {matches('path', any_regex(glob_regex(p) for p in SENSITIVE_FILES))} OR {matches(NAME, any_regex(glob_regex(p) for p in SENSITIVE_FILES if '/' not in p))} AS by_file FROM f""",
+    "binary_contents": "SELECT file_id, coalesce(max(contains(substring(content, 1, 8192), chr(0))::INT), 0) = 1 AS has_zero_byte FROM files WHERE file_id IS NOT NULL GROUP BY file_id",
     "skip_reasons": f"""{F_SQL} SELECT CASE WHEN {IGNORED} THEN 'ignored' WHEN is_symlink THEN 'symlink_error' WHEN n_bytes > 100000 THEN 'large_file' WHEN is_binary THEN 'binary'
         WHEN NOT {WANTED} THEN 'pattern_filter' ELSE 'kept' END AS reason, count(*) AS n FROM f GROUP BY 1""",
     "scan_skip_counts": """WITH s AS (SELECT DISTINCT discovery_id, repo, skip_reasons FROM discovery WHERE skip_reasons IS NOT NULL),
