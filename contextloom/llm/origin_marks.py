@@ -47,7 +47,7 @@ _GENERATED = re.compile("|".join(f"(?:{p})" for p in GENERATED_PHRASES), re.I)
 _KEPT = re.compile("|".join(f"(?:{p})" for p in KEPT_PHRASES), re.I)
 _FOREIGN = re.compile("|".join(f"(?:{p})" for p in FOREIGN_PHRASES), re.I)
 
-#: Every phrase above holds one of these; most heads hold none.
+#: Every phrase above holds one of these; the comments of most files hold none.
 _HINT = re.compile("generat|do not|erzeugt|erstellt|hand|bearbeiten|editieren|ändern|génér|genere|modif|editar|edite|gerado|generad|creado|сгенер|редакт|edit|creat|produced|lost|overwrit|keep in|licen|upstream|imported|\\(c\\)", re.I)
 
 # Lock files of package managers.
@@ -68,9 +68,11 @@ SHEETS = frozenset("js mjs cjs jsx ts css html htm svg".split())
 SCRIPTS = frozenset({"sh"})
 PROSE = frozenset("md markdown rst txt adoc".split())
 
-HEAD_LINES = 24
 _COMMENT = re.compile(r"^\s*(?://|/\*|\*|#(?!!)|<!--|--|;|%|\"\"\"|''')")
 _STRING = re.compile(r"\"[^\"\\\n]*(?:\\.[^\"\\\n]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'")
+_TRIPLE = ('"""', "'''")
+_HEREDOC = re.compile(r"<<[-~]?\s*[\"']?([A-Z_]\w*)[\"']?\s*(?:[;|>&)].*)?$")
+_LINE_COMMENT = re.compile(r"//.*|(?:^|\s)#.*")
 _TEMPLATE = re.compile(r"`[^`]*`")
 _RUN = re.compile(r"x[x0]*|0[x0]*")
 _TO_SHAPE = {ord(c): "x" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"} | {ord(c): "0" for c in "0123456789"} | {ord(c): None for c in "-+. \t\r"}
@@ -89,18 +91,41 @@ def extension(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def head_comments(lines: list[str]) -> list[str]:
-    """The comment lines among the first ``HEAD_LINES`` lines."""
-    found, inside = [], False
-    for line in lines[:HEAD_LINES]:
-        line = line.lstrip("﻿")
-        if inside or _COMMENT.match(line):
+def comment_lines(lines: list[str]) -> list[str]:
+    """All whole-line comments, wherever they stand; what merely stands in a text literal of several lines is none."""
+    found, inside, literal, skipped = [], False, "", []
+    for line in lines:
+        line = line.lstrip("\ufeff")
+        if literal:
+            if line.strip() == literal if literal.isidentifier() else line.count(literal) % 2:
+                literal, skipped = "", []
+            elif _COMMENT.match(line):
+                skipped.append(line)
+            continue
+        comment = inside or bool(_COMMENT.match(line))
+        if comment:
             found.append(line)
-        if "/*" in line:
-            inside = True
-        if "*/" in line:
-            inside = False
-    return found
+        if "/*" in line or "*/" in line:
+            bare = line if comment else _STRING.sub("", line)
+            opened, closed = bare.rfind("/*"), bare.rfind("*/")
+            if opened != closed:
+                inside = opened > closed
+        if not inside and ("`" in line or "<<" in line or '"""' in line or "'''" in line) and (not comment or line.lstrip()[:3] in _TRIPLE):
+            literal = _opened_literal(line)
+    # A literal that never ends was none.
+    return found + skipped if literal else found
+
+
+def _opened_literal(line: str) -> str:
+    """What ends the text literal that a line of code leaves open: its quotes, or the word of a here-document."""
+    for quotes in _TRIPLE:
+        if line.count(quotes) % 2:
+            return quotes
+    bare = _LINE_COMMENT.sub("", _STRING.sub("", line))
+    if bare.count("`") % 2:
+        return "`"
+    heredoc = _HEREDOC.search(line)
+    return heredoc.group(1) if heredoc else ""
 
 
 def line_shapes(text: str) -> list[str]:
@@ -143,16 +168,16 @@ def content_marks(path: str, text: str) -> dict:
     """All that one file's text says, as plain values. Never fails; an empty text says nothing."""
     ext = extension(path)
     lines = text.replace("\r\n", "\n").split("\n")
-    head = head_comments(lines) if ext not in PROSE else []
-    joined = "\n".join(head)
+    comments = comment_lines(lines) if ext not in PROSE and _HINT.search(text) else []
+    joined = "\n".join(comments)
     if not _HINT.search(joined):
-        head, joined = [], ""
+        comments, joined = [], ""
     kept = bool(_KEPT.search(joined))
     code = ext in CODE
     return {
-        "signed": not kept and any(_GENERATED.search(line) for line in head),
+        "signed": not kept and any(_GENERATED.search(line) for line in comments),
         "kept": kept,
-        "foreign": any(_FOREIGN.search(line) for line in head),
+        "foreign": any(_FOREIGN.search(line) for line in comments),
         "dense": ext in SHEETS and is_dense(text),
         "repetition": repetition(text) if code and ext not in SCRIPTS else 1.0,
         "literal": literal_share(text, lines) if code else 0.0,

@@ -78,6 +78,20 @@ def test_signature_estimates_similarity():
     assert (same[0] == a).all() and same[1] is None and same[2] is None and same[3] is not None
 
 
+def test_signature_at_the_foot():
+    licence = "".join(f"// Licence, line {n}.\n" for n in range(40))
+    for text in (code(1) + "\n# Code generated by x. DO NOT EDIT.\n", licence + "// Code generated by x. DO NOT EDIT.\n" + code(2), "a = `\n" + code(3) + "\n// @generated\n"):
+        assert content_marks("a.js", text)["signed"] is True
+    assert content_marks("a.py", code(4) + "\n# Code generated by x. DO NOT EDIT.\n# Now maintained by hand.\n")["kept"] is True
+    assert content_marks("a.c", code(5) + "\n// Imported from zlib, revision 12.\n")["foreign"] is True
+
+
+def test_signature_in_a_literal_is_none():
+    for opened, closed in (("x = `", "`"), ('x = """', '"""'), ("cat <<EOF", "EOF")):
+        text = code(1) + f"\n{opened}\n# Code generated by x. DO NOT EDIT.\n// @generated\n{closed}\n" + code(2)
+        assert content_marks("a.py", text)["signed"] is False
+
+
 def test_marks_never_fail():
     for text in ("", "\n", "﻿", "\x00", "/*", '"' * 5000, "x" * 100_000, "'\\"):
         assert content_marks("a.py", text)["signed"] is False
