@@ -73,6 +73,20 @@ def _signatures(texts: list[str]) -> np.ndarray:
     return best
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text as 64-bit hashes, as ``signatures`` sees them."""
+    tokens = _WORD.findall(text or "")
+    if not tokens:
+        return np.empty(0, dtype=np.int64)
+    h = np.zeros(len(tokens) + WORDS - 1, dtype=np.uint64)
+    h[: len(tokens)] = np.fromiter(map(_known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    mixed = np.zeros(len(tokens), dtype=np.uint64)
+    for k in range(WORDS):
+        mixed = (mixed ^ (h[k : k + len(tokens)] * _MIX[k])) * _SPREAD
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _SPREAD
+    return np.unique(mixed[: max(1, len(tokens) - WORDS + 1)]).view(np.int64)
+
+
 def signatures(texts: list[str | None]) -> list[np.ndarray | None]:
     """One-permutation MinHash of each text with ``SLOTS`` slots; None for texts that are null or have no word.
 

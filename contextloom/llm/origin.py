@@ -9,7 +9,7 @@
    (name prefix, name suffix, directory), with specific names overruling general patterns, and applied
    to repositories that declare nothing.
 4. Copies of third-party code outside its usual directories are found by hash-joining MinHash bands
-   with the buckets of known third-party files.
+   with the buckets of known third-party files; the few pairs that meet are compared by their exact shingles.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +39,21 @@ MIN_DIR_SHARE = 0.5
 #: A name with at most this share of evident files is one that people use, whatever it looks like.
 MAX_KEPT_SHARE = 0.25
 SIMILARITY = 0.8
+#: Slots of a signature that have to agree before two texts are compared exactly: four deviations below ``SIMILARITY``.
+CANDIDATE_SLOTS = 38
 ATTRIBUTE_FILE = ".gitattributes"
 
 _RULE = "struct<line: int, regex: string, attribute: string, value: boolean>"
 _MARKS = (
     "file_id long, repo string, path string, signed boolean, kept boolean, `foreign` boolean, dense boolean, "
-    f"repetition float, literal float, is_code boolean, sig array<int>, rules array<{_RULE}>"
+    f"repetition float, literal float, is_code boolean, text_id long, sig array<int>, rules array<{_RULE}>"
 )
 
 
+def _text_id(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _read_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ext = [extension(p) for p in pdf["path"]]
@@ -56,6 +63,7 @@ def _read_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks.insert(0, "repo", pdf["repo"].to_numpy())
         marks.insert(0, "file_id", pdf["file_id"].to_numpy())
         marks["is_code"] = [e in CODE for e in ext]
+        marks["text_id"] = [_text_id(c) for c in pdf["content"]]
         marks["sig"] = [None if s is None else s.astype("uint32").view("int32") for s in sigs]
         marks["rules"] = [
             [dict(zip(("line", "regex", "attribute", "value"), rule)) for rule in parse_attributes(c)] if p.rsplit("/", 1)[-1] == ATTRIBUTE_FILE else None
@@ -177,40 +185,56 @@ def in_foreign_dir(path: Column) -> Column:
     return F.exists(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda d: d.isin(sorted(FOREIGN_DIRS)))
 
 
-def foreign_copies(known: DataFrame, others: DataFrame) -> DataFrame:
+def _read_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"text_id": [_text_id(c) for c in pdf["content"]], "shingles": [minhash.shingles(c) for c in pdf["content"]]})
+
+
+def foreign_copies(known: DataFrame, others: DataFrame, files: DataFrame) -> DataFrame:
     """``file_id`` of the ``others`` that equal a ``known`` file in ``SIMILARITY`` of their shingles or more.
 
-    Equal signatures collapse first on both sides, so a text that a third of all files share is one row.
-    Each bucket names one of its known files; a text that isn't similar enough to any of those is compared
-    with all known files of its buckets. Only bucket keys and ids are joined; signatures are fetched for the
-    few pairs that meet.
+    Equal texts collapse first on both sides, so a text that a third of all files share is one row.
+    Each bucket names one of its known texts; a text that isn't similar enough to any of those is compared
+    with all known texts of its buckets. Only bucket keys and ids are joined; signatures are fetched for the
+    pairs that meet, and of the texts of those that agree in ``CANDIDATE_SLOTS`` the shingles are compared.
     """
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(minhash.BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * minhash.ROWS + 1, minhash.ROWS))))
-    known = known.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("file_id").alias("known_id"))
-    everyone = others.where(F.col("sig").isNotNull()).select(F.col("file_id").alias("member"), F.xxhash64("sig").alias("text"), "sig")
-    others = everyone.groupBy("text").agg(F.first("sig").alias("sig")).select(F.col("text").alias("file_id"), "sig")
-    known_rows = known.select("known_id", band.alias("band"))
+    distinct = lambda df: df.where(F.col("sig").isNotNull()).groupBy("text_id").agg(F.first("sig").alias("sig"), F.min("file_id").alias("file_id"))
+    known_texts, other_texts = distinct(known), distinct(others)
+    known_rows = known_texts.select(F.col("text_id").alias("known_id"), band.alias("band"))
     leaders = known_rows.groupBy("band").agg(F.min("known_id").alias("known_id"))
-    rows = others.select("file_id", band.alias("band"))
+    rows = other_texts.select("text_id", band.alias("band"))
+    members = known_texts.select("file_id", "text_id").unionByName(other_texts.select("file_id", "text_id"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
         agree = F.aggregate(F.zip_with("sig", "known_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        return (
+        met = (
             pairs.distinct()
-            .join(others, "file_id")
-            .join(known.select("known_id", F.col("sig").alias("known_sig")), "known_id")
-            .where(agree >= F.lit(SIMILARITY * minhash.SLOTS))
-            .select("file_id")
+            .join(other_texts.select("text_id", "sig"), "text_id")
+            .join(known_texts.select(F.col("text_id").alias("known_id"), F.col("sig").alias("known_sig")), "known_id")
+            .where(agree >= CANDIDATE_SLOTS)
+            .select("text_id", "known_id")
+        )
+        met = materialize(met, f"origin-{name}-pairs")
+        needed = met.select("text_id").union(met.select("known_id")).distinct()
+        needed = materialize(members.join(needed, "text_id", "left_semi").groupBy("text_id").agg(F.min("file_id").alias("file_id")), f"origin-{name}-needed")
+        # A file delivered with several contents gives several texts; each is known by its hash.
+        texts = files.where(F.col("content").isNotNull()).select("file_id", "content").join(needed.select("file_id").distinct(), "file_id", "left_semi")
+        sets = materialize(texts.select("content").mapInPandas(_read_shingles, "text_id long, shingles array<long>").dropDuplicates(["text_id"]), f"origin-{name}-shingles")
+        both = F.size(F.array_intersect("shingles", "known_shingles"))
+        return (
+            met.join(sets, "text_id")
+            .join(sets.select(F.col("text_id").alias("known_id"), F.col("shingles").alias("known_shingles")), "known_id")
+            .where(both >= SIMILARITY * (F.size("shingles") + F.size("known_shingles") - both))
+            .select("text_id")
             .distinct()
         )
 
-    near = materialize(rows.join(leaders, "band").select("file_id", "known_id").distinct(), "origin-near")
-    first = similar(near)
-    rest = near.select("file_id").distinct().join(first, "file_id", "left_anti")
-    rest_rows = others.join(rest, "file_id", "left_semi").select("file_id", band.alias("band"))
-    second = similar(rest_rows.join(known_rows, "band").select("file_id", "known_id"))
-    texts = first.union(second).select(F.col("file_id").alias("text"))
-    return everyone.select("member", "text").join(texts, "text", "left_semi").select(F.col("member").alias("file_id")).distinct()
+    near = materialize(rows.join(leaders, "band").select("text_id", "known_id").distinct(), "origin-near")
+    first = materialize(similar(near, "first"), "origin-first")
+    rest = near.select("text_id").distinct().join(first, "text_id", "left_anti")
+    second = similar(rows.join(rest, "text_id", "left_semi").join(known_rows, "band").select("text_id", "known_id"), "second")
+    return others.join(first.union(second), "text_id", "left_semi").select("file_id").distinct()
 
 
 def source_origins(files: DataFrame) -> DataFrame:
@@ -224,17 +248,17 @@ def source_origins(files: DataFrame) -> DataFrame:
     rules = attribute_rules(told)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     looks_foreign = in_foreign_dir(F.col("path")) | F.col("foreign")
-    marks = told.drop("sig", "rules").dropDuplicates(["file_id"])
-    known = told.where(looks_foreign).select("file_id", "sig")
-    others = told.where(~looks_foreign).select("file_id", "sig")
+    marks = told.drop("sig", "text_id", "rules").dropDuplicates(["file_id"])
+    known = told.where(looks_foreign).select("file_id", "text_id", "sig")
+    others = told.where(~looks_foreign).select("file_id", "text_id", "sig")
     if rules.isEmpty():
         marks = marks.withColumns({"declared_generated": F.lit(None).cast("boolean"), "declared_vendored": F.lit(None).cast("boolean")})
     else:
         spoken = declared(marks.select("file_id", "repo", "path"), rules)
         marks = marks.join(spoken, "file_id", "left")
         said = spoken.where(F.col("declared_vendored").isNotNull()).select("file_id", "declared_vendored")
-        both = told.select("file_id", "sig", looks_foreign.alias("looks")).join(said, "file_id", "left").withColumn("known", F.coalesce("declared_vendored", "looks"))
-        known, others = both.where("known").select("file_id", "sig"), both.where("NOT known").select("file_id", "sig")
+        both = told.select("file_id", "text_id", "sig", looks_foreign.alias("looks")).join(said, "file_id", "left").withColumn("known", F.coalesce("declared_vendored", "looks"))
+        known, others = both.where("known").select("file_id", "text_id", "sig"), both.where("NOT known").select("file_id", "text_id", "sig")
     marks = marks.withColumns(
         {
             "stamped": (F.col("repetition") < STAMPED_OUT) & ~F.col("kept"),
@@ -244,7 +268,7 @@ def source_origins(files: DataFrame) -> DataFrame:
     marks = marks.withColumn("evident", F.coalesce("declared_generated", F.col("signed") | F.col("stamped")))
     patterns = mined_patterns(marks.where(~F.col("known_foreign") & ~F.col("dense")))
     verdicts = mined_verdicts(marks, patterns)
-    copies = foreign_copies(known, others).withColumn("is_copy", F.lit(True))
+    copies = foreign_copies(known, others, files).withColumn("is_copy", F.lit(True))
     everything = (
         marks
         .join(verdicts, "file_id", "left")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 
@@ -66,6 +67,22 @@ def test_globs():
     assert parse_attributes("a b c\n*.x -linguist-generated linguist-vendored\n") == [(1, attribute_glob_regex("*.x"), "generated", False), (1, attribute_glob_regex("*.x"), "vendored", True)]
 
 
+def test_copies_by_exact_similarity(make_files):
+    rows, expected = [], {}
+    for seed in range(300, 340):
+        library = code(seed, 24)
+        words = [w for line in library.split("\n") for w in line.split(" ")]
+        for n in range(seed % 4):
+            words[(n * 37 + 11) % len(words)] = f"changed{seed}x{n}"
+        copy = " ".join(words)
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (re.findall(r"\w+", text) for text in (library, copy)))
+        rows += [(seed, "r", f"vendor/l/a{seed}.py", library), (1000 + seed, "s", f"src/b{seed}.py", copy)]
+        expected[1000 + seed] = len(a & b) >= 0.8 * len(a | b)
+    assert 0 < sum(expected.values()) < len(expected)
+    got = origins(make_files(*rows))
+    assert {k: got[k] == "vendored" for k in expected} == expected
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(3)
     words = [f"w{rng.randrange(500)}" for _ in range(800)]
