@@ -3,8 +3,8 @@
 Both sides are reduced to words, and words to templates: numbers, units and names become typed
 placeholders, what many items share stays. Every window of a document is hashed over its template and
 looked up among the items' windows; only where a template meets are the slots compared. Equal slots are
-a verbatim leak; slots that are renamed one to one throughout a whole passage are the same question
-with other parameters.
+a verbatim leak; a run of words whose slots are renamed one to one is the same question, whole or in
+part, with other parameters.
 
 The items are a held-out test of fixed size (``MAX_ITEM_WORDS`` words at most, which is checked), so
 their windows travel to the executors and the corpus is read once without a shuffle of its text.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,7 +63,7 @@ def words_of(text: str) -> list[str]:
 
 
 class ItemIndex:
-    """Windows of all items by template hash, and whole passages for re-parameterised matches."""
+    """Windows of all items by template hash, and where each stands for re-parameterised matches."""
 
     def __init__(self, items: list[tuple[int, str]]):
         texts = [(item, words_of(text)) for item, text in items]
@@ -74,16 +74,22 @@ class ItemIndex:
         shared = sorted(w for w, h in holders.items() if len(h) >= TEMPLATE_ITEMS and not _NUMBER.search(w))
         self.fixed = {w: n for n, w in enumerate(shared, 4)}
         self.windows: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.passages: dict[int, dict[tuple[str, ...], int]] = defaultdict(dict)
+        sharing: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item, words in texts:
             ids = self.template(words)
             for start, h in enumerate(self.rolling(ids, WINDOW)):
                 self.windows[int(h)][tuple(words[start : start + WINDOW])].append(item)
             if len(words) >= PASSAGE_WORDS and int((ids > _NAME).sum()) >= PASSAGE_FIXED:
-                first = self.passages[int(self.rolling(ids[:WINDOW], WINDOW)[0])]
-                first[tuple(words)] = min(item, first.get(tuple(words), item))
+                sharing[tuple(words)].append(item)
         self.known = np.array(sorted(self.windows), dtype=np.uint64)
-        self.known_passages = np.array(sorted(self.passages), dtype=np.uint64)
+        # Each distinct text once, and all its windows in order of their hashes.
+        self.texts = [(words, self.fixed_ids(self.template(words)), items) for words, items in sharing.items()]
+        hashes = [self.rolling(self.template(words), WINDOW) for words, _, _ in self.texts]
+        found = np.concatenate([*hashes, np.empty(0, dtype=np.uint64)])
+        order = np.argsort(found, kind="stable")
+        self.window_hashes = found[order]
+        self.window_text = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
+        self.window_start = np.concatenate([np.arange(len(h)) for h in hashes] + [np.empty(0, dtype=np.int64)])[order]
 
     def template(self, words: list[str]) -> np.ndarray:
         fixed = self.fixed
@@ -116,24 +122,57 @@ class ItemIndex:
             found.update(self.windows[int(hashes[i])].get(tuple(words[i : i + WINDOW]), ()))
         return found
 
+    @staticmethod
+    def fixed_ids(ids: np.ndarray) -> list[int]:
+        """The ids of the fixed words, and 0 for slots of any type."""
+        return np.where(ids > _NAME, ids, 0).tolist()
+
     def renamed(self, words: list[str], ids: np.ndarray) -> set[int]:
-        """One item of each passage that stands in the words with its slots renamed one to one, not verbatim.
+        """All items of which a run of words stands here with its slots renamed one to one, whole or in part.
 
-        A passage can only begin where its first window's template does.
+        A run begins at any window whose template meets and reaches as far to both sides as fixed words are equal.
         """
         found: set[int] = set()
         hashes = self.rolling(ids, WINDOW)
-        for i in np.flatnonzero(np.isin(hashes, self.known_passages)):
-            for passage, item in self.passages[int(hashes[i])].items():
-                here = tuple(words[i : i + len(passage)])
-                if here == passage or len(here) < len(passage) or any(a != b and (a in self.fixed or b in self.fixed) for a, b in zip(passage, here)):
+        first, last = np.searchsorted(self.window_hashes, hashes, "left"), np.searchsorted(self.window_hashes, hashes, "right")
+        here = self.fixed_ids(ids)
+        seen: dict[tuple[int, int], int] = {}
+        done: set[int] = set()
+        for i in np.flatnonzero(last > first).tolist():
+            for text, start in zip(self.window_text[first[i] : last[i]].tolist(), self.window_start[first[i] : last[i]].tolist()):
+                if text in done or seen.get((text, i - start), -1) > i:
                     continue
-                pairs = set(zip(passage, here))
-                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
-                    found.add(item)
+                passage, fixed, items = self.texts[text]
+                low = 0
+                while low < min(i, start) and here[i - low - 1] == fixed[start - low - 1]:
+                    low += 1
+                high, room = WINDOW, min(len(here) - i, len(fixed) - start)
+                while high < room and here[i + high] == fixed[start + high]:
+                    high += 1
+                seen[text, i - start] = i + high
+                if _is_renamed(passage[start - low : start + high], words[i - low : i + high], fixed[start - low : start + high]):
+                    done.add(text)
+                    found.update(items)
         return found
 
 
+def _is_renamed(a: Sequence[str], b: Sequence[str], fixed: list[int]) -> bool:
+    """Whether two aligned runs, long enough and with enough fixed words, pair one to one but aren't equal.
+
+    Slots beyond the outermost fixed words may be chance; the run counts with or without them. A contradiction
+    between them makes it another text.
+    """
+    if sum(f > 0 for f in fixed) < PASSAGE_FIXED:
+        return False
+    begin = next(k for k, f in enumerate(fixed) if f)
+    end = len(fixed) - next(k for k, f in enumerate(reversed(fixed)) if f)
+    for part in (slice(None), slice(begin, None), slice(None, end), slice(begin, end)):
+        pairs = set(zip(a[part], b[part]))
+        if len(fixed[part]) >= PASSAGE_WORDS and any(x != y for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+            return True
+    return False
+
+
 def _item_texts(items: DataFrame) -> list[tuple[int, str]]:
     texts = items.select("item_id", F.explode(F.array("question", "expected_answer")).alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL")
     size = texts.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
@@ -145,8 +184,8 @@ def _item_texts(items: DataFrame) -> list[tuple[int, str]]:
 def leaked_items(documents: DataFrame, items: DataFrame, *, renamed: bool = False) -> DataFrame:
     """``doc_id, item_id, how``: documents that hold ``WINDOW`` words in a row of an item's question or answer.
 
-    ``how`` is ``verbatim``; with ``renamed`` also ``renamed`` for whole passages with other parameters (one
-    item per passage template). Passages of items shorter than the window can't leak by this measure. Null
+    ``how`` is ``verbatim``; with ``renamed`` also ``renamed`` for runs of at least
+    ``PASSAGE_WORDS`` with other parameters, ``PASSAGE_FIXED`` of them fixed; all items that hold the run are named. Passages of items shorter than the window can't leak by this measure. Null
     and empty texts on either side match nothing; repeated rows give one row; further columns are ignored.
     """
     texts = _item_texts(items)

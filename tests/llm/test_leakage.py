@@ -53,6 +53,19 @@ def test_renamed(spark):
     assert (1, "renamed") in rows and not any(d == 2 for d, _ in rows) and (3, "verbatim") in rows
 
 
+def test_renamed_in_part():
+    items = item_rows()
+    index = ItemIndex([(i[0], t) for i in items for t in i[2:4]] + [(99, items[3][3])])
+    other = items[3][3].replace("loadDelta3", "fooBar").replace("loadEcho3", "barFoo").replace("loadFox3", "bazQux").replace("40", "77")
+    words = other.split()
+    cuts = (" ".join(words[1:]), " ".join(words[:-2]), "so " + " ".join(words[:4] + ["single"] + words[4:]), other.replace("fooBar", "foo bar"))
+    for text in (other, *cuts):
+        w = words_of("before that " + text + " something else")
+        assert {3, 99} <= index.renamed(w, index.template(w)), text
+    w = words_of(" ".join(words[:11]))
+    assert not index.renamed(w, index.template(w))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "some text of no interest at all, twelve words or more are here")], "doc_id long, text string")
     assert leaked_items(docs, spark.createDataFrame([], ITEM)).count() == 0
