@@ -1,9 +1,9 @@
 """Credentials embedded in files of any kind: found with file and line, and masked.
 
-One automaton holds the anchors of every grammar (token formats, key armor, connection strings,
-headers, command-line flags and names of secrets). A text is scanned once, in overlapping chunks; each
-anchor's grammar is then matched on the whole text at that place, so that no find is cut at a chunk's
-end, and finds are kept by absolute span. The work is per file: no shuffle moves any text.
+Token formats, key armor, connection strings and the words that announce a credential are one
+deterministic automaton. The texts of an Arrow batch are scanned by it in chunks whose walks reach on
+into the next, finds are kept by absolute span, and placeholders are spliced in. The work is per file:
+no shuffle moves any text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.llm.credential_grammar import find_credentials, line_of, line_starts, redact
+from contextloom.llm.credential_grammar import find_in_texts, line_of, line_starts, redact
 from contextloom.llm.origin_marks import extension
 from contextloom.sources.tables import spread
 
@@ -22,12 +22,15 @@ from contextloom.sources.tables import spread
 PROGRAM_ENDINGS = frozenset("go py java ts tsx js jsx mjs cjs c h cc cpp cxx hpp rs kt scala swift cs php rb".split())
 
 
+def _spans(pdf: pd.DataFrame) -> list:
+    return find_in_texts(list(pdf["content"]), [extension(p or "") in PROGRAM_ENDINGS for p in pdf["path"]])
+
+
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["file_id", "line_no", "secret_type", "start", "end"]
     for pdf in batches:
         rows = []
-        for file_id, path, content in zip(pdf["file_id"], pdf["path"], pdf["content"]):
-            spans = find_credentials(content, extension(path or "") in PROGRAM_ENDINGS)
+        for file_id, content, spans in zip(pdf["file_id"], pdf["content"], _spans(pdf)):
             starts = line_starts(content) if spans else []
             rows += [(file_id, line_of(starts, s.start), s.kind, s.start, s.end) for s in spans]
         yield pd.DataFrame(rows, columns=columns)
@@ -53,12 +56,8 @@ def redacted_files(files: DataFrame) -> DataFrame:
 
     def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            masked, counts = [], []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                spans = find_credentials(content, extension(path or "") in PROGRAM_ENDINGS)
-                masked.append(redact(content, spans))
-                counts.append(len(spans))
-            pdf["content"], pdf["found_redactions"] = masked, counts
+            found = _spans(pdf)
+            pdf["content"], pdf["found_redactions"] = [redact(c, s) for c, s in zip(pdf["content"], found)], [len(s) for s in found]
             yield pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "found_redactions")
