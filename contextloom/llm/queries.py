@@ -10,7 +10,7 @@ from contextloom.llm.leakage import leaked_items
 from contextloom.llm.origin import source_origins
 from contextloom.llm.packing import fill_report, packed
 from contextloom.llm.reading_level import demanding_documents, reading_levels
-from contextloom.llm.splitting import file_pieces, oversized, piece_texts, run_pieces
+from contextloom.llm.splitting import file_pieces, oversized, run_pieces
 from contextloom.sources.tables import table
 
 
@@ -36,16 +36,35 @@ def p2_pieces(spark, sf_dir):
 
 def p2_texts(spark, sf_dir):
     files, runs, run_files = _run_tables(spark, sf_dir)
-    texts = piece_texts(files, file_pieces(files, oversized(files, runs, run_files)))
+    texts = file_pieces(files, oversized(files, runs, run_files), texts=True)
     return texts.select("file_id", "max_tokens", "overlap_tokens", "piece_no", F.expr("octet_length(text) div 4").alias("tokens"), F.md5("text").alias("text_md5"))
 
 
+def p2_whole(spark, sf_dir):
+    """Per file and setting: the pieces' own parts put together again, and whether sizes and repeats hold."""
+    files, runs, run_files = _run_tables(spark, sf_dir)
+    texts = file_pieces(files, oversized(files, runs, run_files), texts=True)
+    own = F.struct("piece_no", F.expr("substring(cast(text AS binary), cast(n_repeated + 1 AS int))").alias("own"))
+    repeats = F.when(F.col("piece_no") == 1, F.col("n_repeated") == 0).otherwise(F.col("n_repeated").between(F.least(4 * F.col("overlap_tokens"), F.col("cut_start")), 4 * F.col("overlap_tokens") + 3))
+    checked = texts.groupBy("file_id", "max_tokens", "overlap_tokens").agg(
+        F.array_sort(F.collect_list(own)).alias("parts"), F.bool_and(F.expr("octet_length(text) div 4 <= max_tokens")).alias("all_fit"), F.bool_and(repeats).alias("all_repeat")
+    )
+    whole = F.aggregate("parts", F.expr("cast('' AS binary)"), lambda s, p: F.concat(s, p["own"]))
+    return checked.select("file_id", "max_tokens", "overlap_tokens", F.md5(whole).alias("content_md5"), "all_fit", "all_repeat")
+
+
 P2_SQL = """
 WITH limits AS (SELECT run_id, max(max_tokens) AS max_tokens FROM runs WHERE max_tokens > 0 GROUP BY run_id),
 lengths AS (SELECT file_id, max(strlen(content)) AS n_bytes FROM files WHERE content IS NOT NULL GROUP BY file_id)
 SELECT DISTINCT m.run_id, m.file_id
 FROM run_files m JOIN limits l USING (run_id) JOIN lengths b USING (file_id)
 WHERE b.n_bytes // 4 > l.max_tokens"""
+P2_WHOLE_SQL = """
+WITH limits AS (SELECT run_id, max(max_tokens) AS max_tokens, least(greatest(coalesce(max_by(overlap_tokens, max_tokens), 0), 0), max(max_tokens) - 1) AS overlap_tokens FROM runs WHERE max_tokens > 0 GROUP BY run_id),
+texts AS (SELECT file_id, max(strlen(content)) AS n_bytes, arg_max(md5(content), strlen(content)) AS content_md5 FROM files WHERE content IS NOT NULL GROUP BY file_id)
+SELECT DISTINCT m.file_id, l.max_tokens, l.overlap_tokens, b.content_md5, TRUE AS all_fit, TRUE AS all_repeat
+FROM run_files m JOIN limits l USING (run_id) JOIN texts b USING (file_id)
+WHERE b.n_bytes // 4 > l.max_tokens"""
 
 
 def p3_found(spark, sf_dir):
@@ -100,6 +119,6 @@ def p4_redacted(spark, sf_dir):
 
 QUERIES = {
     query.__name__: query
-    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks, p8_found, p8_levels)
+    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p2_whole, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks, p8_found, p8_levels)
 }
-ORACLES: dict[str, str] = {"p2_found": P2_SQL}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL}
