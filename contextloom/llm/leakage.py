@@ -1,47 +1,59 @@
 """Evaluation texts that leaked into a training corpus.
 
-Both sides are reduced to words, and words to templates: numbers, units and names become typed
-placeholders, what many items share stays. Every window of a document is hashed over its template and
-looked up among the items' windows; only where a template meets are the slots compared. Equal slots are
-a verbatim leak; a run of words whose slots are renamed one to one is the same question, whole or in
-part, with other parameters.
-
-The items are a held-out test of fixed size (``MAX_ITEM_WORDS`` words at most, which is checked), so
-their windows travel to the executors and the corpus is read once without a shuffle of its text.
+1. Both sides are reduced to words, and words to templates: numbers, units and names become typed
+   placeholders, told by their own shape, so that nothing depends on how many items there are. A
+   placeholder that stands for the same word as one before it in its window points back to it.
+2. Every window of ``WINDOW`` words is hashed twice: over its template, and over a flat one that keeps
+   names, as texts quoted in another case have lost their shape. The windows of items and documents are
+   joined by these hashes. Equal template hashes mean that the slots correspond one to one.
+3. The slots are compared: equal ones are a verbatim leak, others the same passage with other parameters.
+
+A bitmap of the items' hashes goes to the executors first, so that of a document only windows that some
+item may share are shuffled. Its size is at most ``BITMAP_BITS`` whatever the test's size; where it
+fills up, more windows pass and the join still decides.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.sources.tables import spread
+from contextloom.storage import materialize
 
 #: Words in a row that make a leak.
 WINDOW = 12
-#: A word of so many items is part of their templates; rarer ones fill slots.
-TEMPLATE_ITEMS = 8
-#: A passage with other parameters must have so many words, and so many that are no slots.
-PASSAGE_WORDS, PASSAGE_FIXED = 12, 8
-#: The largest test that is sent to the executors: about 64 MB of windows.
-MAX_ITEM_WORDS = 2_000_000
-
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
+#: A window with other parameters must have so many words that are no slots.
+FIXED = 8
+#: A flat template needs so many words besides numbers and units, else these stay.
+FLAT_FIXED = 4
+#: The largest bitmap: 16 MB; and its bits per window of an item below that.
+BITMAP_BITS, BITS_PER_WINDOW, LEAST_BITS = 1 << 27, 1 << 10, 1 << 15
+
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([0-9A-F]{2})(?=[%A-Za-z0-9])|\\[nrtbfv\"'/\\]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
-_NUMBER = re.compile(r"\d")
+_HUMP = re.compile(r"[a-z][A-Z]|[A-Z][A-Z][a-z]")
 # Units of measure that follow numbers.
 UNITS = frozenset("ms s sec secs second seconds min mins minute minutes h hour hours day days kb mb gb tb kib mib gib bytes byte px percent pct hz khz mhz ghz m km cm mm kg g".split())
-_NUM, _UNIT, _NAME = 1, 2, 3
+# Words that begin sentences; capitals don't make them names.
+STARTERS = frozenset(
+    "a an and are as at because before but by can could do does every for from given had has have he her his how i if in is it its many much my no not nothing of on once one or our she should since "
+    "so some that the their then there these they this those to under until was we were what when where which while who whose why will with without would you your".split()
+)
+_FIXED, _NUM, _UNIT, _NAME = 0, 1, 2, 3
+_KIND = np.uint64(3)
+_FLAT_SEED, _SHAPE_SEED, _WORD_SEED = np.uint64(11), np.uint64(23), np.uint64(47)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_KNOWN_WORDS = 1 << 18
 
 
 def _unescape(m: re.Match) -> str:
@@ -49,8 +61,8 @@ def _unescape(m: re.Match) -> str:
     return chr(int(code, 16)) if code else " "
 
 
-def words_of(text: str) -> list[str]:
-    """The text's words in lower case, without markup, entities, escapes, quote and comment signs, and breaks."""
+def cased_words(text: str) -> list[str]:
+    """The text's words as written, without markup, entities, escapes, quote and comment signs, and breaks."""
     if "&" in text:
         text = html.unescape(text)
     if "\\" in text or "%" in text:
@@ -59,153 +71,159 @@ def words_of(text: str) -> list[str]:
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-    return _WORD.findall(text.lower())
-
-
-class ItemIndex:
-    """Windows of all items by template hash, and where each stands for re-parameterised matches."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = [(item, words_of(text)) for item, text in items]
-        holders: dict[str, set[int]] = defaultdict(set)
-        for item, words in texts:
-            for w in words:
-                holders[w].add(item)
-        shared = sorted(w for w, h in holders.items() if len(h) >= TEMPLATE_ITEMS and not _NUMBER.search(w))
-        self.fixed = {w: n for n, w in enumerate(shared, 4)}
-        self.windows: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
-        sharing: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for item, words in texts:
-            ids = self.template(words)
-            for start, h in enumerate(self.rolling(ids, WINDOW)):
-                self.windows[int(h)][tuple(words[start : start + WINDOW])].append(item)
-            if len(words) >= PASSAGE_WORDS and int((ids > _NAME).sum()) >= PASSAGE_FIXED:
-                sharing[tuple(words)].append(item)
-        self.known = np.array(sorted(self.windows), dtype=np.uint64)
-        # Each distinct text once, and all its windows in order of their hashes.
-        self.texts = [(words, self.fixed_ids(self.template(words)), items) for words, items in sharing.items()]
-        hashes = [self.rolling(self.template(words), WINDOW) for words, _, _ in self.texts]
-        found = np.concatenate([*hashes, np.empty(0, dtype=np.uint64)])
-        order = np.argsort(found, kind="stable")
-        self.window_hashes = found[order]
-        self.window_text = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
-        self.window_start = np.concatenate([np.arange(len(h)) for h in hashes] + [np.empty(0, dtype=np.int64)])[order]
-
-    def template(self, words: list[str]) -> np.ndarray:
-        fixed = self.fixed
-        ids = np.fromiter((fixed.get(w, _NAME) for w in words), dtype=np.uint64, count=len(words))
-        for i in np.flatnonzero(ids == _NAME):
-            if _NUMBER.search(words[i]):
-                ids[i] = _NUM if words[i].isdigit() or not words[i][0].isalpha() else _NAME
-            elif i and ids[i - 1] == _NUM and words[i] in UNITS:
-                ids[i] = _UNIT
-        return ids
-
-    @staticmethod
-    def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-        """One hash per window of ``width`` templated words."""
-        n = len(ids) - width + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.uint64)
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(width):
-            h = (h ^ (ids[k : k + n] + np.uint64(k + 1))) * _MULT
-            h ^= h >> np.uint64(31)
-        return h
-
-    def verbatim(self, words: list[str], ids: np.ndarray) -> set[int]:
-        found: set[int] = set()
-        hashes = self.rolling(ids, WINDOW)
-        at = np.searchsorted(self.known, hashes)
-        at[at == len(self.known)] = 0
-        for i in np.flatnonzero(self.known[at] == hashes) if len(self.known) else ():
-            found.update(self.windows[int(hashes[i])].get(tuple(words[i : i + WINDOW]), ()))
-        return found
-
-    @staticmethod
-    def fixed_ids(ids: np.ndarray) -> list[int]:
-        """The ids of the fixed words, and 0 for slots of any type."""
-        return np.where(ids > _NAME, ids, 0).tolist()
-
-    def renamed(self, words: list[str], ids: np.ndarray) -> set[int]:
-        """All items of which a run of words stands here with its slots renamed one to one, whole or in part.
-
-        A run begins at any window whose template meets and reaches as far to both sides as fixed words are equal.
-        """
-        found: set[int] = set()
-        hashes = self.rolling(ids, WINDOW)
-        first, last = np.searchsorted(self.window_hashes, hashes, "left"), np.searchsorted(self.window_hashes, hashes, "right")
-        here = self.fixed_ids(ids)
-        seen: dict[tuple[int, int], int] = {}
-        done: set[int] = set()
-        for i in np.flatnonzero(last > first).tolist():
-            for text, start in zip(self.window_text[first[i] : last[i]].tolist(), self.window_start[first[i] : last[i]].tolist()):
-                if text in done or seen.get((text, i - start), -1) > i:
-                    continue
-                passage, fixed, items = self.texts[text]
-                low = 0
-                while low < min(i, start) and here[i - low - 1] == fixed[start - low - 1]:
-                    low += 1
-                high, room = WINDOW, min(len(here) - i, len(fixed) - start)
-                while high < room and here[i + high] == fixed[start + high]:
-                    high += 1
-                seen[text, i - start] = i + high
-                if _is_renamed(passage[start - low : start + high], words[i - low : i + high], fixed[start - low : start + high]):
-                    done.add(text)
-                    found.update(items)
-        return found
-
-
-def _is_renamed(a: Sequence[str], b: Sequence[str], fixed: list[int]) -> bool:
-    """Whether two aligned runs, long enough and with enough fixed words, pair one to one but aren't equal.
-
-    Slots beyond the outermost fixed words may be chance; the run counts with or without them. A contradiction
-    between them makes it another text.
+    return _WORD.findall(text)
+
+
+def words_of(text: str) -> list[str]:
+    """``cased_words`` in lower case."""
+    return [w.lower() for w in cased_words(text)]
+
+
+def word_kind(word: str) -> int:
+    """What a word would be in a template by its own shape; a unit is one only behind a number."""
+    if word[0].isdigit():
+        return _NUM
+    if word.lower() in UNITS:
+        return _UNIT
+    if any(map(str.isdigit, word)) or _HUMP.search(word):
+        return _NAME
+    return _NAME if len(word) > 1 and word[0].isupper() and word[1:].islower() and word.lower() not in STARTERS else _FIXED
+
+
+class _Codes(dict):
+    """By word as written: the hash of its lower case, and in the last two bits its kind."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        self[word] = code = xxhash.xxh3_64_intdigest(word.lower()) & ~3 | word_kind(word)
+        return code
+
+
+_codes = _Codes()
+
+
+def _hash(columns: Iterator[np.ndarray], n: int, seed: np.uint64) -> np.ndarray:
+    h = np.full(n, seed, dtype=np.uint64)
+    for column in columns:
+        h = (h ^ column) * _MULT
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, flat, shape, words)`` of every window of the texts: the text's number and three hashes.
+
+    ``flat`` is over the template that keeps names, ``words`` over the words themselves. ``shape`` is over
+    the template with all placeholders; it is 0 for windows with fewer than ``FIXED`` other words or without
+    placeholders. Texts shorter than a window have none.
     """
-    if sum(f > 0 for f in fixed) < PASSAGE_FIXED:
-        return False
-    begin = next(k for k, f in enumerate(fixed) if f)
-    end = len(fixed) - next(k for k, f in enumerate(reversed(fixed)) if f)
-    for part in (slice(None), slice(begin, None), slice(None, end), slice(begin, end)):
-        pairs = set(zip(a[part], b[part]))
-        if len(fixed[part]) >= PASSAGE_WORDS and any(x != y for x, y in pairs) and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
-            return True
-    return False
-
-
-def _item_texts(items: DataFrame) -> list[tuple[int, str]]:
-    texts = items.select("item_id", F.explode(F.array("question", "expected_answer")).alias("t")).where("item_id IS NOT NULL AND t IS NOT NULL")
-    size = texts.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"the test has {size} words; split it into parts of {MAX_ITEM_WORDS} and union their results")
-    return [(r.item_id, r.t) for r in texts.distinct().orderBy("item_id", "t").toLocalIterator()]
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, *, renamed: bool = False) -> DataFrame:
+    words = [cased_words(t) for t in texts]
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    total = int(lengths.sum())
+    code = np.fromiter((_codes[w] for of in words for w in of), dtype=np.uint64, count=total)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    n = total - WINDOW + 1
+    if n <= 0:
+        none = np.empty(0, dtype=np.uint64)
+        return none.astype(np.int64), none, none, none
+    low, kind = code & ~_KIND, (code & _KIND).astype(np.int8)
+    numbers = np.flatnonzero(kind == _UNIT)
+    lone = numbers[(numbers == 0) | (kind[numbers - 1] != _NUM) | (owner[numbers] != owner[numbers - 1])]
+    kind[lone] = _FIXED
+    # how far back the same word last filled a slot
+    slots = np.flatnonzero(kind != _FIXED)
+    back = np.zeros(total, dtype=np.int64)
+    if len(slots) > 1:
+        order = slots[np.lexsort((slots, low[slots]))]
+        same = low[order[1:]] == low[order[:-1]]
+        back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    sign = kind.astype(np.uint64)
+    numeric, slot = (kind == _NUM) | (kind == _UNIT), kind != _FIXED
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(mask)))
+        return sums[WINDOW:] - sums[:-WINDOW]
+
+    few_slots = count(numeric) <= WINDOW - FLAT_FIXED
+    n_slots = count(slot)
+
+    def symbols(mask: np.ndarray, allowed: np.ndarray | None) -> Iterator[np.ndarray]:
+        for k in range(WINDOW):
+            here, far = mask[k : k + n], back[k : k + n]
+            if allowed is not None:
+                here = here & allowed
+            yield np.where(here, sign[k : k + n] + np.uint64(4) * np.where(far <= k, far, 0).astype(np.uint64), low[k : k + n])
+
+    shape = _hash(symbols(slot, None), n, _SHAPE_SEED)
+    shape[(n_slots > WINDOW - FIXED) | (n_slots == 0)] = 0
+    flat = _hash(symbols(numeric, few_slots), n, _FLAT_SEED)
+    plain = _hash((low[k : k + n] for k in range(WINDOW)), n, _WORD_SEED)
+    whole = owner[:n] == owner[WINDOW - 1 :]
+    return owner[:n][whole], flat[whole], shape[whole], plain[whole]
+
+
+def _rows(ids: pd.Series, texts: pd.Series, passes=None) -> pd.DataFrame:
+    """``id, key, words`` of the windows of texts, for both templates; each once per text."""
+    owner, flat, shape, plain = windows(list(texts))
+    owner, key, plain = np.concatenate((owner, owner)), np.concatenate((flat, shape)), np.concatenate((plain, plain))
+    keep = key != 0
+    if passes is not None:
+        keep &= passes(key)
+    rows = pd.DataFrame({"id": ids.to_numpy()[owner[keep]], "key": key[keep].view(np.int64), "words": plain[keep].view(np.int64)})
+    return rows.drop_duplicates()
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """``item_id, key, words`` of all windows of all questions and answers."""
+    texts = items.where("item_id IS NOT NULL").select("item_id", F.explode(F.array("question", "expected_answer")).alias("text")).where("text IS NOT NULL")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _rows(pdf["item_id"], pdf["text"]).rename(columns={"id": "item_id"})
+
+    return texts.mapInPandas(read, "item_id long, key long, words long").distinct()
+
+
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """The bits of all keys, as bytes; built by partial aggregates, at most ``BITMAP_BITS`` long."""
+    n = keys.count()
+    bits = min(BITMAP_BITS, max(LEAST_BITS, 1 << max(0, n * BITS_PER_WINDOW - 1).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit(bits - 1))
+    parts = keys.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        chunk = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+        start = (row.part - 1) * len(chunk)
+        out[start : start + len(chunk)] = chunk
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, how``: documents that hold ``WINDOW`` words in a row of an item's question or answer.
 
-    ``how`` is ``verbatim``; with ``renamed`` also ``renamed`` for runs of at least
-    ``PASSAGE_WORDS`` with other parameters, ``PASSAGE_FIXED`` of them fixed; all items that hold the run are named. Passages of items shorter than the window can't leak by this measure. Null
-    and empty texts on either side match nothing; repeated rows give one row; further columns are ignored.
+    ``how`` is ``verbatim``, or ``renamed`` if the words are the item's but for numbers, units and names, which
+    correspond one to one, ``FIXED`` words at least being no such slots. All items that hold the passage are
+    named. Passages of items shorter than the window can't leak by this measure. Null and empty texts on
+    either side match nothing; repeated rows give one row; further columns are ignored.
     """
-    texts = _item_texts(items)
-    index: list[ItemIndex] = []
+    spark = documents.sparkSession
+    known = materialize(item_windows(items), "item-windows")
+    bitmap = spark.sparkContext.broadcast(key_bitmap(known.select("key").distinct()))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not index:
-            index.append(ItemIndex(texts))
+        bits = bitmap.value
+        mask = np.uint64(len(bits) * 8 - 1)
+
+        def passes(key: np.ndarray) -> np.ndarray:
+            place = key & mask
+            return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                words = words_of(text)
-                if len(words) < WINDOW:
-                    continue
-                ids = index[0].template(words)
-                leaks = index[0].verbatim(words, ids)
-                rows += [(doc_id, item, "verbatim") for item in leaks]
-                if renamed:
-                    rows += [(doc_id, item, "renamed") for item in index[0].renamed(words, ids) - leaks]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "how"])
+            yield _rows(pdf["doc_id"], pdf["text"], passes).rename(columns={"id": "doc_id"})
 
     source = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return spread(source, "doc_id").mapInPandas(scan, "doc_id long, item_id long, how string").distinct()
+    met = spread(source, "doc_id").mapInPandas(scan, "doc_id long, key long, words long")
+    same = (F.col("words") == F.col("item_words")).cast("int")
+    pairs = met.join(known.withColumnRenamed("words", "item_words"), "key").groupBy("doc_id", "item_id").agg(F.max(same).alias("same"))
+    return pairs.select("doc_id", "item_id", F.when(F.col("same") == 1, "verbatim").otherwise("renamed").alias("how"))

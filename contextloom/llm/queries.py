@@ -93,11 +93,11 @@ def p6_fill(spark, sf_dir):
 
 
 def p7_found(spark, sf_dir):
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions")).select("doc_id", "item_id").distinct()
+    return p7_leaks(spark, sf_dir).where("how = 'verbatim'").select("doc_id", "item_id")
 
 
 def p7_leaks(spark, sf_dir):
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions"), renamed=True)
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_questions"))
 
 
 def p8_found(spark, sf_dir):
@@ -117,8 +117,28 @@ def p4_redacted(spark, sf_dir):
     return masked.select("file_id", F.md5("content").alias("content_md5"), "found_redactions").distinct()
 
 
+def _words_sql(column: str) -> str:
+    """A list of a text's words in lower case, in SQL; entities and escapes become spaces or vanish."""
+    text = column
+    for pattern, by in ((r"&(?:#39|#x27|apos|rsquo|shy|zwnj|zwj);", "''"), (r"&#?\w+;", " "), (r"\\u[0-9a-fA-F]{4}|\\[nrtbfv\"''/\\]", " "), (r"</?[A-Za-z!][^<>]*>", " "), ("[\u00ad\u200b-\u200f\u2060\ufeff]", "")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _windows_sql(key: str, words: str, source: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string({words}[i : i + 11], ' ') AS w FROM (SELECT {key}, {words}, unnest(range(1, len({words}) - 10)) AS i FROM {source})"
+
+
+P7_SQL = f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, {_words_sql("t")} AS y FROM (SELECT item_id, unnest([question, expected_answer]) AS t FROM golden_questions) WHERE t IS NOT NULL),
+dw AS ({_windows_sql("doc_id", "x", "d")}),
+iw AS ({_windows_sql("item_id", "y", "i")})
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
+
+
 QUERIES = {
     query.__name__: query
     for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p2_whole, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks, p8_found, p8_levels)
 }
-ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL, "p7_found": P7_SQL}
