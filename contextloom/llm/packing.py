@@ -1,12 +1,14 @@
 """Filling fixed-capacity containers with items, by non-negative least squares over the length histogram.
 
-1. Lengths are counted; the histogram has at most capacity + 1 entries, whatever the number of items.
+1. Lengths are counted; the histogram has at most ``LENGTHS`` entries, whatever the number of items.
 2. Shallow combinations (one to three distinct lengths, some repeated) that fill a window below the
    capacity are enumerated, and non-negative least squares gives how often to use each so that their sum
-   meets the histogram. Counts are rounded down, and the residual lengths are packed greedily, largest
-   first, again as repeated combinations.
-3. Every item is ranked among the items of its length and takes the place its rank points to. Lengths
-   are split by salt for the ranking, so a length that a third of all items have is no hot task.
+   meets the histogram. Counts are rounded, what is left is enumerated and solved again, and the residual
+   lengths are packed greedily, largest first, again as repeated combinations. Several windows are solved
+   and the plan with the fewest containers is kept.
+3. Every item is ranked among the items of its length and takes the place its rank points to. A length is
+   split by as many salts as it has items for, so a length that a third of all items have is no hot task.
+   Parts that fill a container alone aren't planned: their texts are ranked by a running sum.
 
 A separator is lost between two items: with ``c`` capacity and ``s`` separator, items of ``length + s`` go
 into containers of ``c + s``.
@@ -25,21 +27,24 @@ from pyspark.sql import functions as F
 
 from contextloom.storage import materialize
 
-#: Salts per length in the ranking.
-SALTS = 64
-#: Share of the capacity that an enumerated combination may leave unused; at 0 the greedy rest packs best (measured from 0.01 down).
-WINDOW = 0.0
+#: Items of one length that are ranked in one group.
+GROUP_ITEMS = 50_000
+#: What is tried: the share of the capacity that a combination may leave unused, and how often the rest is solved again.
+ATTEMPTS = ((0.0, 2), (0.005, 3))
+#: Combinations per length, times lengths.
+PATTERNS = 30_000
 NNLS_STEPS = 150
-#: Containers larger than this need another method: the histogram is solved on the driver.
-MAX_CAPACITY = 1 << 20
+#: Distinct lengths that are planned; lengths of larger containers are rounded up to as many steps, which always fits.
+LENGTHS = 1 << 16
 
 Pattern = tuple[tuple[int, int], ...]
 
 
-def combinations(sizes: np.ndarray, capacity: int) -> list[Pattern]:
-    """Combinations ``((size, repeats), ...)`` of up to three distinct sizes that fill the window below the capacity."""
-    least = capacity - int(capacity * WINDOW)
+def combinations(sizes: np.ndarray, capacity: int, window: float = 0.0) -> list[Pattern]:
+    """Combinations ``((size, repeats), ...)`` of up to three distinct sizes that leave at most ``window`` of the capacity unused."""
+    least = capacity - int(capacity * window)
     present = [int(s) for s in sizes if s > 0]
+    spread = min(48, max(4, PATTERNS // max(1, len(present))))
     found: dict[Pattern, None] = {}
 
     def largest_within(room: int) -> int:
@@ -61,13 +66,16 @@ def combinations(sizes: np.ndarray, capacity: int) -> list[Pattern]:
                 continue
             room = capacity - times * size
             add((size, times))
-            for more in (1, 2, 3):
-                second = largest_within(room // more)
-                if not second:
-                    break
-                rest = room - more * second
-                add((size, times), (second, more))
-                add((size, times), (second, more), (largest_within(rest), 1))
+            smaller = bisect_right(present, room)
+            if not smaller:
+                continue
+            seconds = {largest_within(room // more) for more in (1, 2, 3)} - {0}
+            if times <= 2:  # few large items leave room for many mixes
+                seconds |= {present[k * (smaller - 1) // max(1, spread - 1)] for k in range(spread)}
+            for second in seconds:
+                for more in {1, min(3, room // second)}:
+                    add((size, times), (second, more))
+                    add((size, times), (second, more), (largest_within(room - more * second), 1))
     return list(found)
 
 
@@ -128,25 +136,38 @@ def _greedy(counts: dict[int, int], capacity: int) -> Iterator[tuple[Pattern, in
                 sizes.remove(s)
 
 
+def _solved(left: dict[int, int], capacity: int, window: float, rounds: int) -> list[tuple[Pattern, int]]:
+    """One plan: least squares over the window's combinations, again over what rounding leaves, then greedily."""
+    left, plan = dict(left), []
+    for turn in range(rounds):
+        patterns = combinations(np.array(sorted(s for s, n in left.items() if n)), capacity, window)
+        wanted = non_negative_least_squares(patterns, {s: n for s, n in left.items() if n})
+        before = len(plan)
+        for k in np.argsort(-wanted, kind="stable"):
+            times = int(wanted[k] + (0.5 if turn == rounds - 1 else 0))
+            if times < 1:
+                break
+            times = min(times, *(left[s] // t for s, t in patterns[k]))
+            if times:
+                plan.append((patterns[k], times))
+                for s, t in patterns[k]:
+                    left[s] -= t * times
+        if len(plan) == before:
+            break
+    plan.extend(_greedy({s: n for s, n in left.items() if n}, capacity))
+    return plan
+
+
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Combinations of sizes, each with its number of containers, that take up the histogram exactly."""
+    """Combinations of sizes, each with its number of containers, that take up the histogram exactly.
+
+    The best of ``ATTEMPTS`` and of the greedy packing alone, so never more containers than largest first.
+    """
     left = {s: n for s, n in histogram.items() if n > 0}
     if not left:
         return []
-    patterns = combinations(np.array(sorted(left)), capacity)
-    wanted = non_negative_least_squares(patterns, left)
-    plan = []
-    for k in np.argsort(-wanted, kind="stable"):
-        times = int(wanted[k])
-        if times < 1:
-            break
-        times = min(times, *(left[s] // t for s, t in patterns[k]))
-        if times:
-            plan.append((patterns[k], times))
-            for s, t in patterns[k]:
-                left[s] -= t * times
-    plan.extend(_greedy({s: n for s, n in left.items() if n}, capacity))
-    return plan
+    plans = [_solved(left, capacity, window, rounds) for window, rounds in ATTEMPTS] + [list(_greedy(dict(left), capacity))]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 class Places:
@@ -181,28 +202,45 @@ def item_sizes(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", tokens.alias("tokens")).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
+def _ranked(rows: DataFrame, key: str, weight: str, counts: DataFrame) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``weight`` over the rows before it among those of its ``key``, by group of salt, then doc_id.
+
+    ``counts`` has ``key`` and ``n``, its rows (at most ``LENGTHS`` + 1, so it is broadcast); a key has one salt per ``GROUP_ITEMS`` of them.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP_ITEMS)).cast("int").alias("salt")
+    salted = rows.join(F.broadcast(counts.select(key, "n")), key).select(*rows.columns, salt)
+    groups = salted.groupBy(key, "salt").agg(F.sum(weight).alias("w"))
+    offsets = groups.select(key, "salt", (F.sum("w").over(W.partitionBy(key).orderBy("salt")) - F.col("w")).alias("offset"))
+    within = F.sum(weight).over(W.partitionBy(key, "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col(weight)
+    return salted.withColumn("within", within).join(offsets, [key, "salt"]).select(*rows.columns, (F.col("offset") + F.col("within")).alias("before"))
+
+
 def _fill(sizes: DataFrame, name: str, capacity: int, separator: int) -> DataFrame:
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(capacity)).cast("int"))
-    parts = sizes.select("doc_id", "tokens", F.explode(F.sequence(F.lit(1), n_parts)).alias("part_no")).select(
-        "doc_id",
-        F.col("part_no").cast("int").alias("part_no"),
-        F.least(F.lit(capacity), F.col("tokens") - (F.col("part_no") - 1) * capacity).cast("long").alias("tokens"),
-        F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    groups = parts.groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
-    offsets = groups.select("tokens", "salt", "n", (F.sum("n").over(W.partitionBy("tokens").orderBy("salt")) - F.col("n")).alias("before"))
-    histogram = {int(r.tokens) + separator: int(r.n) for r in groups.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
-    places = Places(plan_containers(histogram, capacity + separator))
-    ranked = parts.withColumn("k", F.row_number().over(W.partitionBy("tokens", "salt").orderBy("doc_id", "part_no"))).join(offsets, ["tokens", "salt"])
+    whole = F.floor(F.col("tokens") / F.lit(capacity)).cast("long")
+    parts = sizes.select("doc_id", F.lit(0).alias("all"), whole.alias("n_full"), (F.col("tokens") - whole * capacity).alias("rest"), "tokens")
+    # full parts: one container each, numbered by a running sum over their texts
+    full = parts.where("n_full > 0").select("doc_id", "all", "n_full")
+    totals = full.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.sum("n_full").alias("parts"))
+    n_full = (totals.first() or {"parts": 0})["parts"]
+    columns = [F.lit(name).alias("container"), "bin", "doc_id", F.col("part_no").cast("int").alias("part_no"), F.col("tokens").cast("long").alias("tokens")]
+    alone = _ranked(full, "all", "n_full", totals).select("doc_id", "before", F.explode(F.sequence(F.lit(1), F.col("n_full").cast("int"))).alias("part_no"))
+    alone = alone.select("doc_id", "part_no", (F.col("before") + F.col("part_no") - 1).alias("bin"), F.lit(capacity).alias("tokens")).select(*columns)
+    # the rest of each text, and texts that fit
+    step = -(-(capacity + separator) // LENGTHS)
+    length = F.ceil((F.col("rest") + separator) / F.lit(step)).cast("long")
+    rests = parts.where("rest > 0 OR tokens = 0").select("doc_id", length.alias("length"), (F.col("n_full") + 1).alias("part_no"), F.col("rest").alias("tokens"), F.lit(1).alias("one"))
+    counts = rests.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    histogram = {int(r.length): int(r.n) for r in counts.collect()}  # at most LENGTHS + 1 rows
+    places = Places(plan_containers(histogram, (capacity + separator) // step))
+    ranked = _ranked(rests, "length", "one", counts)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bins = places.locate(pdf["tokens"].to_numpy() + separator, pdf["rank"].to_numpy())
+            bins = n_full + places.locate(pdf["length"].to_numpy(), pdf["before"].to_numpy())
             yield pd.DataFrame({"container": name, "bin": bins, "doc_id": pdf["doc_id"], "part_no": pdf["part_no"], "tokens": pdf["tokens"]})
 
-    return ranked.select("doc_id", "part_no", "tokens", (F.col("before") + F.col("k") - 1).alias("rank")).mapInPandas(
-        place, "container string, bin long, doc_id long, part_no int, tokens long"
-    )
+    placed = ranked.select("doc_id", "part_no", "tokens", "length", "before").mapInPandas(place, "container string, bin long, doc_id long, part_no int, tokens long")
+    return placed.unionByName(alone)
 
 
 def packed(documents: DataFrame, containers: DataFrame) -> DataFrame:
@@ -217,8 +255,6 @@ def packed(documents: DataFrame, containers: DataFrame) -> DataFrame:
     sizes = materialize(item_sizes(documents), "item-sizes")
     out = None
     for kind in kinds:
-        if kind.capacity_tokens > MAX_CAPACITY:
-            raise ValueError(f"capacity {kind.capacity_tokens} is above {MAX_CAPACITY}")
         filled = _fill(sizes, kind.container, int(kind.capacity_tokens), int(kind.separator_tokens))
         out = filled if out is None else out.unionByName(filled)
     return out if out is not None else documents.sparkSession.createDataFrame([], "container string, bin long, doc_id long, part_no int, tokens long")

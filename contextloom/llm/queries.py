@@ -92,6 +92,19 @@ def p6_fill(spark, sf_dir):
     return fill_report(packed(documents, containers), containers)
 
 
+def p6_whole(spark, sf_dir):
+    """Per kind of container: every text's tokens once, nothing above the capacity, and few enough containers."""
+    documents, containers = _packing_tables(spark, sf_dir)
+    kinds = containers.select("container", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens")).distinct()
+    placed = packed(documents, containers)
+    loads = placed.groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("texts")).join(kinds, "container")
+    used = F.col("tokens") + F.col("separator_tokens") * (F.col("n") - 1)
+    least = F.ceil((F.sum("tokens") + F.sum("n") * F.first("separator_tokens")) / (F.first("capacity_tokens") + F.first("separator_tokens")))
+    return loads.groupBy("container").agg(
+        F.sum("tokens").alias("tokens"), F.sum("n").alias("n_parts"), F.bool_and(used <= F.col("capacity_tokens")).alias("all_fit"), (F.count("*") <= F.ceil(least * 1.02)).alias("few_enough")
+    )
+
+
 def p7_found(spark, sf_dir):
     return p7_leaks(spark, sf_dir).where("how = 'verbatim'").select("doc_id", "item_id")
 
@@ -117,6 +130,12 @@ def p4_redacted(spark, sf_dir):
     return masked.select("file_id", F.md5("content").alias("content_md5"), "found_redactions").distinct()
 
 
+P6_SQL = """
+WITH d AS (SELECT doc_id, max(strlen(text) // 4) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+k AS (SELECT DISTINCT container, capacity_tokens AS c FROM containers WHERE container IS NOT NULL AND capacity_tokens > 0)
+SELECT container, sum(t)::BIGINT AS tokens, sum(greatest(1, (t + c - 1) // c))::BIGINT AS n_parts, TRUE AS all_fit, TRUE AS few_enough FROM d, k GROUP BY container"""
+
+
 def _words_sql(column: str) -> str:
     """A list of a text's words in lower case, in SQL; entities and escapes become spaces or vanish."""
     text = column
@@ -139,6 +158,6 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
 
 QUERIES = {
     query.__name__: query
-    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p2_whole, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p7_found, p7_leaks, p8_found, p8_levels)
+    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p2_whole, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p6_whole, p7_found, p7_leaks, p8_found, p8_levels)
 }
-ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL, "p7_found": P7_SQL}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL, "p6_whole": P6_SQL, "p7_found": P7_SQL}

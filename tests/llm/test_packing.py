@@ -6,7 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from contextloom.llm.packing import Places, combinations, fill_report, non_negative_least_squares, packed, plan_containers
+from contextloom.llm import packing
+from contextloom.llm.packing import Places, _greedy, combinations, fill_report, non_negative_least_squares, packed, plan_containers
 
 
 @settings(max_examples=60, deadline=None)
@@ -25,6 +26,7 @@ def test_plan_takes_all_and_fits(histogram, capacity):
         for bin_ in places.locate(np.full(n, size), np.arange(n)):
             loads[int(bin_)] += size
     assert not loads or max(loads.values()) <= capacity and max(loads) < places.containers
+    assert places.containers <= sum(n for _, n in _greedy({s: n for s, n in histogram.items() if n}, capacity))
     # first-fit decreasing's guarantee, which the greedy rest keeps up with
     total, largest = sum(s * n for s, n in histogram.items()), max(histogram, default=0)
     if largest * 2 <= capacity:
@@ -73,3 +75,24 @@ def test_hot_length(spark):
     out = packed(docs, kinds)
     assert out.count() == 3000 and out.select("doc_id").distinct().count() == 3000
     assert out.groupBy("bin").agg({"tokens": "sum", "*": "count"}).where("`sum(tokens)` + 2 * (`count(1)` - 1) > 64").count() == 0
+
+
+def test_salts_and_full_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 7)
+    docs = spark.range(300).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('a', 40) WHEN id % 3 = 1 THEN repeat('b', 1000) ELSE repeat('c', 512) END AS text")
+    kinds = spark.createDataFrame([("c", 64, 1)], "container string, capacity_tokens long, separator_tokens long")
+    rows = packed(docs, kinds).collect()
+    assert len({(r.doc_id, r.part_no) for r in rows}) == len(rows) == 100 + 100 * 4 + 100 * 2
+    loads = Counter()
+    for r in rows:
+        loads[r.bin] += r.tokens + 1
+    assert max(loads.values()) <= 65 and sorted(loads) == list(range(len(loads)))
+
+
+def test_large_containers_are_planned_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LENGTHS", 16)
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('a', CAST(id * 7 % 1200 AS INT)) AS text")
+    kinds = spark.createDataFrame([("c", 500, 3)], "container string, capacity_tokens long, separator_tokens long")
+    (report,) = fill_report(packed(docs, kinds), kinds).collect()
+    assert report["items"] == 400 and report.bins <= 1.2 * report.fewest_bins
+    assert packed(docs, kinds).groupBy("bin").agg({"tokens": "sum", "*": "count"}).where("`sum(tokens)` + 3 * (`count(1)` - 1) > 500").count() == 0
