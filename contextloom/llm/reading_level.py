@@ -3,9 +3,10 @@
 1. Raters' labels give each labelled document a level (their median). A word's use, per level and
    normalised by how much text the level has, is its graded distribution; its acquisition grade is the
    first level by which ``ACQUIRED`` of that use has occurred.
-2. A sentence reaches level L if a quantile of its known words' grades does. The quantile for each L is
-   calibrated on the labelled documents; a document reaches L if sentences with half of its words do.
-   So a passing sentence of another level doesn't decide, nor does the length of sentences.
+2. A document reaches level L if a quantile of the grades of its known words does. The quantile for each
+   L is calibrated on labelled documents that did not take part in the grades: the sample is dealt into
+   ``FOLDS`` by a hash of the id, and each fold is judged by the grades of the others. So a passing sentence
+   of another level doesn't decide, nor do words that only one document has.
 3. Every document is scored in one pass with the grades, whose number is bounded by the sample.
 """
 
@@ -28,12 +29,10 @@ MAX_LABELLED = 20_000
 ACQUIRED = 0.15
 #: A word needs so many labelled documents before it has a grade.
 MIN_DOCUMENTS = 3
-#: Sentences with fewer graded words have no say.
+#: Documents with fewer graded words get no level.
 MIN_WORDS = 3
-QUANTILES = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+FOLDS = 5
 DEMANDING = 4
-#: Prose is mostly demanding if so large a share of it is; lists of test questions make up to three fifths of a few easy texts.
-MOSTLY = 2 / 3
 
 # Frequent short words of the collection's languages, for texts that name no language.
 FUNCTION_WORDS = {
@@ -80,82 +79,92 @@ def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return prose.select("doc_id", "text").join(F.broadcast(levels), "doc_id").dropDuplicates(["doc_id"])
 
 
-def word_grades(labelled: DataFrame) -> dict[str, int]:
-    """Each word's acquisition grade. The counting is distributed; what is collected is bounded by the sample."""
+def word_grades(labelled: DataFrame) -> list[dict[str, int]]:
+    """Each word's acquisition grade: by the whole sample, then by all folds but the first, the second and so on.
+
+    The counting is distributed; what is collected, one row a word, is bounded by the sample.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for level, text in zip(pdf["level"], pdf["text"]):
+            for level, fold, text in zip(pdf["level"], pdf["fold"], pdf["text"]):
                 tally: dict[str, int] = {}
                 for sentence in sentences(text):
                     for w in sentence:
                         tally[w] = tally.get(w, 0) + 1
-                rows += [(w, level, n) for w, n in tally.items()]
-            yield pd.DataFrame(rows, columns=["word", "level", "n"])
-
-    counted = labelled.select("level", "text").mapInPandas(count, "word string, level int, n long")
-    per_level = counted.groupBy("word", "level").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
-    words = per_level.groupBy("word").agg(F.sum("documents").alias("documents"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("uses"))
-    rows = words.where(F.col("documents") >= MIN_DOCUMENTS).select("word", "uses").collect()
-    totals = {r.level: r.n for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    grades = {}
-    for word, uses in rows:
-        share = np.array([uses.get(level, 0) / totals[level] if totals.get(level) else 0.0 for level in range(1, LEVELS + 1)])
-        grades[word] = 1 + int(np.argmax(np.cumsum(share) >= ACQUIRED * share.sum()))
+                rows += [(w, (level - 1) * FOLDS + fold, n) for w, n in tally.items()]
+            yield pd.DataFrame(rows, columns=["word", "cell", "n"])
+
+    counted = labelled.select("level", "fold", "text").mapInPandas(count, "word string, cell int, n long")
+    cells = [F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)) for c in range(LEVELS * FOLDS)]
+    held = [F.count(F.when(F.col("cell") % FOLDS == k, 1)) for k in range(FOLDS)]
+    words = counted.groupBy("word").agg(F.array(*cells).alias("uses"), F.array(*held).alias("held"), F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= MIN_DOCUMENTS).collect()
+    if not words:
+        return [{} for _ in range(FOLDS + 1)]
+    totals = np.zeros(LEVELS * FOLDS)
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        totals[r.cell] = r.n
+    names, documents = [r.word for r in words], np.array([r.documents for r in words])
+    uses, held_out = np.array([r.uses for r in words], dtype=float).reshape(-1, LEVELS, FOLDS), np.array([r.held for r in words])
+    totals = totals.reshape(LEVELS, FOLDS)
+    grades = []
+    for fold in (None, *range(FOLDS)):
+        kept = [k for k in range(FOLDS) if k != fold]
+        amount = totals[:, kept].sum(axis=1)
+        share = np.where(amount > 0, uses[:, :, kept].sum(axis=2) / np.maximum(amount, 1), 0.0)
+        grade = 1 + np.argmax(np.cumsum(share, axis=1) >= ACQUIRED * share.sum(axis=1, keepdims=True), axis=1)
+        enough = documents - (0 if fold is None else held_out[:, fold]) >= MIN_DOCUMENTS
+        grades.append({w: int(g) for w, g, e in zip(names, grade, enough) if e})
     return grades
 
 
-def _graded(found: list[list[str]], grades: dict[str, int]) -> list[tuple[int, np.ndarray]]:
-    """``(words, sorted grades)`` of each sentence with enough graded words."""
-    out = []
-    for words in found:
-        known = sorted(grades[w] for w in words if w in grades)
-        if len(known) >= MIN_WORDS:
-            out.append((len(words), np.array(known)))
-    return out
-
+def reached_shares(text_sentences: list[list[str]], grades: dict[str, int]) -> list[float] | None:
+    """Per level from 2 the share of the known words whose grade is at least that; null for too few known words."""
+    known = [grades[w] for words in text_sentences for w in words if w in grades]
+    return [sum(g >= level for g in known) / len(known) for level in range(2, LEVELS + 1)] if len(known) >= MIN_WORDS else None
 
-def _share(graded: list[tuple[int, np.ndarray]], level: int, quantile: float) -> float:
-    """Share of the words that stand in sentences whose ``quantile`` of grades reaches ``level``."""
-    total = sum(n for n, _ in graded)
-    return sum(n for n, g in graded if g[min(len(g) - 1, int(quantile * len(g)))] >= level) / total if total else 0.0
 
+def calibrated_shares(labelled: DataFrame, grades: list[dict[str, int]]) -> list[float]:
+    """For each level from 2 the least share of words at or above it, which is one less the quantile that is asked for.
 
-def calibrated_quantiles(labelled: DataFrame, grades: dict[str, int]) -> dict[int, float]:
-    """For each level from 2 the quantile that best tells the labelled documents at or above it; ties go to the middle."""
+    It is the middle of the range that best tells the labelled documents at or above the level, each scored by
+    the grades of the other folds.
+    """
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            right = np.zeros((LEVELS + 1, len(QUANTILES)), dtype=np.int64)
-            for truth, text in zip(pdf["level"], pdf["text"]):
-                graded = _graded(sentences(text), grades)
-                for level in range(2, LEVELS + 1):
-                    for k, q in enumerate(QUANTILES):
-                        right[level, k] += (_share(graded, level, q) >= 0.5) == (truth >= level)
-            yield pd.DataFrame([(level, k, right[level, k]) for level in range(2, LEVELS + 1) for k in range(len(QUANTILES))], columns=["level", "k", "n"])
-
-    tallies = labelled.select("level", "text").mapInPandas(judge, "level int, k int, n long").groupBy("level", "k").agg(F.sum("n").alias("n")).collect()
-    chosen = {}
-    for level in range(2, LEVELS + 1):
-        scores = {r.k: r.n for r in tallies if r.level == level}
-        best = [k for k in sorted(scores) if scores[k] == max(scores.values())]
-        chosen[level] = QUANTILES[best[len(best) // 2]] if best else QUANTILES[len(QUANTILES) // 2]
-    return chosen
+            rows = [(level, reached_shares(sentences(text), grades[fold + 1])) for level, fold, text in zip(pdf["level"], pdf["fold"], pdf["text"])]
+            yield pd.DataFrame([r for r in rows if r[1] is not None], columns=["level", "shares"])
+
+    rows = labelled.select("level", "fold", "text").mapInPandas(score, "level int, shares array<double>").collect()  # at most MAX_LABELLED
+    truth, shares = np.array([r.level for r in rows]), np.array([r.shares for r in rows]).reshape(len(rows), LEVELS - 1)
+    least = []
+    for k, level in enumerate(range(2, LEVELS + 1)):
+        order = np.argsort(shares[:, k], kind="stable")
+        values, above = shares[order, k], truth[order] >= level
+        # right with the first n below the share: those of them that are below the level, and the others that are not
+        right = np.concatenate(([0], np.cumsum(~above))) + np.concatenate((np.cumsum(above[::-1])[::-1], [0]))
+        cut = np.concatenate(([True], values[1:] > values[:-1], [True])) if len(values) else np.array([True])
+        best = np.flatnonzero(cut & (right == right[cut].max()))
+        edges = np.concatenate(([0.0], values, [1.0]))
+        least.append(float((edges[best[0]] + edges[best[-1] + 1]) / 2) or 1e-9)
+    return least
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, level, demanding_share, is_english``: each document's reading level, 1 to 5.
 
-    ``level`` is the highest that sentences with at least half of the words reach; it is null for documents
-    without graded prose. ``demanding_share`` is the share of words in sentences of level 4 or more. Code,
-    tables, links, headings and quotes have no say. ``is_english`` follows the named language, or the text
-    where none is named. Null texts are left out; repeated rows give one row; without labels every level is
-    null. Further columns are ignored.
+    ``level`` is the highest that the calibrated quantile of the known words' grades reaches, and all below it;
+    it is null for documents without graded prose. ``demanding_share`` is the share of known words of grade
+    4 or more. Code, tables, links, headings and quotes have no say. ``is_english`` follows the named
+    language, or the text where none is named. Null texts are left out; repeated rows give one row; without
+    labels every level is null. Further columns are ignored.
     """
-    sample = materialize(labelled_documents(documents, labels), "labelled")
+    sample = materialize(labelled_documents(documents, labels).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "labelled")
     grades = word_grades(sample)
-    quantiles = calibrated_quantiles(sample, grades) if grades else {}
+    least = calibrated_shares(sample, grades) if grades[0] else []
+    known = grades[0]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,12 +172,13 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
             for doc_id, text, language in zip(pdf["doc_id"], pdf["text"], pdf["language"]):
                 found = sentences(text) if language != "other" else []
                 english = language == "en" or language is None and guessed_english([w for s in found for w in s])
-                graded = _graded(found, grades) if english else []
+                shares = reached_shares(found, known) if english else None
                 level, demanding = None, None
-                if graded:
-                    shares = {at: _share(graded, at, q) for at, q in quantiles.items()}
-                    level = max([1, *(at for at, share in shares.items() if share >= 0.5)])
-                    demanding = max(shares[at] for at in shares if at >= DEMANDING)
+                if shares:
+                    level = 1
+                    while level < LEVELS and shares[level - 1] >= least[level - 1]:
+                        level += 1
+                    demanding = shares[DEMANDING - 2]
                 rows.append((doc_id, level, demanding, english))
             out = pd.DataFrame(rows, columns=["doc_id", "level", "demanding_share", "is_english"])
             yield out.astype({"level": "Int32", "demanding_share": "float64", "is_english": bool})
@@ -178,6 +188,6 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def demanding_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id`` of English documents, other than source code, whose running prose is mostly of level 4 or 5."""
+    """``doc_id`` of English documents, other than source code, whose reading level is 4 or 5."""
     prose = documents.where(~F.coalesce(F.col("kind") == "source", F.lit(False)))
-    return reading_levels(prose, labels).where(F.col("is_english") & (F.col("demanding_share") >= MOSTLY)).select("doc_id")
+    return reading_levels(prose, labels).where(F.col("is_english") & (F.col("level") >= DEMANDING)).select("doc_id")

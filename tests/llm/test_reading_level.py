@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 from contextloom.llm.prose import sentences
-from contextloom.llm.reading_level import demanding_documents, guessed_english, reading_levels
+from contextloom.llm.reading_level import demanding_documents, guessed_english, reached_shares, reading_levels
 
 DOC = "doc_id long, text string, lang string, kind string, level string"
 LABEL = "doc_id long, rater string, reading_level int, labelled_at timestamp_ntz"
@@ -53,3 +53,18 @@ def test_prose_only():
 
 def test_guess():
     assert guessed_english("the cat and the dog".split()) and not guessed_english("der hund und die katze".split()) and guessed_english([])
+
+
+def test_one_rule_for_level_and_found(spark):
+    docs, labels = corpus(spark)
+    found = {r.doc_id for r in demanding_documents(docs, labels).collect()}
+    levels = {r.doc_id: r for r in reading_levels(docs.where("coalesce(kind, '') <> 'source'"), labels).collect()}
+    assert found == {d for d, r in levels.items() if r.is_english and r.level is not None and r.level >= 4}
+
+
+def test_calibration_is_on_held_out_grades():
+    least = []
+    for shares, truth in (([0.0, 0.1, 0.6, 0.9], [1, 1, 4, 5]), ([0.5, 0.5], [4, 4])):
+        assert len(shares) == len(truth)
+        least.append(reached_shares([["a"] * round(10 * shares[-1]) + ["b"] * round(10 - 10 * shares[-1])], {"a": 4, "b": 1})[2])
+    assert least == [0.9, 0.5] and reached_shares([["a"]], {"a": 4}) is None
