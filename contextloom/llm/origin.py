@@ -5,9 +5,9 @@
 2. Every file is read once, in Arrow batches, for what its own text says (signature of a tool, origin
    of a copy, stamped-out or squeezed lines) and for a MinHash signature. The narrow marks are written
    once; no text is shuffled.
-3. Equivalent path patterns are mined from declared and self-evident files over all repositories
-   (name prefix, name suffix, directory), with specific names overruling general patterns, and applied
-   to repositories that declare nothing.
+3. Equivalent path patterns (name prefix, name suffix, directory) are mined for both attributes: in
+   repositories that declare, a file counts as declared or not; in the others as its own text tells. Specific
+   names overrule general patterns. They are applied to repositories that don't declare the attribute.
 4. Copies of third-party code outside its usual directories are found by hash-joining MinHash bands
    with the buckets of known third-party files; the few pairs that meet are compared by their exact shingles.
 """
@@ -42,6 +42,10 @@ SIMILARITY = 0.8
 #: Slots of a signature that have to agree before two texts are compared exactly: four deviations below ``SIMILARITY``.
 CANDIDATE_SLOTS = 38
 ATTRIBUTE_FILE = ".gitattributes"
+#: Parts into which the files under one path pattern are split, as a pattern may hold most of all files.
+PATTERN_SALTS = 16
+#: A bucket with more known texts is told apart by a second band.
+HOT_BUCKET = 64
 
 _RULE = "struct<line: int, regex: string, attribute: string, value: boolean>"
 _MARKS = (
@@ -147,37 +151,46 @@ def path_patterns(path: Column) -> Column:
 
 
 def mined_patterns(marks: DataFrame) -> DataFrame:
-    """``kind, pattern, verdict``: patterns that evidence makes generated (true), or that people's files fill (false).
+    """``attribute, kind, pattern, verdict``: patterns that evidence makes generated or vendored (true), or that people's files fill (false).
 
+    ``marks`` has the evidence as ``evident_generated`` and ``evident_vendored``, null where a file has no say.
     A count per pattern over all files; it is combined before the shuffle, as patterns repeat.
     """
+    evidence = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(f"evident_{a}").alias("evident")) for a in ("generated", "vendored")])
     counted = (
         marks.where("is_code")
-        .select(F.explode(path_patterns(F.col("path"))).alias("p"), "evident")
-        .groupBy("p.kind", "p.pattern")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("evident").cast("long")).alias("k"))
+        .select(F.explode(path_patterns(F.col("path"))).alias("p"), evidence.alias("evidence"))
+        .select("p.kind", "p.pattern", F.explode("evidence").alias("e"))
+        .where(F.col("e.evident").isNotNull())
+        .groupBy("e.attribute", "kind", "pattern")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e.evident").cast("long")).alias("k"))
     )
     share = F.col("k") / F.col("n")
     least = F.when(F.col("kind") == "dir", MIN_DIR_SUPPORT).otherwise(MIN_SUPPORT)
     enough = F.when(F.col("kind") == "dir", MIN_DIR_SHARE).otherwise(MIN_SHARE)
     yes, no = share >= enough, (share <= MAX_KEPT_SHARE) & (F.col("kind") != "name")
-    return counted.where((F.col("n") >= least) & (yes | no)).select("kind", "pattern", yes.alias("verdict"))
+    return counted.where((F.col("n") >= least) & (yes | no)).select("attribute", "kind", "pattern", yes.alias("verdict"))
 
 
 def mined_verdicts(marks: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``file_id, mined``: whether a path is generated by the patterns.
+    """``file_id, mined_generated, mined_vendored``: what a path is by the patterns.
 
     The most specific pattern of each kind decides for its kind, no before yes; a name of its own that
-    people use overrules the rest.
+    people use overrules the rest. Files under one pattern are joined in ``PATTERN_SALTS`` parts.
     """
-    under = marks.where("is_code").select("file_id", F.explode(path_patterns(F.col("path"))).alias("p")).select("file_id", "p.kind", "p.rank", "p.pattern")
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(PATTERN_SALTS)).cast("int").alias("salt")
+    under = marks.where("is_code").select("file_id", salt, F.explode(path_patterns(F.col("path"))).alias("p")).select("file_id", "salt", "p.kind", "p.rank", "p.pattern")
+    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PATTERN_SALTS - 1))))
 
-    def decided(kind: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.struct("rank", (~F.col("verdict")).alias("no"), F.lit(1).alias("one")))).getField("no").alias(kind)
+    def decided(kind: str, attribute: str) -> Column:
+        here = (F.col("kind") == kind) & (F.col("attribute") == attribute)
+        return F.max(F.when(here, F.struct("rank", (~F.col("verdict")).alias("no"), F.lit(1).alias("one")))).getField("no").alias(f"{kind}_{attribute}")
 
-    votes = under.join(patterns, ["kind", "pattern"]).groupBy("file_id").agg(decided("dir"), decided("name"), decided("own"))
-    yes = lambda kind: F.coalesce(~F.col(kind), F.lit(False))
-    return votes.select("file_id", ((yes("dir") | yes("name") | yes("own")) & ~F.coalesce(F.col("own"), F.lit(False))).alias("mined"))
+    kinds, attributes = ("dir", "name", "own"), ("generated", "vendored")
+    votes = under.join(salted, ["kind", "pattern", "salt"]).groupBy("file_id").agg(*[decided(k, a) for a in attributes for k in kinds])
+    yes = lambda kind, a: F.coalesce(~F.col(f"{kind}_{a}"), F.lit(False))
+    said = [((yes("dir", a) | yes("name", a) | yes("own", a)) & ~F.coalesce(F.col(f"own_{a}"), F.lit(False))).alias(f"mined_{a}") for a in attributes]
+    return votes.select("file_id", *said)
 
 
 def in_foreign_dir(path: Column) -> Column:
@@ -195,7 +208,8 @@ def foreign_copies(known: DataFrame, others: DataFrame, files: DataFrame) -> Dat
 
     Equal texts collapse first on both sides, so a text that a third of all files share is one row.
     Each bucket names one of its known texts; a text that isn't similar enough to any of those is compared
-    with all known texts of its buckets. Only bucket keys and ids are joined; signatures are fetched for the
+    with all known texts of its buckets, where a bucket of more than ``HOT_BUCKET`` is told apart by each text's
+    other bands first: similar texts share several. Only bucket keys and ids are joined; signatures are fetched for the
     pairs that meet, and of the texts of those that agree in ``CANDIDATE_SLOTS`` the shingles are compared.
     """
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(minhash.BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * minhash.ROWS + 1, minhash.ROWS))))
@@ -233,7 +247,16 @@ def foreign_copies(known: DataFrame, others: DataFrame, files: DataFrame) -> Dat
     near = materialize(rows.join(leaders, "band").select("text_id", "known_id").distinct(), "origin-near")
     first = materialize(similar(near, "first"), "origin-first")
     rest = near.select("text_id").distinct().join(first, "text_id", "left_anti")
-    second = similar(rows.join(rest, "text_id", "left_semi").join(known_rows, "band").select("text_id", "known_id"), "second")
+    hot = known_rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("band")
+    left, known_by = rows.join(rest, "text_id", "left_semi"), known_rows.withColumnRenamed("known_id", "text_id")
+
+    def by_two_bands(bands: DataFrame) -> DataFrame:
+        crowded = bands.join(hot, "band", "left_semi").select("text_id", F.col("band").alias("hot"))
+        return crowded.join(bands, "text_id").where("band <> hot").select("text_id", F.xxhash64("hot", "band").alias("band"))
+
+    plain = left.join(hot, "band", "left_anti").unionByName(by_two_bands(left).select("text_id", "band"), allowMissingColumns=True)
+    known_plain = known_by.join(hot, "band", "left_anti").unionByName(by_two_bands(known_by)).withColumnRenamed("text_id", "known_id")
+    second = similar(plain.join(known_plain, "band").select("text_id", "known_id"), "second")
     return others.join(first.union(second), "text_id", "left_semi").select("file_id").distinct()
 
 
@@ -252,10 +275,11 @@ def source_origins(files: DataFrame) -> DataFrame:
     known = told.where(looks_foreign).select("file_id", "text_id", "sig")
     others = told.where(~looks_foreign).select("file_id", "text_id", "sig")
     if rules.isEmpty():
-        marks = marks.withColumns({"declared_generated": F.lit(None).cast("boolean"), "declared_vendored": F.lit(None).cast("boolean")})
+        marks = marks.withColumns({f"declared_{a}": F.lit(None).cast("boolean") for a in ("generated", "vendored")} | {f"declares_{a}": F.lit(False) for a in ("generated", "vendored")})
     else:
         spoken = declared(marks.select("file_id", "repo", "path"), rules)
-        marks = marks.join(spoken, "file_id", "left")
+        declaring = rules.groupBy("repo").agg(*[F.bool_or(F.col("attribute") == a).alias(f"declares_{a}") for a in ("generated", "vendored")])
+        marks = marks.join(spoken, "file_id", "left").join(declaring, "repo", "left").fillna(False, ["declares_generated", "declares_vendored"])
         said = spoken.where(F.col("declared_vendored").isNotNull()).select("file_id", "declared_vendored")
         both = told.select("file_id", "text_id", "sig", looks_foreign.alias("looks")).join(said, "file_id", "left").withColumn("known", F.coalesce("declared_vendored", "looks"))
         known, others = both.where("known").select("file_id", "text_id", "sig"), both.where("NOT known").select("file_id", "text_id", "sig")
@@ -265,22 +289,28 @@ def source_origins(files: DataFrame) -> DataFrame:
             "known_foreign": F.coalesce("declared_vendored", looks_foreign),
         }
     )
-    marks = marks.withColumn("evident", F.coalesce("declared_generated", F.col("signed") | F.col("stamped")))
-    patterns = mined_patterns(marks.where(~F.col("known_foreign") & ~F.col("dense")))
-    verdicts = mined_verdicts(marks, patterns)
+    # a repository that declares speaks for all its files; where none does, a file's own text is the evidence
+    made = F.when(F.col("declares_generated"), F.coalesce("declared_generated", F.lit(False))).otherwise(F.col("signed") | F.col("stamped"))
+    taken = F.when(F.col("declares_vendored"), F.coalesce("declared_vendored", F.lit(False))).otherwise(F.col("foreign"))
+    patterns = mined_patterns(
+        marks.withColumns({"evident_generated": F.when(~F.col("known_foreign") & ~F.col("dense"), made), "evident_vendored": F.when(~F.col("dense"), taken)})
+    )
+    verdicts = mined_verdicts(marks.where("NOT declares_generated OR NOT declares_vendored"), patterns)
     copies = foreign_copies(known, others, files).withColumn("is_copy", F.lit(True))
     everything = (
         marks
         .join(verdicts, "file_id", "left")
         .join(copies, "file_id", "left")
     )
-    mined = F.coalesce("mined", F.lit(False)) & ~F.col("kept")
+    mined = F.coalesce("mined_generated", F.lit(False)) & ~F.col("kept") & ~F.col("declares_generated")
+    mined_foreign = F.coalesce("mined_vendored", F.lit(False)) & ~F.col("kept") & ~F.col("declares_vendored")
     reason = (
         F.when(F.col("declared_vendored"), "declared vendored")
         .when(F.col("declared_generated"), "declared generated")
         .when(name.isin(sorted(LOCK_NAMES)), "lock file")
         .when(F.col("known_foreign"), F.when(F.col("foreign"), "names another project").otherwise("third-party directory"))
         .when(F.coalesce("is_copy", F.lit(False)), "copy of third-party code")
+        .when(mined_foreign, "mined third-party path")
         .when(F.col("declared_generated") == F.lit(False), None)
         .when(F.col("dense"), "minified")
         .when(F.col("literal") >= DATA_SHARE, "data")
@@ -290,7 +320,7 @@ def source_origins(files: DataFrame) -> DataFrame:
     )
     origin = (
         F.when(reason.isNull(), "hand_written")
-        .when(reason.isin("declared vendored", "names another project", "third-party directory", "copy of third-party code"), "vendored")
+        .when(reason.isin("declared vendored", "names another project", "third-party directory", "copy of third-party code", "mined third-party path"), "vendored")
         .when(reason == "minified", "minified")
         .when(reason == "data", "data")
         .otherwise("generated")

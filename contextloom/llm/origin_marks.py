@@ -76,9 +76,15 @@ _LINE_COMMENT = re.compile(r"//.*|(?:^|\s)#.*")
 _TEMPLATE = re.compile(r"`[^`]*`")
 _RUN = re.compile(r"x[x0]*|0[x0]*")
 _TO_SHAPE = {ord(c): "x" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"} | {ord(c): "0" for c in "0123456789"} | {ord(c): None for c in "-+. \t\r"}
+_OPAQUE = re.compile(r"(?:[A-Za-z0-9+/=_-]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[0-7]{1,3})){8,}")
+_VALUE = r"[-+]?(?:0x[0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[uUlLfFn]{0,3}"
+_NUMBERS = re.compile(rf"{_VALUE}(?:[\s,;{{}}()\[\]]+{_VALUE})*[\s,;{{}}()\[\]]*$")
+_NUMBER = re.compile(r"0x[0-9a-fA-F]+|\d[\d_.]*")
 _BANNER = re.compile(r"/\*!?.*?\*/|//[^\n]*", re.S)
 #: A line of data: this long and with hardly a space.
 DATA_LINE = 160
+#: A run of signs without a space that holds letters and digits is data from this length on, whatever its line's; a line of numbers from so many on.
+DATA_RUN, DATA_NUMBERS = 32, 6
 #: A line of squeezed code.
 SQUEEZED_LINE = 80
 #: Lines in a block over which repetition is measured, so that long files aren't judged by their length.
@@ -149,8 +155,20 @@ def repetition(text: str) -> float:
 
 
 def literal_share(text: str, lines: list[str]) -> float:
-    """Share of the text in long lines with hardly a space: data, whatever its encoding."""
-    return sum(len(s) for s in lines if len(s) >= DATA_LINE and s.count(" ") * 40 <= len(s)) / max(1, len(text))
+    """Share of the text that is data, whatever its encoding: long lines with hardly a space, lines of numbers, runs of encoded signs."""
+    total = 0
+    for line in lines:
+        if len(line) >= DATA_LINE and line.count(" ") * 40 <= len(line):
+            total += len(line)
+            continue
+        bare = line.strip(" \t{}()[],;")
+        if bare[:1].isdigit() or bare[:1] in ("-", "+"):
+            if _NUMBERS.match(bare) and len(_NUMBER.findall(bare)) >= DATA_NUMBERS:
+                total += len(line) + 1
+            continue
+        if len(bare) >= DATA_RUN:
+            total += sum(len(run) for run in _OPAQUE.findall(bare) if len(run) >= DATA_RUN and any(map(str.isdigit, run)) and any(map(str.isalpha, run)))
+    return total / max(1, len(text))
 
 
 def is_dense(text: str) -> bool:

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from contextloom.llm import minhash
+from contextloom.llm import minhash, origin
 from contextloom.llm.globs import attribute_glob_regex, parse_attributes
 from contextloom.llm.origin import source_origins
 from contextloom.llm.origin_marks import content_marks
@@ -63,10 +63,50 @@ def test_globs():
     import re
 
     hit = lambda g, p: bool(re.search(attribute_glob_regex(g), p))
-    assert hit("*.js", "a/b.js") and not hit("/*.js", "a/b.js") and hit("a/**", "a/b/c") and hit("**/x/*.c", "q/x/y.c") and hit("dir/", "dir/x") and not hit("a?c", "a/c")
+    assert hit("*.js", "a/b.js") and not hit("/*.js", "a/b.js") and hit("a/**", "a/b/c") and hit("**/x/*.c", "q/x/y.c") and not hit("a?c", "a/c") and attribute_glob_regex("dir/") is None
+    assert hit("a/**/b.c", "a/b.c") and hit("a/**/b.c", "a/x/y/b.c") and hit("x[!0-9].c", "q/xa.c") and not hit("x[!0-9].c", "x1.c") and hit(r"a\*b", "a*b") and not hit(r"a\*b", "axb")
     assert parse_attributes("a b c\n*.x -linguist-generated linguist-vendored\n") == [(1, attribute_glob_regex("*.x"), "generated", False), (1, attribute_glob_regex("*.x"), "vendored", True)]
 
 
+def test_attribute_file_grammar():
+    text = '[attr]made linguist-generated\n*.pb.go made text\n"a b/\\143.x" linguist-vendored\n*.lock !linguist-generated\n!no linguist-vendored\nd/ linguist-vendored\n*.q other-generated -made\n'
+    assert [(n, a, v) for n, _, a, v in parse_attributes(text)] == [(1, "generated", True), (2, "vendored", True), (3, "generated", None)]
+    assert re.search(parse_attributes(text)[1][1], "a b/c.x")
+
+
+def test_patterns_of_declaring_repositories_reach_the_others(make_files):
+    rows = []
+    for r in range(6):  # six repositories declare, by directory and by ending
+        rows += [(r * 100, f"d{r}", ".gitattributes", "emitted/** linguist-generated\n*_ext_copy.py linguist-vendored\nemitted/own.py !linguist-generated\n")]
+        rows += [(r * 100 + 1 + n, f"d{r}", f"emitted/m{r}{n}.py", code(r * 100 + n)) for n in range(4)]
+        rows += [(r * 100 + 20 + n, f"d{r}", f"lib/a{r}{n}_ext_copy.py", code(2000 + r * 100 + n)) for n in range(3)]
+        rows += [(r * 100 + 40 + n, f"d{r}", f"lib/p{r}{n}.py", code(4000 + r * 100 + n)) for n in range(3)]
+    rows += [(900, "u", "emitted/x.py", code(900)), (901, "u", "lib/z_ext_copy.py", code(901)), (902, "u", "lib/q.py", code(902)), (60, "d0", "emitted/own.py", code(903)), (903, "d0", "more/emitted/y.py", code(904))]
+    got = origins(make_files(*rows))
+    assert (got[900], got[901], got[902]) == ("generated", "vendored", "hand_written")
+    assert got[1] == "generated" and got[20] == "vendored" and got[40] == "hand_written"
+    assert got[60] == "hand_written" and got[903] == "hand_written"  # the repository has spoken
+
+
+def test_data_written_as_code(make_files):
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base = "BLOB = (\n" + "\n".join('    "' + "".join(rng.choice(letters) for _ in range(64)) + '"' for _ in range(60)) + "\n)\n"
+    escapes = "package a\n\nvar b = []byte(\n" + "\n".join('\t"' + "".join(f"\\x{rng.randrange(256):02x}" for _ in range(20)) + '" +' for _ in range(60)) + "\n)\n"
+    numbers = "static const int T[] = {\n" + "\n".join("  " + ", ".join(str(rng.randrange(9999)) for _ in range(12)) + "," for _ in range(60)) + "\n};\n"
+    got = origins(make_files((1, "r", "a.py", base), (2, "r", "b.go", escapes), (3, "r", "c.c", numbers), (4, "r", "d.py", code(5) + "\nK = '" + "".join(rng.choice(letters) for _ in range(64)) + "'\n")))
+    assert got == {1: "data", 2: "data", 3: "data", 4: "hand_written"}
+
+
+def test_hot_buckets(make_files, monkeypatch):
+    monkeypatch.setattr(origin, "HOT_BUCKET", 2)
+    head = "\n".join(f"# licence line {n} of the common text" for n in range(12)) + "\n"
+    rows = [(n, "r", f"vendor/l/a{n}.py", head + code(500 + n, 40)) for n in range(25)]
+    rows += [(100 + n, "s", f"src/b{n}.py", head + code(500 + n, 40) + "\nlocal = 1\n") for n in range(25)] + [(200, "s", "src/own.py", head + code(900, 40))]
+    got = origins(make_files(*rows))
+    assert all(got[100 + n] == "vendored" for n in range(25)) and got[200] == "hand_written"
+
+
 def test_copies_by_exact_similarity(make_files):
     rows, expected = [], {}
     for seed in range(300, 340):
