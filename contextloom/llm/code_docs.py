@@ -1,15 +1,20 @@
-"""Functions paired with their documentation."""
+"""Functions paired with their documentation.
+
+Comment spans and function spans are extracted independently, in order of lines, and meet in an as-of
+join: each function takes the nearest comment that ends above it, unless anything stands between.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.functions.code_spans import LANGUAGES, documented, spans_of
+from contextloom.functions.code_spans import LANGUAGES, Comment, Function, spans_of
 from contextloom.llm.origin_marks import extension
 from contextloom.sources.tables import spread
 
@@ -64,6 +69,24 @@ def is_trivial(doc: str, name: str) -> bool:
     return sum(w.lower() not in own for w in _WORD.findall(re.sub(r"\{@\w+\s*([^}]*)\}", r"\1", prose))) < LEAST_WORDS
 
 
+def documented(comments: list[Comment], functions: list[Function]) -> list[tuple[Function, str]]:
+    """Each function with its documentation, by an as-of join of two lists that are ordered by line.
+
+    A function's candidate is the last comment that ends above its anchor; it is rejected if anything,
+    also a blank line, stands between. A docstring that the function brings along goes before comments.
+    """
+    ends = [c.last for c in comments]
+    out = []
+    for f in functions:
+        if f.doc is not None:
+            out.append((f, f.doc))
+            continue
+        nearest = bisect_right(ends, f.anchor - 1) - 1
+        if nearest >= 0 and ends[nearest] == f.anchor - 1:
+            out.append((f, comments[nearest].text))
+    return out
+
+
 def _pairs(text: str, language: str) -> Iterator[tuple]:
     comments, functions = spans_of(text, language)
     for f, doc in documented(comments, functions):
@@ -71,29 +94,30 @@ def _pairs(text: str, language: str) -> Iterator[tuple]:
             yield f, doc
 
 
-def function_docs(files: DataFrame, *, texts: bool = True) -> DataFrame:
-    """``file_id, fn_line, fn_name`` (with ``texts`` also ``code, description``) of each documented function.
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for file_id, path, content in zip(pdf["file_id"], pdf["path"], pdf["content"]):
+            lines = content.split("\n")
+            for f, doc in _pairs(content, LANGUAGES[extension(path)]):
+                rows.append((file_id, f.line, f.name, "\n".join(lines[f.start - 1 : f.end]), prose_of(doc)))
+        yield pd.DataFrame(rows, columns=["file_id", "fn_line", "fn_name", "code", "description"])
+
 
-    Source files of the eight languages are told by their path's ending. Comment spans and function spans
-    are extracted independently and meet in an as-of join within their file, so no text is shuffled.
-    Functions whose documentation is empty or trivial are dropped. Files delivered again give their pairs
-    once; rows without content, path or file_id give none; an empty table gives an empty result.
+def function_docs(files: DataFrame) -> DataFrame:
+    """``file_id, fn_line, fn_name, code, description`` of each documented function, once per delivery of its file.
+
+    Source files of the eight languages are told by their path's ending. The work is per file, so no text is
+    shuffled. Functions whose documentation is empty or trivial are dropped. Rows without content, path or
+    file_id give none; an empty table gives an empty result.
     """
     endings = "|".join(sorted(LANGUAGES))
     source = files.where(
         F.col("content").isNotNull() & F.col("file_id").isNotNull() & F.lower("path").rlike(rf"\.({endings})$")
     ).select("file_id", "path", "content")
+    return spread(source, "file_id").mapInPandas(_extract, "file_id long, fn_line int, fn_name string, code string, description string")
+
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file_id", "fn_line", "fn_name"] + ["code", "description"] * texts
-        for pdf in batches:
-            rows = []
-            for file_id, path, content in zip(pdf["file_id"], pdf["path"], pdf["content"]):
-                lines = content.split("\n") if texts else []
-                for f, doc in _pairs(content, LANGUAGES[extension(path)]):
-                    more = ("\n".join(lines[f.start - 1 : f.end]), prose_of(doc)) if texts else ()
-                    rows.append((file_id, f.line, f.name, *more))
-            yield pd.DataFrame(rows, columns=columns)
-
-    schema = "file_id long, fn_line int, fn_name string" + ", code string, description string" * texts
-    return spread(source, "file_id").mapInPandas(extract, schema).dropDuplicates(["file_id", "fn_line", "fn_name"])
+def once(pairs: DataFrame) -> DataFrame:
+    """``pairs``, or narrow columns of them, with each function once however often its file was delivered."""
+    return pairs.dropDuplicates(["file_id", "fn_line", "fn_name"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contextloom.llm.code_docs import function_docs
+from contextloom.llm.code_docs import function_docs, once
 from contextloom.llm.credentials import credential_spans, redacted_files
 from contextloom.llm.leakage import leaked_items
 from contextloom.llm.origin import source_origins
@@ -68,11 +68,11 @@ WHERE b.n_bytes // 4 > l.max_tokens"""
 
 
 def p3_found(spark, sf_dir):
-    return function_docs(table(spark, sf_dir, "files"), texts=False)
+    return once(function_docs(table(spark, sf_dir, "files")).select("file_id", "fn_line", "fn_name"))
 
 
 def p3_pairs(spark, sf_dir):
-    return function_docs(table(spark, sf_dir, "files"))
+    return once(function_docs(table(spark, sf_dir, "files")))
 
 
 def p4_found(spark, sf_dir):

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from contextloom.functions.code_spans import spans_of
-from contextloom.llm.code_docs import function_docs, is_trivial, prose_of
+from contextloom.llm.code_docs import function_docs, is_trivial, once, prose_of
 
 CASES = {
     "a.go": ("package p\n\n// Sum adds all the numbers up and returns them.\nfunc Sum(a ...int) int {\n\treturn 0\n}\n\n// Detached comment with many more words.\n\nfunc Lone() {}\n", [(4, "Sum")]),
@@ -21,7 +21,7 @@ CASES = {
 @pytest.mark.parametrize("path", CASES)
 def test_languages(spark, make_files, path):
     source, want = CASES[path]
-    got = function_docs(make_files((1, "r", path, source), (1, "r", path, source)), texts=False)
+    got = once(function_docs(make_files((1, "r", path, source), (1, "r", path, source))).select("file_id", "fn_line", "fn_name"))
     assert sorted((r.fn_line, r.fn_name) for r in got.collect()) == want
 
 
