@@ -55,7 +55,7 @@ _LEXERS = {
     "cpp": _lexer(_LINE, _BLOCK, r"R\"(?P<mark>[^()\s\\]{0,16})\(.*?\)(?P=mark)\"", _DOUBLE, r"(?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'"),
     "go": _lexer(_LINE, _BLOCK, _DOUBLE, _SINGLE, r"`[^`]*`"),
     "java": _lexer(_LINE, _BLOCK, r"\"\"\".*?\"\"\"", _DOUBLE, _SINGLE),
-    "js": _lexer(_LINE, _BLOCK, _DOUBLE.replace("?", "", 0), _SINGLE, r"`(?:\\.|[^`\\])*`", r"(?P<regex>(?<=[=(,:;!&|?{}\[\n])[ \t]*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"),
+    "js": _lexer(_LINE, _BLOCK, _DOUBLE, _SINGLE, r"`(?:\\.|[^`\\])*`", r"(?P<regex>(?<=[=(,:;!&|?{}\[\n])[ \t]*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"),
     "rust": _lexer(_LINE, _BLOCK, r"b?r(?P<mark>#*)\".*?\"(?P=mark)", r"b?" + _DOUBLE, r"b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'"),
 }
 _NOT_NEWLINE = re.compile(r"[^\n]+")
@@ -241,7 +241,7 @@ def _js_body(src: Source, at: int, arrow: bool) -> int:
             i += 1
             continue
         if code.startswith("=>", i):
-            if arrow and not (typed and last == ")" and False):
+            if arrow:
                 return i + 2
             last, i = ">", i + 2
             if not typed:
@@ -390,7 +390,7 @@ def _headers(src: Source, language: str) -> list[tuple[str, int, int, int]]:
                 taken.add(m.start("name"))
                 add(m.group("name"), m.start("name"), m.start(), _js_body(src, end, False))
         for m in _JS_METHOD.finditer(code):
-            if m.group("name") in _KEYWORDS or m.start("name") in taken or m.group("name") == "constructor" and False:
+            if m.group("name") in _KEYWORDS or m.start("name") in taken:
                 continue
             end = _parameters(src, m.end())
             if end >= 0:
@@ -499,21 +499,3 @@ def spans_of(text: str, language: str) -> tuple[list[Comment], list[Function]]:
         begin = min(begin, line)
         functions.append(Function(name, line, _anchor(src, begin, language), begin, src.line(max(0, end - 1))))
     return src.comments, sorted(functions, key=lambda f: (f.line, f.start))
-
-
-def documented(comments: list[Comment], functions: list[Function]) -> list[tuple[Function, str]]:
-    """Each function with its documentation, by an as-of join of two ordered lists.
-
-    A function's candidate is the last comment that ends above its anchor; it is rejected if anything,
-    also a blank line, stands between. A docstring that the function brings along goes before comments.
-    """
-    ends = [c.last for c in comments]
-    out = []
-    for f in functions:
-        if f.doc is not None:
-            out.append((f, f.doc))
-            continue
-        k = bisect_right(ends, f.anchor - 1) - 1
-        if k >= 0 and ends[k] == f.anchor - 1:
-            out.append((f, comments[k].text))
-    return out

@@ -13,7 +13,7 @@ import re
 import tomllib
 import warnings
 
-from contextloom.functions.code_spans import Source, _headers, spans_of
+from contextloom.functions.code_spans import Source, _headers
 from contextloom.functions.tables import SIGNATURE_PATTERNS
 
 Signature = tuple[str, str, str, int, int]
@@ -253,4 +253,4 @@ def compressed(text: str, language: str | None, engine: str = "auto") -> tuple[s
     return "\n\n".join(s[2] for s in found), status, len(found)
 
 
-__all__ = ["by_patterns", "compressed", "compressed_json", "compressed_toml", "compressed_yaml", "signatures", "spans_of"]
+__all__ = ["by_patterns", "compressed", "compressed_json", "compressed_toml", "compressed_yaml", "signatures"]

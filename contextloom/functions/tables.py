@@ -162,6 +162,6 @@ GO_LOCAL_MARKERS = ("/internal/", "/cmd/", "/pkg/")
 
 # Marks in rendered documents.
 COMPRESSED_MARK = "<!-- Compressed: signatures only -->"
-TRUNCATED_MARK = "<!-- Content truncated to fit the token budget -->"
+TRUNCATED_MARK = "<!-- Content truncated: %d of %d tokens shown -->"
 FILE_OVERHEAD, DOCUMENT_OVERHEAD = 35, 200
 SPLIT_FILE_OVERHEAD, SPLIT_HEADER = 200, 300

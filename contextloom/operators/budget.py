@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.functions.tables import SPLIT_FILE_OVERHEAD, SPLIT_HEADER, TRUNCATED_MARK
@@ -14,65 +14,82 @@ ORDER = ("tier", "path", "file_id")
 MARK_TOKENS = 20
 
 
-def budget_truncate(df: DataFrame, max_tokens: int, group: str = "repo") -> DataFrame:
+def budget_truncate(df: DataFrame, max_tokens: int, group: str = "repo", overhead: int | Column = 0) -> DataFrame:
     """``df`` with ``status``: ``included`` while files fit, ``truncated`` for the first that overflows if room is left, then ``excluded``.
 
-    Each ``group`` has its own budget. Without a positive limit everything is included. Null tokens count 0.
-    As tokens are never negative, the status follows from a running sum, which is distributed.
+    Each ``group`` has its own budget, less ``overhead`` tokens (a number or a column that is constant in a group)
+    for the document around the files. Without a positive limit everything is included. Null tokens count 0.
+    ``room`` is what a truncated file may take. As tokens are never negative, the status follows from a running
+    sum, which is distributed.
     """
     if max_tokens <= 0:
-        return df.withColumn("status", F.lit("included"))
+        return df.withColumn("status", F.lit("included")).withColumn("room", F.lit(None).cast("long"))
     tokens = F.coalesce(F.col("tokens"), F.lit(0))
-    fits, room = F.col("running") <= max_tokens, F.lit(max_tokens) - (F.col("running") - tokens)
+    limit = F.lit(max_tokens) - (F.lit(overhead) if isinstance(overhead, int) else overhead)
+    fits, room = F.col("running") <= limit, limit - (F.col("running") - tokens)
     status = F.when(fits, "included").when((room > 0), "truncated").otherwise("excluded")
-    return running_sum(df, [group], ORDER, "tokens").withColumn("status", status).withColumn("room", F.when(F.col("status") == "truncated", room)).drop("running")
+    return running_sum(df, [group], ORDER, "tokens").withColumn("status", status).withColumn("room", F.when(F.col("status") == "truncated", room).cast("long")).drop("running")
 
 
-def budget_skip(df: DataFrame, max_tokens: int, group: str = "repo") -> DataFrame:
+def budget_skip(df: DataFrame, max_tokens: int, group: str = "repo", overhead: int | str = 0) -> DataFrame:
     """``file_id, repo, tier, path, tokens, status``: in order, a file is taken if it still fits; smaller later ones may follow.
 
-    A fold over narrow rows; see ``ordered_fold`` for its memory.
+    ``overhead`` as for ``budget_truncate``, or the name of a column of ``df``. A fold over narrow rows; see
+    ``ordered_fold`` for its memory.
     """
-    columns = ["file_id", group, "tier", "path", "tokens"]
-    schema = f"file_id long, {group} string, tier int, path string, tokens long, status string"
+    columns = ["file_id", group, "tier", "path", "tokens", "__left"]
+    schema = f"file_id long, {group} string, tier int, path string, tokens long, __left long, status string"
     if max_tokens <= 0:
-        return df.select(*columns).withColumn("status", F.lit("included"))
+        return df.select(*columns[:-1]).withColumn("status", F.lit("included"))
 
-    def step(left: int, row: tuple) -> tuple:
+    def step(left: int | None, row: tuple) -> tuple:
+        left = int(row[5]) if left is None else left
         need = 0 if row[4] is None or pd.isna(row[4]) else int(row[4])
         return (left - need, ("included",)) if need <= left else (left, ("excluded",))
 
-    return ordered_fold(df, group, ORDER, lambda: max_tokens, step, schema, columns)
+    limited = df.withColumn("__left", (F.lit(max_tokens) - (F.lit(overhead) if isinstance(overhead, int) else F.col(overhead))).cast("long"))
+    return ordered_fold(limited, group, ORDER, lambda: None, step, schema, columns).drop("__left")
+
+
+def with_used_tokens(budgeted: DataFrame, cut: DataFrame) -> DataFrame:
+    """A budgeted set with ``used``: the tokens that each file takes; of truncated files those of their shortened text.
+
+    ``cut`` has ``file_id, tokens`` of the truncated files, one a group at most.
+    """
+    recounted = cut.select("file_id", F.col("tokens").alias("__cut"))
+    used = F.when(F.col("status") == "excluded", 0).when(F.col("status") == "truncated", F.coalesce("__cut", F.lit(0))).otherwise(F.coalesce("tokens", F.lit(0)))
+    return budgeted.join(recounted, "file_id", "left").withColumn("used", used.cast("long")).drop("__cut")
 
 
 def tier_stats(df: DataFrame, *by: str) -> DataFrame:
-    """Per tier: included (truncated ones too) and excluded files and tokens."""
+    """Per tier of a set with ``used`` tokens: included (truncated ones too) and excluded files, and the tokens they take."""
     taken = F.col("status").isin("included", "truncated")
-    tokens = F.coalesce(F.col("tokens"), F.lit(0))
-    return df.groupBy(*by, "tier").agg(
-        F.sum(taken.cast("long")).alias("n_included"), F.sum((~taken).cast("long")).alias("n_excluded"), F.sum(F.when(taken, tokens).otherwise(0)).alias("tokens_included")
-    )
+    return df.groupBy(*by, "tier").agg(F.sum(taken.cast("long")).alias("n_included"), F.sum((~taken).cast("long")).alias("n_excluded"), F.sum("used").alias("tokens_included"))
 
 
-def truncated_content(df: DataFrame, content: str = "content", room: str = "room") -> DataFrame:
-    """``df`` with ``content`` cut to the longest prefix of lines whose estimate leaves ``MARK_TOKENS`` of ``room``, and marked.
+def truncated_content(df: DataFrame, content: str = "content", room: str = "room", tokens: str = "tokens") -> DataFrame:
+    """``df`` with ``content`` cut to its longest run of first lines whose estimate leaves ``MARK_TOKENS`` of ``room``, and marked.
 
-    Prefix sums over the lines' bytes; null content stays null. The marked text may exceed the room by its mark.
+    The mark names the tokens shown and the file's ``tokens``. Prefix sums over the lines' bytes; null content
+    or room leaves the content as it is. Where not even the first line fits, the mark stands alone; with little
+    room it may exceed it.
     """
     lines = F.split(F.col(content), "\n", -1)
     sizes = F.transform(lines, lambda s: F.octet_length(s).cast("long"))
-    limit = F.greatest(F.col(room) - MARK_TOKENS, F.lit(0))
-    counted = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("kept"), F.lit(False).alias("over")),
-        lambda s, n: F.struct(
-            (s["bytes"] + n + F.when(s["bytes"] + s["kept"] > 0, 1).otherwise(0)).alias("bytes"),
-            F.when(~s["over"] & (F.floor((s["bytes"] + n + 1) / 4) <= limit), s["kept"] + 1).otherwise(s["kept"]).alias("kept"),
-            (s["over"] | (F.floor((s["bytes"] + n + 1) / 4) > limit)).alias("over"),
-        ),
-    )
-    kept = F.array_join(F.slice(lines, 1, F.greatest(counted["kept"], F.lit(0))), "\n")
-    return df.withColumn(content, F.when(F.col(room).isNull() | F.col(content).isNull(), F.col(content)).otherwise(F.concat(kept, F.lit("\n" + TRUNCATED_MARK + "\n"))))
+    most = F.greatest(F.col(room) - MARK_TOKENS, F.lit(0)) * 4 + 3
+    start = F.struct(F.lit(-1).cast("long").alias("bytes"), F.lit(0).alias("kept"), F.lit(0).cast("long").alias("kept_bytes"))
+
+    def step(s: Column, n: Column) -> Column:
+        total = s["bytes"] + 1 + n
+        fits = total <= most
+        return F.struct(total.alias("bytes"), (s["kept"] + fits.cast("int")).alias("kept"), F.when(fits, total).otherwise(s["kept_bytes"]).alias("kept_bytes"))
+
+    state = F.aggregate(sizes, start, step)
+    counted = df.withColumn("__state", state)
+    kept = F.array_join(F.slice(lines, 1, F.col("__state.kept")), "\n")
+    mark = F.format_string(TRUNCATED_MARK, F.floor(F.col("__state.kept_bytes") / 4).cast("long"), F.coalesce(F.col(tokens), F.lit(0)).cast("long"))
+    shortened = F.when(F.col("__state.kept_bytes") > 0, F.concat(kept, F.lit("\n"), mark)).otherwise(mark)
+    return counted.withColumn(content, F.when(F.col(room).isNull() | F.col(content).isNull(), F.col(content)).otherwise(shortened)).drop("__state")
 
 
 def split_parts(df: DataFrame, tokens_per_part: int, group: str = "repo") -> DataFrame:

@@ -68,9 +68,9 @@ def fuzzy_matches(text: Column, query: str) -> Column:
 
 
 def inclusion_summary(df: DataFrame) -> DataFrame:
-    """``repo, tier_key, n_included, n_excluded, percent``: tiers of a budgeted set; percent of the budgeted tokens, cut to a whole."""
+    """``repo, tier_key, n_included, n_excluded, percent``: tiers of a budgeted set with ``used`` tokens; percent of all tokens used, cut to a whole."""
     taken = F.col("status").isin("included", "truncated")
-    tiers = df.groupBy("repo", "tier").agg(F.sum(taken.cast("long")).alias("n_included"), F.sum((~taken).cast("long")).alias("n_excluded"), F.sum(F.when(taken, F.coalesce("tokens", F.lit(0))).otherwise(0)).alias("tokens"))
+    tiers = df.groupBy("repo", "tier").agg(F.sum(taken.cast("long")).alias("n_included"), F.sum((~taken).cast("long")).alias("n_excluded"), F.sum("used").alias("tokens"))
     total = tiers.groupBy("repo").agg(F.sum("tokens").alias("all"))
     key = F.element_at(F.array(*[F.lit(k) for k in TIER_KEYS]), F.col("tier") + 1)
     return tiers.join(total, "repo").select("repo", key.alias("tier_key"), "n_included", "n_excluded", F.when(F.col("all") > 0, F.expr("tokens * 100 div all")).otherwise(0).alias("percent"))

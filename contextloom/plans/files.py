@@ -12,6 +12,7 @@ from contextloom.operators.compression import compressor_language
 from contextloom.operators.descriptors import DESCRIPTORS_SQL, descriptors
 from contextloom.operators.render import fence_language
 from contextloom.sources.tables import table
+from contextloom.storage import materialize
 
 BUDGET = 20_000
 PART = 8_000
@@ -166,22 +167,37 @@ def pipeline_stats(spark, sf_dir):
     return reports.pipeline_stats(_narrow(spark, sf_dir), "repo")
 
 
+#: Tokens of a document around its files, for one repository's budget.
+OVERHEAD = 500
+
+
+def _budgeted(spark, sf_dir):
+    """Every file of every repository with its budget's verdict, and the shortened texts of the truncated ones."""
+    chosen = materialize(budget.budget_truncate(_tiered(spark, sf_dir), BUDGET, overhead=OVERHEAD), "budgeted")
+    cut = chosen.where("status = 'truncated'").select("file_id", "room", "tokens")  # one a repository
+    files = _files(spark, sf_dir).select("file_id", "content").join(cut, "file_id").dropDuplicates(["file_id"])
+    return chosen, budget.truncated_content(files).select("file_id", "room", F.expr("octet_length(content) div 4").alias("tokens"), F.md5("content").alias("content_md5"))
+
+
 def budget_truncate(spark, sf_dir):
-    return budget.budget_truncate(_tiered(spark, sf_dir), BUDGET).select("file_id", "repo", "tier", "path", "tokens", "status", "room")
+    return budget.budget_truncate(_tiered(spark, sf_dir), BUDGET, overhead=OVERHEAD).select("file_id", "repo", "tier", "path", "tokens", "status", "room")
 
 
 def budget_tier_stats(spark, sf_dir):
-    return budget.tier_stats(budget.budget_truncate(_tiered(spark, sf_dir), BUDGET), "repo")
+    return budget.tier_stats(budget.with_used_tokens(*_budgeted(spark, sf_dir)), "repo")
 
 
 def budget_skip(spark, sf_dir):
-    return budget.budget_skip(_tiered(spark, sf_dir), BUDGET)
+    return budget.budget_skip(_tiered(spark, sf_dir), BUDGET, overhead=OVERHEAD)
+
+
+def budget_unlimited(spark, sf_dir):
+    """Without a limit everything is included and no overhead counts."""
+    return budget.budget_truncate(_tiered(spark, sf_dir), 0, overhead=OVERHEAD).groupBy("repo", "status").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
 
 def budget_truncated_files(spark, sf_dir):
-    cut = budget.budget_truncate(_tiered(spark, sf_dir), BUDGET).where("status = 'truncated'").select("file_id", "room")
-    files = _files(spark, sf_dir).select("file_id", "content").join(cut, "file_id").dropDuplicates(["file_id"])
-    return budget.truncated_content(files).select("file_id", "room", F.expr("octet_length(content) div 4").alias("tokens"), F.md5("content").alias("content_md5"))
+    return _budgeted(spark, sf_dir)[1]
 
 
 def split_parts(spark, sf_dir):
@@ -232,7 +248,7 @@ def slice_budget(spark, sf_dir):
 
 
 def inclusion_summary(spark, sf_dir):
-    return metadata.inclusion_summary(budget.budget_truncate(_tiered(spark, sf_dir), BUDGET))
+    return metadata.inclusion_summary(budget.with_used_tokens(*_budgeted(spark, sf_dir)))
 
 
 def metadata_files(spark, sf_dir):
@@ -263,15 +279,25 @@ d AS (SELECT repo, path, tokens, array_to_string(list_slice(p, 1, n), '/') AS di
 _SELECTED = f"""{F_SQL}, parts AS (SELECT repo, path, tokens > 200 AS included, string_split(path, '/') AS p FROM f WHERE tokens IS NOT NULL),
 d AS (SELECT repo, included, array_to_string(list_slice(p, 1, n), '/') AS dir FROM (SELECT *, unnest(range(1, len(p))) AS n FROM parts)),
 s AS (SELECT repo, dir, count(*) AS n_files, CASE WHEN min(included::INT) = 1 THEN 'included' WHEN max(included::INT) = 0 THEN 'excluded' ELSE 'partial' END AS state FROM d GROUP BY repo, dir)"""
+_LIMIT = BUDGET - OVERHEAD
 _TRUNCATE = f"""{T_SQL}, r AS (SELECT *, sum(coalesce(tokens, 0)) OVER (PARTITION BY repo ORDER BY tier, path, file_id ROWS UNBOUNDED PRECEDING) AS running FROM t),
-b AS (SELECT *, CASE WHEN running <= {BUDGET} THEN 'included' WHEN {BUDGET} - (running - coalesce(tokens, 0)) > 0 THEN 'truncated' ELSE 'excluded' END AS status FROM r)"""
+b AS (SELECT *, CASE WHEN running <= {_LIMIT} THEN 'included' WHEN {_LIMIT} - (running - coalesce(tokens, 0)) > 0 THEN 'truncated' ELSE 'excluded' END AS status,
+        {_LIMIT} - (running - coalesce(tokens, 0)) AS space FROM r)"""
+#: Truncated files: the most lines whose joined bytes div 4 leave 20 tokens of the space, then a mark that names the tokens shown.
+_CUT = f"""{_TRUNCATE}, ct AS (SELECT file_id, space, tokens, (SELECT max(content) FROM files x WHERE x.file_id = b.file_id) AS content FROM b WHERE status = 'truncated'),
+ln AS (SELECT file_id, space, tokens, content, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM ct),
+ps AS (SELECT file_id, space, i, sum(strlen(line)) OVER (PARTITION BY file_id ORDER BY i) + i - 1 AS upto FROM ln),
+kp AS (SELECT file_id, coalesce(max(CASE WHEN upto // 4 <= greatest(space - 20, 0) THEN i END), 0) AS k FROM ps GROUP BY file_id),
+kt AS (SELECT ct.file_id, space, tokens, array_to_string(string_split(content, chr(10))[1:k], chr(10)) AS kept FROM ct JOIN kp ON kp.file_id = ct.file_id),
+tx AS (SELECT file_id, space, CASE WHEN kept = '' THEN '' ELSE kept || chr(10) END || '<!-- Content truncated: ' || (strlen(kept) // 4) || ' of ' || tokens || ' tokens shown -->' AS content FROM kt),
+us AS (SELECT b.*, CASE status WHEN 'excluded' THEN 0 WHEN 'truncated' THEN strlen(tx.content) // 4 ELSE coalesce(tokens, 0) END AS used FROM b LEFT JOIN tx ON tx.file_id = b.file_id)"""
 _NUMBERED = f"""{T_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY tier, path, file_id) AS k FROM t)"""
 _SPLIT = f"""{T_SQL}, o AS MATERIALIZED (
   SELECT file_id, repo, tier, path, coalesce(tokens, 0) AS tokens, regexp_extract(path, '^([^/]*)', 1) AS top, row_number() OVER (PARTITION BY repo ORDER BY tier, path, file_id) AS k,
          sum(coalesce(tokens, 0)) OVER (PARTITION BY repo) + 200 * count(*) OVER (PARTITION BY repo) + 600 AS whole FROM t),
 -- next_part/filled/used: the part that is open after this file; part_no: where this file went
 w AS (
-  SELECT o.*, CASE WHEN whole <= {PART} THEN 1 ELSE 1 END AS part_no,
+  SELECT o.*, 1 AS part_no,
          CASE WHEN tokens + 200 > {PART} - 600 THEN 2 ELSE 1 END AS open_part, CASE WHEN tokens + 200 > {PART} - 600 THEN 0 ELSE 1 END AS filled, CASE WHEN tokens + 200 > {PART} - 600 THEN 0 ELSE tokens + 200 END AS used
   FROM o WHERE k = 1
   UNION ALL
@@ -291,7 +317,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ignore_filter, ignore_files, pattern_filter, sensitive_paths, binary_contents, skip_reasons, scan_skip_counts, tracked_files, assert_include, tier_match, tier_counts, tier_explain,
-        language_breakdown, token_estimates, tier_token_report, top_files_by_tokens, token_heatmap, document_overhead, pipeline_stats, budget_truncate, budget_tier_stats, budget_skip,
+        language_breakdown, token_estimates, tier_token_report, top_files_by_tokens, token_heatmap, document_overhead, pipeline_stats, budget_truncate, budget_tier_stats, budget_skip, budget_unlimited,
         budget_truncated_files, split_parts, split_part_sizes, dir_tristate, selection_patterns, tree_nodes, tree_drawing, module_map, health_checks, quality_coverage, quality_percent, slice_budget, inclusion_summary, metadata_files, preview_records, verify_sample, decision_trace, fuzzy_search,
     )
 }
@@ -326,11 +352,13 @@ ORACLES = {
     "document_overhead": f"{F_SQL} SELECT repo, 200 + count(*) * 35 AS overhead_tokens FROM f GROUP BY repo",
     "pipeline_stats": f"""{F_SQL} SELECT repo, count(*) AS n_files, coalesce(sum(tokens), 0)::BIGINT AS tokens, sum(is_binary::INT)::BIGINT AS n_binary,
         CASE WHEN count(error) > 0 THEN 2 ELSE 0 END AS exit_code FROM f GROUP BY repo""",
-    "budget_truncate": f"""{_TRUNCATE} SELECT file_id, repo, tier, path, tokens, status, CASE WHEN status = 'truncated' THEN ({BUDGET} - (running - coalesce(tokens, 0)))::BIGINT END AS room FROM b""",
-    "budget_tier_stats": f"""{_TRUNCATE} SELECT repo, tier, sum((status <> 'excluded')::INT)::BIGINT AS n_included, sum((status = 'excluded')::INT)::BIGINT AS n_excluded,
-        sum(CASE WHEN status <> 'excluded' THEN coalesce(tokens, 0) ELSE 0 END)::BIGINT AS tokens_included FROM b GROUP BY repo, tier""",
+    "budget_truncate": f"""{_TRUNCATE} SELECT file_id, repo, tier, path, tokens, status, CASE WHEN status = 'truncated' THEN space::BIGINT END AS room FROM b""",
+    "budget_tier_stats": f"""{_CUT} SELECT repo, tier, sum((status <> 'excluded')::INT)::BIGINT AS n_included, sum((status = 'excluded')::INT)::BIGINT AS n_excluded,
+        sum(used)::BIGINT AS tokens_included FROM us GROUP BY repo, tier""",
+    "budget_unlimited": f"{T_SQL} SELECT repo, 'included' AS status, count(*) AS n_files, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM t GROUP BY repo",
+    "budget_truncated_files": f"{_CUT} SELECT file_id, space::BIGINT AS room, strlen(content) // 4 AS tokens, md5(content) AS content_md5 FROM tx",
     "budget_skip": f"""{_NUMBERED}, w AS (
-        SELECT o.*, CASE WHEN coalesce(tokens, 0) <= {BUDGET} THEN 'included' ELSE 'excluded' END AS status, {BUDGET} - CASE WHEN coalesce(tokens, 0) <= {BUDGET} THEN coalesce(tokens, 0) ELSE 0 END AS left_over FROM o WHERE k = 1
+        SELECT o.*, CASE WHEN coalesce(tokens, 0) <= {_LIMIT} THEN 'included' ELSE 'excluded' END AS status, {_LIMIT} - CASE WHEN coalesce(tokens, 0) <= {_LIMIT} THEN coalesce(tokens, 0) ELSE 0 END AS left_over FROM o WHERE k = 1
         UNION ALL
         SELECT o.*, CASE WHEN coalesce(o.tokens, 0) <= w.left_over THEN 'included' ELSE 'excluded' END, w.left_over - CASE WHEN coalesce(o.tokens, 0) <= w.left_over THEN coalesce(o.tokens, 0) ELSE 0 END
         FROM w JOIN o ON o.repo = w.repo AND o.k = w.k + 1)
@@ -364,8 +392,8 @@ ORACLES = {
 }
 ORACLES["quality_percent"] = f"SELECT count(*) AS n_questions, sum(covered::INT)::BIGINT AS n_covered, round(sum(covered::INT) * 100.0 / count(*), 6)::DOUBLE AS percent FROM ({ORACLES['quality_coverage']})"
 ORACLES |= {
-    "inclusion_summary": f"""{_TRUNCATE}, g AS (SELECT repo, tier, sum((status <> 'excluded')::INT)::BIGINT AS n_included, sum((status = 'excluded')::INT)::BIGINT AS n_excluded,
-          sum(CASE WHEN status <> 'excluded' THEN coalesce(tokens, 0) ELSE 0 END)::BIGINT AS tokens FROM b GROUP BY repo, tier), h AS (SELECT *, sum(tokens) OVER (PARTITION BY repo)::BIGINT AS total FROM g)
+    "inclusion_summary": f"""{_CUT}, g AS (SELECT repo, tier, sum((status <> 'excluded')::INT)::BIGINT AS n_included, sum((status = 'excluded')::INT)::BIGINT AS n_excluded,
+          sum(used)::BIGINT AS tokens FROM us GROUP BY repo, tier), h AS (SELECT *, sum(tokens) OVER (PARTITION BY repo)::BIGINT AS total FROM g)
         SELECT repo, {_TIER_KEY} AS tier_key, n_included, n_excluded, CASE WHEN total > 0 THEN tokens * 100 // total ELSE 0 END AS percent FROM h""",
     "metadata_files": f"{T_SQL} SELECT repo, coalesce(sum(tokens), 0)::BIGINT AS tokens, round(sum(tokens) * 100.0::DOUBLE / {BUDGET}.0::DOUBLE, 4) AS percent, min(path) AS first_path FROM t GROUP BY repo",
     "preview_records": f"""{T_SQL}, g AS (SELECT repo, tier, count(*) AS n, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM t GROUP BY repo, tier)

@@ -99,8 +99,17 @@ def test_budgets(spark):
     assert statuses(budget.budget_truncate(df, 0)) == ["included"] * 5
     assert statuses(budget.budget_skip(df, -1)) == ["included"] * 5
     assert budget.budget_truncate(df.limit(0), 100).count() == 0 and budget.budget_skip(df.limit(0), 100).count() == 0
-    stats = budget.tier_stats(budget.budget_truncate(df, 100), "repo").first()
-    assert (stats.n_included, stats.n_excluded, stats.tokens_included) == (2, 3, 110)
+    cut = spark.createDataFrame([(1, 47)], "file_id long, tokens long")
+    stats = budget.tier_stats(budget.with_used_tokens(budget.budget_truncate(df, 100), cut), "repo").first()
+    assert (stats.n_included, stats.n_excluded, stats.tokens_included) == (2, 3, 97)
+
+
+def test_overhead_comes_off_the_budget_first(spark):
+    df = frame(spark, 50, 60, 30, None, 20)
+    assert statuses(budget.budget_truncate(df, 100, overhead=50)) == ["included", "excluded", "excluded", "excluded", "excluded"]
+    assert statuses(budget.budget_truncate(df, 100, overhead=120)) == ["excluded"] * 5
+    assert statuses(budget.budget_skip(df, 100, overhead=30)) == ["included", "excluded", "excluded", "included", "included"]
+    assert statuses(budget.budget_truncate(df, 0, overhead=120)) == ["included"] * 5
 
 
 def test_running_sum_matches_window(spark):
@@ -114,10 +123,12 @@ def test_running_sum_matches_window(spark):
 
 
 def test_truncated_content(spark):
-    df = spark.createDataFrame([("\n".join(f"line {n}" for n in range(60)), 60), ("short", None), (None, 50), ("x" * 4000, 30)], "content string, room long")
-    out = [r.content for r in budget.truncated_content(df).collect()]
-    assert out[0].startswith("line 0\n") and "truncated" in out[0] and len(out[0].split("\n<!--")[0]) // 4 <= 40
-    assert out[1] == "short" and out[2] is None and out[3].startswith("\n<!--")
+    rows = [("\n".join(f"line {n}" for n in range(60)), 60, 130), ("short", None, 1), (None, 50, 9), ("x" * 4000, 30, 1000), ("y" * 43 + "\n" + "z" * 400, 30, 111), ("", 5, 0)]
+    out = [r.content for r in budget.truncated_content(spark.createDataFrame(rows, "content string, room long, tokens long").coalesce(1)).collect()]
+    kept, mark = out[0].rsplit("\n", 1)
+    assert kept == "\n".join(f"line {n}" for n in range(21)) and mark == f"<!-- Content truncated: {len(kept) // 4} of 130 tokens shown -->" and len(kept) // 4 <= 40 < (len(kept) + 8) // 4
+    assert out[1] == "short" and out[2] is None and out[3] == "<!-- Content truncated: 0 of 1000 tokens shown -->"
+    assert out[4] == "y" * 43 + "\n<!-- Content truncated: 10 of 111 tokens shown -->" and out[5] == "<!-- Content truncated: 0 of 0 tokens shown -->"
 
 
 def test_split_parts(spark):
@@ -247,6 +258,7 @@ def test_side_outputs(spark):
     assert "budget_used_percent" not in json.loads(metadata.metadata(df).first().metadata)["statistics"]
     assert json.loads({r.repo: r.preview for r in metadata.preview(df).collect()}["r"])["tiers"] == {"0": 1, "1": 1}
     assert metadata.sample(df, 1, "x").count() == 2 and metadata.sample(df, 0).count() == 3
+    df = df.withColumn("used", F.when(F.col("status") == "excluded", 0).otherwise(F.col("tokens")))
     assert {(r.repo, r.tier_key): r.percent for r in metadata.inclusion_summary(df).collect()} == {("r", "primary"): 100, ("r", "critical"): 0, ("q", "secondary"): 100}
     paths = spark.createDataFrame([("src/Main.go",), ("a.b",)], "p string")
     assert [r[0] for r in paths.select(metadata.fuzzy_matches(F.col("p"), "SM.g")).collect()] == [True, False]
