@@ -47,8 +47,18 @@ _GENERATED = re.compile("|".join(f"(?:{p})" for p in GENERATED_PHRASES), re.I)
 _KEPT = re.compile("|".join(f"(?:{p})" for p in KEPT_PHRASES), re.I)
 _FOREIGN = re.compile("|".join(f"(?:{p})" for p in FOREIGN_PHRASES), re.I)
 
-#: Every phrase above holds one of these; the comments of most files hold none.
-_HINT = re.compile("generat|do not|erzeugt|erstellt|hand|bearbeiten|editieren|ändern|génér|genere|modif|editar|edite|gerado|generad|creado|сгенер|редакт|edit|creat|produced|lost|overwrit|keep in|licen|upstream|imported|\\(c\\)", re.I)
+# Every phrase above holds one of these, in lower case; the comments of most files hold none.
+HINTS = (
+    "generat", "generad", "genere", "génér", "gerado", "do not", "erzeugt", "erstellt", "hand", "bearbeiten", "ändern", "modif", "edit", "сгенер", "редакт", "creat", "creado", "produced", "lost", "overwrit",
+    "keep in", "licen", "upstream", "imported", "(c)",
+)
+
+
+def hinted(text: str) -> bool:
+    """Whether any of the phrases may stand in a text; plain searches, as most texts hold none."""
+    lowered = text.lower()
+    return any(hint in lowered for hint in HINTS)
+
 
 # Lock files of package managers.
 LOCK_NAMES = frozenset(
@@ -186,11 +196,8 @@ def content_marks(path: str, text: str) -> dict:
     """All that one file's text says, as plain values. Never fails; an empty text says nothing."""
     ext = extension(path)
     lines = text.replace("\r\n", "\n").split("\n")
-    comments = comment_lines(lines) if ext not in PROSE and _HINT.search(text) else []
-    joined = "\n".join(comments)
-    if not _HINT.search(joined):
-        comments, joined = [], ""
-    kept = bool(_KEPT.search(joined))
+    comments = [line for line in comment_lines(lines) if hinted(line)] if ext not in PROSE and hinted(text) else []
+    kept = any(_KEPT.search(line) for line in comments)
     code = ext in CODE
     return {
         "signed": not kept and any(_GENERATED.search(line) for line in comments),
