@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contextloom.functions.tables import FENCE_LANGUAGES
+from contextloom.functions.tables import FENCE_LANGUAGES, TIER_KEYS
 from contextloom.functions.text import cdata, ending, fenced, human_bytes, lookup, numbered_lines, thousands, unfenced, xml_attribute
 from contextloom.operators.relevance import tier_key
 
@@ -42,15 +46,74 @@ def renderable(files: DataFrame, tier: Column) -> DataFrame:
     )
 
 
-def documents(blocks: DataFrame, max_files: int = 5_000) -> DataFrame:
-    """``repo, document``: each repository's blocks in order of tier and path, under a title.
+def top_members(members: DataFrame, n: int = 5) -> DataFrame:
+    """``repo, top``: each repository's ``n`` largest files in order of tokens, then tier and path; kept while aggregating."""
+    entry = F.struct((-F.col("tokens")).alias("less"), "tier", "path", "tokens", "n_bytes")
+    few = members.groupBy("repo", F.pmod(F.xxhash64("path"), F.lit(256)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(entry)), 1, n).alias("top"))
+    return few.groupBy("repo").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, n).alias("top"))
+
+
+def document_heads(members: DataFrame, hashes: DataFrame | None = None, redactions: DataFrame | None = None, trees: DataFrame | None = None, *, title: str = "Context", profile: str = "default", tokenizer: str = "none", generated: str = "") -> DataFrame:
+    """``repo, part_no, head``: title, table of facts, summary and tree of each part of each repository's document.
 
-    A document is one value, so a repository with more than ``max_files`` files has to be split first; that is
-    checked, not cut.
+    ``members`` has ``repo, part_no, path, tier, tokens, n_bytes``. Figures are those of the part; the largest
+    files, masked secrets (``redactions``: ``repo, secret_type, n``) and the tree (``trees``: ``repo, tree``) stand in the
+    first part only. Without a given time, hash or tree these lines are left out.
     """
-    grouped = blocks.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
-    checked = F.when(F.size("b") > max_files, F.raise_error(F.lit("too many files for one document; split it"))).otherwise(F.col("b"))
-    return grouped.select("repo", F.concat(F.lit("# "), F.col("repo"), F.lit("\n\n## Files\n\n"), F.array_join(F.transform(checked, lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("document"))
+    parts = members.groupBy("repo", "part_no").agg(
+        F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), *[F.sum((F.col("tier") == t).cast("long")).alias(f"t{t}") for t in range(len(TIER_KEYS))]
+    )
+    totals = parts.groupBy("repo").agg(F.max("part_no").alias("n_parts"))
+    joined = parts.join(totals, "repo").join(top_members(members), "repo", "left")
+    joined = joined.join(hashes.select("repo", "content_hash"), "repo", "left") if hashes is not None else joined.withColumn("content_hash", F.lit(None).cast("string"))
+    joined = joined.join(trees.select("repo", "tree"), "repo", "left") if trees is not None else joined.withColumn("tree", F.lit(None).cast("string"))
+    if redactions is not None:
+        listed = redactions.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("secret_type", "n"))).alias("masked"))  # one entry a type
+        joined = joined.join(listed, "repo", "left")
+    else:
+        joined = joined.withColumn("masked", F.lit(None).cast("array<struct<secret_type: string, n: bigint>>"))
+    first = F.col("part_no") == 1
+    row = lambda name, value: F.concat(F.lit(f"| {name} | "), value, F.lit(" |\n"))
+    lines = lambda rows, shape: F.array_join(F.transform(rows, shape), "")
+    name = F.concat(F.col("repo"), F.when(F.col("n_parts") > 1, F.format_string(" (Part %d of %d)", F.col("part_no"), F.col("n_parts"))).otherwise(""))
+    facts = F.concat(
+        F.lit("| Field | Value |\n|-------|-------|\n"), row("Generated", F.lit(generated)) if generated else F.lit(""), F.coalesce(row("Content Hash", F.col("content_hash")), F.lit("")), row("Profile", F.lit(profile)),
+        row("Tokenizer", F.lit(tokenizer)), row("Total Tokens", thousands(F.col("n_tokens"))), row("Total Files", F.col("n_files").cast("string")),
+    )
+    tiers = F.concat(*[F.when(F.col(f"t{t}") > 0, F.format_string(f"| {t} | {key} | %d |\n", F.col(f"t{t}"))).otherwise("") for t, key in enumerate(TIER_KEYS)])
+    top = F.concat(
+        F.lit("\n### Top Files by Token Count\n\n| File | Tokens | Size |\n|------|--------|------|\n"), lines("top", lambda f: F.concat(F.lit("| "), f["path"], F.lit(" | "), thousands(f["tokens"]), F.lit(" | "), human_bytes(f["n_bytes"]), F.lit(" |\n")))
+    )
+    masked = F.concat(F.lit("\n### Redaction Summary\n\n| Type | Count |\n|------|-------|\n"), lines("masked", lambda m: F.concat(F.lit("| "), m["secret_type"], F.lit(" | "), m["n"].cast("string"), F.lit(" |\n"))))
+    tree = F.concat(F.lit("\n## Directory Tree\n\n```\n"), F.when(first, F.coalesce("tree", F.lit(""))).otherwise("(See Part 1 for full directory tree and file summary)"), F.lit("\n```\n"))
+    head = F.concat(
+        F.lit(f"# {title}: "), name, F.lit("\n\n"), facts, F.lit("\n## File Summary\n\n**Total Files:** "), F.col("n_files").cast("string"), F.lit(" | **Total Tokens:** "), thousands(F.col("n_tokens")),
+        F.lit("\n\n### Files by Tier\n\n| Tier | Label | Count |\n|------|-------|-------|\n"), tiers, F.when(first & (F.size("top") > 0), top).otherwise(""), F.when(first & (F.size("masked") > 0), masked).otherwise(""),
+        tree if trees is not None else F.lit(""),
+    )
+    return joined.select("repo", "part_no", head.alias("head"))
+
+
+def documents(blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``repo, part_no, document``: each part's blocks in order of tier and path, under its head or a title.
+
+    ``blocks`` has ``repo, part_no, tier, path, block``; a part comes from ``split_parts``, so that a document is one value of
+    bounded size: its tokens, or those of a single larger file.
+    """
+    grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
+    head = F.concat(F.lit("# "), F.col("repo"), F.lit("\n"))
+    if heads is not None:
+        grouped, head = grouped.join(heads, ["repo", "part_no"]), F.col("head")
+    return grouped.select("repo", "part_no", F.concat(head, F.lit("\n## Files\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit("\n")).alias("document"))
+
+
+def change_section(changes: DataFrame) -> DataFrame:
+    """``repo, section``: the closing section on changes, from ``repo, path, change``; repositories without changes have none."""
+    kinds = ("added", "modified", "deleted")
+    listed = changes.groupBy("repo").agg(*[F.sort_array(F.collect_list(F.when(F.col("change") == k, F.col("path")))).alias(k) for k in kinds])
+    counts = F.concat(*[F.format_string(f"| {k.title()} | %d |\n", F.size(k)) for k in kinds])
+    lists = [F.when(F.size(k) > 0, F.concat(F.lit(f"\n### {k.title()} Files\n\n"), F.array_join(F.transform(k, lambda p: F.concat(F.lit("- "), p, F.lit("\n"))), ""))).otherwise("") for k in kinds]
+    return listed.select("repo", F.concat(F.lit("\n## Change Summary\n\n| Change Type | Count |\n|-------------|-------|\n"), counts, *lists).alias("section"))
 
 
 def parsed_markdown(docs: DataFrame, document: str = "document") -> DataFrame:
@@ -79,12 +142,38 @@ def repository_hash(files: DataFrame) -> DataFrame:
     return buckets.groupBy("repo").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n")).alias("content_hash"))
 
 
-def xml_documents(blocks: DataFrame, max_files: int = 5_000) -> DataFrame:
-    """``repo, document``: each repository's XML elements in order of tier and path; see ``documents`` for the limit."""
-    grouped = blocks.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
-    checked = F.when(F.size("b") > max_files, F.raise_error(F.lit("too many files for one document; split it"))).otherwise(F.col("b"))
-    body = F.array_join(F.transform(checked, lambda x: x["block"]), "\n")
-    return grouped.select("repo", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<repository>\n<files>\n'), body, F.lit("\n</files>\n</repository>\n")).alias("document"))
+def xml_documents(blocks: DataFrame) -> DataFrame:
+    """``repo, part_no, document``: each part's XML elements in order of tier and path, as in ``documents``."""
+    grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
+    body = F.array_join(F.transform("b", lambda x: x["block"]), "\n")
+    return grouped.select("repo", "part_no", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<repository>\n<files>\n'), body, F.lit("\n</files>\n</repository>\n")).alias("document"))
+
+
+def ordered_hash(files: DataFrame) -> DataFrame:
+    """``repo, content_hash``: XXH3 over path, a zero byte and content of all files of a repository, in order of path, as hex.
+
+    The order makes it one stream a repository: rows are sorted by path and hashed as they pass, in constant
+    memory. ``repository_hash`` is the one that spreads a repository over tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo, last, state = None, None, None
+        for pdf in batches:
+            done = []
+            for here, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
+                if here != repo:
+                    if state is not None:
+                        done.append((repo, f"{state.intdigest():x}"))
+                    repo, last, state = here, None, xxhash.xxh3_64()
+                if path != last:  # delivered again
+                    state.update(path.encode("utf-8", "surrogatepass") + b"\0" + (content or "").encode("utf-8", "surrogatepass"))
+                    last = path
+            yield pd.DataFrame(done, columns=["repo", "content_hash"])
+        if state is not None:
+            yield pd.DataFrame([(repo, f"{state.intdigest():x}")], columns=["repo", "content_hash"])
+
+    rows = files.where(F.col("repo").isNotNull() & F.col("path").isNotNull()).select("repo", "path", "content")
+    return rows.repartition("repo").sortWithinPartitions("repo", "path", "content").mapInPandas(run, "repo string, content_hash string")
 
 
 def parsed_xml(docs: DataFrame, document: str = "document") -> DataFrame:

@@ -40,6 +40,15 @@ def verified(parsed: DataFrame, files: DataFrame) -> DataFrame:
     return parsed.join(sources, ["repo", "path"], "left").select("repo", "path", status(F.col("source"), F.col("content"), compressed, F.col("redactions")).alias("status"))
 
 
+def tallies(statuses: DataFrame) -> DataFrame:
+    """``repo, n_files, n_passed, n_failed, n_redacted, n_compressed``: matches, masked and compressed files pass."""
+    n = lambda *kinds: F.sum(F.col("status").isin(*kinds).cast("long"))
+    return statuses.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_files"), n("MATCH", "REDACTION_DIFF", "COMPRESSION_DIFF").alias("n_passed"), n("UNEXPECTED_DIFF", "FILE_CHANGED").alias("n_failed"),
+        n("REDACTION_DIFF").alias("n_redacted"), n("COMPRESSION_DIFF").alias("n_compressed"),
+    )
+
+
 def line_differences(old: Column, new: Column) -> Column:
     """Up to ``MAX_DIFF_LINES`` ``(line, old, new)`` of lines that differ at the same position."""
     a, b = F.split(old, "\n", -1), F.split(new, "\n", -1)

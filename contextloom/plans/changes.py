@@ -80,15 +80,31 @@ def git_changes(spark, sf_dir):
     return ops.changes_of_status(_listing(spark))
 
 
+def _summarised(spark, sf_dir):
+    """Each snapshot that has a predecessor: its changed paths by kind, in order, and how many paths have an equal hash in both.
+
+    A snapshot's paths that are neither added nor modified were there before; of those, the ones whose hashes are
+    both null or of which one is null don't count as equal numbers but as no change, so they are unchanged too.
+    """
+    snapshots, rows = table(spark, sf_dir, "snapshots"), table(spark, sf_dir, "snapshot_files")
+    later = series_positions(snapshots).where("pos > 1").select("snapshot_id").distinct()
+    present = rows.where("path IS NOT NULL").select("snapshot_id", normal_path(F.col("path")).alias("path")).distinct().groupBy("snapshot_id").agg(F.count("*").alias("n_paths"))
+    kinds = ("added", "modified", "deleted")
+    changed = p5_found(spark, sf_dir).groupBy("snapshot_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("change_kind") == k, F.col("path")))).alias(k) for k in kinds])
+    none = F.array().cast("array<string>")
+    listed = later.join(changed, "snapshot_id", "left").join(present, "snapshot_id", "left").select("snapshot_id", "n_paths", *[F.coalesce(k, none).alias(k) for k in kinds])
+    return listed.withColumn("unchanged", F.coalesce("n_paths", F.lit(0)) - F.size("added") - F.size("modified"))
+
+
 def change_summary(spark, sf_dir):
     """The summary of each snapshot's changes as Markdown; lists are ordered by path."""
-    listed = p5_found(spark, sf_dir).groupBy("snapshot_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("change_kind") == k, F.col("path")))).alias(k) for k in ("added", "modified", "deleted")])
-    return listed.select("snapshot_id", F.md5(ops.summary_markdown(F.col("added"), F.col("modified"), F.col("deleted"), F.lit(0))).alias("summary_md5"))
+    listed = _summarised(spark, sf_dir)
+    return listed.select("snapshot_id", F.md5(ops.summary_markdown(*[F.col(c) for c in ("added", "modified", "deleted", "unchanged")])).alias("summary_md5"))
 
 
 def change_summary_xml(spark, sf_dir):
-    listed = p5_found(spark, sf_dir).groupBy("snapshot_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("change_kind") == k, F.col("path")))).alias(k) for k in ("added", "modified", "deleted")])
-    return listed.select("snapshot_id", F.md5(ops.summary_xml(F.col("added"), F.col("modified"), F.col("deleted"), F.lit(0))).alias("summary_md5"))
+    listed = _summarised(spark, sf_dir)
+    return listed.select("snapshot_id", F.md5(ops.summary_xml(*[F.col(c) for c in ("added", "modified", "deleted", "unchanged")])).alias("summary_md5"))
 
 
 def cached_states(spark, sf_dir):
@@ -123,6 +139,16 @@ def _xml_list(tag: str) -> str:
     return f"CASE WHEN count(*) FILTER (change_kind = '{tag}') > 0 THEN '  <{tag}_files>' || chr(10) || {items} || '  </{tag}_files>' || chr(10) ELSE '' END"
 
 
+_SUMMARY_SQL = f"""WITH x AS ({P5_SQL}), {SNAPSHOT_SQL},
+c AS (SELECT snapshot_id, count(*) FILTER (change_kind = 'added') AS a, count(*) FILTER (change_kind = 'modified') AS m, count(*) FILTER (change_kind = 'deleted') AS d,
+  {_LIST('Added', 'added')} AS la, {_LIST('Modified', 'modified')} AS lm, {_LIST('Deleted', 'deleted')} AS ld, {_xml_list('added')} AS xa, {_xml_list('modified')} AS xm, {_xml_list('deleted')} AS xd
+  FROM x GROUP BY snapshot_id),
+eq AS (SELECT o.snapshot_id, count(*) AS u FROM ordered o JOIN latest l ON l.snapshot_id = o.snapshot_id JOIN latest p ON p.snapshot_id = o.previous_id AND p.path = l.path
+  WHERE NOT coalesce(l.hash <> p.hash, FALSE) GROUP BY o.snapshot_id),
+z AS (SELECT o.snapshot_id, coalesce(a, 0) AS a, coalesce(m, 0) AS m, coalesce(d, 0) AS d, coalesce(u, 0) AS u, coalesce(la, '') AS la, coalesce(lm, '') AS lm, coalesce(ld, '') AS ld,
+  coalesce(xa, '') AS xa, coalesce(xm, '') AS xm, coalesce(xd, '') AS xd FROM (SELECT snapshot_id FROM ordered WHERE previous_id IS NOT NULL) o LEFT JOIN c USING (snapshot_id) LEFT JOIN eq USING (snapshot_id))"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, streamed_changes)
@@ -132,9 +158,8 @@ ORACLES = {
     "snapshot_change_counts": f"SELECT snapshot_id, " + ", ".join(f"sum((change_kind = '{k}')::INT)::BIGINT AS n_{k}" for k in ("added", "modified", "deleted")) + f" FROM ({P5_SQL}) GROUP BY snapshot_id",
     "git_name_status": f"{_STATUS} SELECT * FROM l",
     "git_changes": f"{_STATUS} SELECT path, status AS change FROM l WHERE status <> 'renamed' UNION SELECT old_path, 'deleted' FROM l WHERE status = 'renamed' UNION SELECT path, 'added' FROM l WHERE status = 'renamed'",
-    "change_summary": f"""SELECT snapshot_id, md5('**' || count(*) FILTER (change_kind = 'added') || ' added** | **' || count(*) FILTER (change_kind = 'modified') || ' modified** | **'
-        || count(*) FILTER (change_kind = 'deleted') || ' deleted** (0 unchanged)' || chr(10) || {_LIST('Added', 'added')} || {_LIST('Modified', 'modified')} || {_LIST('Deleted', 'deleted')}) AS summary_md5
-        FROM ({P5_SQL}) GROUP BY snapshot_id""",
+    "change_summary": f"""{_SUMMARY_SQL} SELECT snapshot_id, md5(CASE WHEN a + m + d = 0 THEN 'No changes detected since last run.' || chr(10) ELSE '**' || a || ' added** | **' || m || ' modified** | **'
+        || d || ' deleted** (' || u || ' unchanged)' || chr(10) || la || lm || ld END) AS summary_md5 FROM z""",
     "workspace_links": "SELECT DISTINCT repo AS src, 'target/' || target AS dst, FALSE AS is_known FROM runs WHERE target IS NOT NULL",
     "cached_states": """WITH s AS (SELECT DISTINCT snapshot_id, repo, profile_name, CAST(generated_at AS TIMESTAMPTZ) AS instant, coalesce(git_head_sha, '') AS head FROM snapshots WHERE snapshot_id IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY repo, profile_name ORDER BY instant DESC, snapshot_id DESC) AS k FROM s)
@@ -146,6 +171,5 @@ ORACLES = {
         SELECT CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' WHEN x.hash IS NOT DISTINCT FROM y.hash THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n
         FROM x FULL JOIN y ON x.repo = y.repo AND x.profile_name = y.profile_name AND x.git_branch = y.git_branch AND x.path = y.path GROUP BY 1""",
 }
-ORACLES["change_summary_xml"] = f"""SELECT snapshot_id, md5('<change_summary>' || chr(10) || '  <counts added="' || count(*) FILTER (change_kind = 'added') || '" modified="' || count(*) FILTER (change_kind = 'modified')
-  || '" deleted="' || count(*) FILTER (change_kind = 'deleted') || '" unchanged="0"/>' || chr(10) || {_xml_list('added')} || {_xml_list('modified')} || {_xml_list('deleted')} || '</change_summary>' || chr(10)) AS summary_md5
-  FROM ({P5_SQL}) GROUP BY snapshot_id"""
+ORACLES["change_summary_xml"] = f"""{_SUMMARY_SQL} SELECT snapshot_id, md5('<change_summary>' || chr(10) || '  <counts added="' || a || '" modified="' || m
+  || '" deleted="' || d || '" unchanged="' || u || '"/>' || chr(10) || xa || xm || xd || '</change_summary>' || chr(10)) AS summary_md5 FROM z"""

@@ -12,10 +12,11 @@ from contextloom.functions.rules import BUILT_IN
 from contextloom.functions.tables import ENTROPY_THRESHOLDS, FENCE_LANGUAGES, IMPORT_ENDINGS, INDEX_FILES, SIGNATURE_PATTERNS, SUSPICIOUS_WORDS, COMPRESSOR_LANGUAGES, TIER_KEYS
 from contextloom.functions.text import numbered_lines
 from contextloom.functions.tokenizers import token_count
-from contextloom.operators import compression, imports, redaction, relevance, render, verify, workflows
+from contextloom.operators import budget, compression, imports, redaction, relevance, render, trees, verify, workflows
 from contextloom.operators.descriptors import descriptors
-from contextloom.plans.files import ENDING, lookup_sql, matches, q, tier_sql
+from contextloom.plans.files import ENDING, lookup_sql, matches, q, split_sql, tier_sql
 from contextloom.sources.tables import spread, table
+from contextloom.storage import materialize
 
 #: Contents once per file, for oracles: a common table expression named ``c``.
 C_SQL = """WITH RECURSIVE c AS (SELECT file_id, max(repo) AS repo, max(path) AS path, max(content) AS content, max(coalesce(is_compressed, FALSE)::INT) = 1 AS is_compressed
@@ -110,14 +111,33 @@ def xml_blocks(spark, sf_dir):
     return _renderable(spark, sf_dir).select("file_id", F.md5(render.xml_block()).alias("block_md5")).distinct()
 
 
+#: Tokens of one part of a document.
+DOCUMENT_PART = 50_000
+
+
+def _parted(spark, sf_dir, block, name):
+    """Blocks of all files, each in the part of its repository's document."""
+    once = _renderable(spark, sf_dir).select("file_id", "repo", "tier", "path", "tokens", "n_bytes", block.alias("block")).dropDuplicates(["file_id"])
+    blocks = materialize(once, name)
+    parts = budget.split_parts(blocks.select("file_id", "repo", "tier", "path", "tokens"), DOCUMENT_PART).select("file_id", "part_no")
+    return blocks.join(parts, "file_id")
+
+
 def _documents(spark, sf_dir):
-    once = _renderable(spark, sf_dir).where(F.col("path").startswith("docs/") | F.col("path").startswith("config/"))
-    blocks = once.select("repo", "tier", "path", render.markdown_block().alias("block")).dropDuplicates(["repo", "path"])
-    return render.documents(blocks)
+    blocks = _parted(spark, sf_dir, render.markdown_block(), "markdown-blocks")
+    return render.documents(blocks, render.document_heads(blocks, render.repository_hash(_files(spark, sf_dir))))
 
 
 def markdown_documents(spark, sf_dir):
-    return _documents(spark, sf_dir).select("repo", F.md5("document").alias("document_md5"), F.octet_length("document").alias("n_bytes"))
+    """Each part of each repository's document, over all files."""
+    return _documents(spark, sf_dir).select("repo", "part_no", F.md5("document").alias("document_md5"), F.octet_length("document").alias("n_bytes"))
+
+
+def document_heads(spark, sf_dir):
+    """Heads with the tree to a depth of three and the masked secrets."""
+    blocks = _parted(spark, sf_dir, F.lit(""), "head-blocks")
+    masked = redaction.redaction_matches(_files(spark, sf_dir), "medium").join(blocks.select("file_id", "repo"), "file_id").groupBy("repo", "secret_type").agg(F.count("*").alias("n"))
+    return render.document_heads(blocks, None, masked, trees.repository_trees(blocks, 3))
 
 
 def parsed_markdown_files(spark, sf_dir):
@@ -125,9 +145,8 @@ def parsed_markdown_files(spark, sf_dir):
 
 
 def parsed_xml_files(spark, sf_dir):
-    """The same files through an XML document and back."""
-    once = _renderable(spark, sf_dir).where(F.col("path").startswith("docs/") | F.col("path").startswith("config/"))
-    docs = render.xml_documents(once.select("repo", "tier", "path", render.xml_block().alias("block")).dropDuplicates(["repo", "path"]))
+    """The same files through XML documents and back."""
+    docs = render.xml_documents(_parted(spark, sf_dir, render.xml_block(), "xml-blocks"))
     return render.parsed_xml(docs).select("repo", "path", F.md5("content").alias("content_md5"), "redactions")
 
 
@@ -135,6 +154,17 @@ def verify_status(spark, sf_dir):
     return verify.verified(render.parsed_markdown(_documents(spark, sf_dir)), _files(spark, sf_dir))
 
 
+def verify_tallies(spark, sf_dir):
+    """Tallies over masked, shortened, lost and unchanged files: each file is shown in one of five ways, by its id."""
+    source = _files(spark, sf_dir).where("content IS NOT NULL AND path IS NOT NULL AND file_id IS NOT NULL").select("file_id", "repo", "path", "content").dropDuplicates(["file_id"])
+    way = F.pmod("file_id", F.lit(5))
+    shown = (
+        F.when(way == 1, F.concat(F.lit("[REDACTED:x]\n"), F.regexp_replace("content", r"^[^\n]*\n?", ""))).when(way == 2, F.concat("content", F.lit("\nmore\nlines\n"))).otherwise(F.col("content"))
+    )
+    parsed = source.select("repo", F.when(way == 4, F.concat(F.lit("gone/"), F.col("path"))).otherwise(F.col("path")).alias("path"), shown.alias("content"), (way == 3).alias("is_compressed"), (way == 1).cast("int").alias("redactions"))
+    return verify.tallies(verify.verified(parsed, _files(spark, sf_dir)))
+
+
 def verify_redacted(spark, sf_dir):
     """Masked contents against their sources."""
     masked = redaction.redacted_contents(_files(spark, sf_dir), "medium").where("n_redactions > 0").select("file_id", F.col("content").alias("shown"), "n_redactions")
@@ -154,6 +184,10 @@ def content_hash_md5(spark, sf_dir):
     return render.repository_hash(_files(spark, sf_dir))
 
 
+def content_hash_ordered(spark, sf_dir):
+    return render.ordered_hash(_files(spark, sf_dir).where("content IS NOT NULL"))
+
+
 def content_hash_xxh3(spark, sf_dir):
     return _files(spark, sf_dir).where("file_id IS NOT NULL").select("file_id", xxh3_hex(F.col("content")).alias("hash")).distinct()
 
@@ -205,8 +239,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
-        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, parsed_markdown_files, parsed_xml_files, verify_status, verify_redacted, line_differences, content_hash_md5,
-        content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, manifest_sections, brief_budget,
+        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, document_heads, parsed_markdown_files, parsed_xml_files, verify_status, verify_tallies, verify_redacted, line_differences, content_hash_md5,
+        content_hash_ordered, content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, manifest_sections, brief_budget,
     )
 }
 
@@ -249,6 +283,32 @@ _BLOCK = f"""'### `' || path || '`' || chr(10) || chr(10) || '> **Size:** ' || {
   || CASE WHEN is_compressed THEN 'yes' ELSE 'no' END || chr(10) || chr(10) || '```' || {_FENCE} || chr(10) || replace(content, '```', '`` `') || chr(10) || '```'"""
 _XML = f"""'<file path="' || replace(replace(replace(replace(replace(path, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '" tokens="' || tokens || '" tier="' || {_TIER_KEY} || '" size="' || n_bytes
   || '" language="' || {_FENCE} || '" compressed="' || is_compressed || '">' || chr(10) || '<![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]>' || chr(10) || '</file>'"""
+_HASH_SQL = """hc AS (SELECT repo, path, max(md5(content)) AS digest FROM files WHERE content IS NOT NULL AND path IS NOT NULL AND repo IS NOT NULL GROUP BY repo, path),
+hb AS (SELECT repo, substring(md5(path), 1, 3) AS bucket, md5(string_agg(path || ':' || digest, chr(10) ORDER BY path)) AS digest FROM hc GROUP BY ALL),
+rh AS (SELECT repo, md5(string_agg(digest, chr(10) ORDER BY bucket)) AS content_hash FROM hb GROUP BY repo)"""
+
+
+def _markdown_documents_sql() -> str:
+    size = lambda n: _SIZE.replace("n_bytes", n)
+    line = "chr(10)"
+    tiers = " || ".join(f"CASE WHEN sum((tier = {t})::INT) > 0 THEN '| {t} | {key} | ' || sum((tier = {t})::INT) || ' |' || {line} ELSE '' END" for t, key in enumerate(TIER_KEYS))
+    fact = lambda name, value: f"'| {name} | ' || {value} || ' |' || {line}"
+    return f"""{_R_SQL}, sp AS MATERIALIZED ({split_sql(DOCUMENT_PART, source="(SELECT file_id, repo, tier, path, tokens FROM r)", recursive=False)}), {_HASH_SQL},
+m AS (SELECT r.*, sp.part_no, {_BLOCK} AS block FROM (SELECT file_id, part_no FROM sp) sp JOIN r USING (file_id)),
+tp AS (SELECT repo, string_agg('| ' || path || ' | ' || format('{{:,}}', tokens) || ' | ' || {size('n_bytes')} || ' |' || {line}, '' ORDER BY tokens DESC, tier, path) AS top
+  FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY repo ORDER BY tokens DESC, tier, path) <= 5) GROUP BY repo),
+pt AS (SELECT repo, part_no, count(*) AS n, sum(tokens)::BIGINT AS t, {tiers} AS tiers, string_agg(block, {line} || {line} ORDER BY tier, path, block) AS body FROM m GROUP BY repo, part_no),
+np AS (SELECT repo, max(part_no) AS n_parts FROM pt GROUP BY repo),
+d AS (SELECT repo, part_no, '# Context: ' || repo || CASE WHEN n_parts > 1 THEN ' (Part ' || part_no || ' of ' || n_parts || ')' ELSE '' END || {line} || {line} || '| Field | Value |' || {line} || '|-------|-------|' || {line}
+  || {fact('Content Hash', 'content_hash')} || {fact('Profile', "'default'")} || {fact('Tokenizer', "'none'")} || {fact('Total Tokens', "format('{:,}', t)")} || {fact('Total Files', 'n')}
+  || {line} || '## File Summary' || {line} || {line} || '**Total Files:** ' || n || ' | **Total Tokens:** ' || format('{{:,}}', t) || {line} || {line} || '### Files by Tier' || {line} || {line}
+  || '| Tier | Label | Count |' || {line} || '|------|-------|-------|' || {line} || tiers
+  || CASE WHEN part_no = 1 THEN {line} || '### Top Files by Token Count' || {line} || {line} || '| File | Tokens | Size |' || {line} || '|------|--------|------|' || {line} || top ELSE '' END
+  || {line} || '## Files' || {line} || {line} || body || {line} AS document
+  FROM pt JOIN np USING (repo) JOIN rh USING (repo) JOIN tp USING (repo))
+SELECT repo, part_no, md5(document) AS document_md5, strlen(document) AS n_bytes FROM d"""
+
+
 _IMPORTS_SQL = rf"""{C_SQL}, l AS (SELECT file_id, repo, path, lower({ENDING}) AS kind, unnest(string_split(content, chr(10))) AS line FROM c WHERE lower({ENDING}) IN ('go', 'ts', 'tsx', 'js', 'jsx', 'py')),
 g AS (SELECT *, regexp_extract(line, {q(imports.GO_IMPORT)}, 1) AS go_, regexp_extract(line, {q(imports.JS_IMPORT)}, 1) AS js1, regexp_extract(line, {q(imports.JS_REQUIRE)}, 1) AS js2,
              coalesce(nullif(regexp_extract(line, {q(imports.PY_IMPORT)}, 1), ''), regexp_extract(line, {q(imports.PY_IMPORT)}, 2)) AS py_ FROM l),
@@ -270,19 +330,18 @@ ORACLES = {
         SELECT file_id, md5(array_to_string(list_transform(range(1, len(p) + 1), lambda i: lpad(i::VARCHAR, length(len(p)::VARCHAR)::INTEGER, ' ') || ' | ' || p[i]), chr(10))) AS text_md5 FROM s""",
     "markdown_blocks": f"{_R_SQL} SELECT file_id, md5({_BLOCK}) AS block_md5 FROM r",
     "xml_blocks": f"{_R_SQL} SELECT file_id, md5({_XML}) AS block_md5 FROM r",
-    "markdown_documents": f"""{_R_SQL}, b AS (SELECT repo, tier, path, {_BLOCK} AS block FROM r WHERE starts_with(path, 'docs/') OR starts_with(path, 'config/')),
-        d AS (SELECT repo, '# ' || repo || chr(10) || chr(10) || '## Files' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY tier, path, block) || chr(10) AS document FROM b GROUP BY repo)
-        SELECT repo, md5(document) AS document_md5, strlen(document) AS n_bytes FROM d""",
-    "content_hash_md5": """WITH c AS (SELECT repo, path, max(md5(content)) AS digest FROM files WHERE content IS NOT NULL AND path IS NOT NULL AND repo IS NOT NULL GROUP BY repo, path)
-        , b AS (SELECT repo, substring(md5(path), 1, 3) AS bucket, md5(string_agg(path || ':' || digest, chr(10) ORDER BY path)) AS digest FROM c GROUP BY ALL)
-        SELECT repo, md5(string_agg(digest, chr(10) ORDER BY bucket)) AS content_hash FROM b GROUP BY repo""",
+    "markdown_documents": _markdown_documents_sql(),
+    "content_hash_md5": f"WITH {_HASH_SQL} SELECT repo, content_hash FROM rh",
     "import_targets": _IMPORTS_SQL,
     "line_differences": f"""{C_SQL}, s AS (SELECT file_id, string_split(content, chr(10)) AS a, string_split(regexp_replace(content, 'AKIA[0-9A-Z]{{16}}', '[REDACTED:aws_access_key_id]', 'g'), chr(10)) AS b FROM c),
         l AS (SELECT file_id, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS old, unnest(b) AS new FROM s)
         SELECT file_id, line::INTEGER AS line, old, new FROM l WHERE old <> new QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line) <= 10""",
-    "parsed_markdown_files": f"""{C_SQL} SELECT repo, path, md5(content) AS content_md5, len(regexp_extract_all(content, '\\[REDACTED:[^\\]]*\\]'))::INTEGER AS redactions FROM c
-        WHERE (starts_with(path, 'docs/') OR starts_with(path, 'config/'))""",
-    "verify_status": f"{C_SQL} SELECT repo, path, 'MATCH' AS status FROM c WHERE starts_with(path, 'docs/') OR starts_with(path, 'config/')",
+    "parsed_markdown_files": f"{C_SQL} SELECT repo, path, md5(content) AS content_md5, len(regexp_extract_all(content, '\\[REDACTED:[^\\]]*\\]'))::INTEGER AS redactions FROM c",
+    "verify_status": f"{C_SQL} SELECT repo, path, 'MATCH' AS status FROM c",
+    "verify_tallies": f"""{C_SQL}, w AS (SELECT CASE file_id % 5 WHEN 1 THEN CASE WHEN rtrim(content, chr(10)) = rtrim('[REDACTED:x]' || chr(10) || regexp_replace(content, '^[^\\n]*\\n?', ''), chr(10)) THEN 'MATCH' ELSE 'REDACTION_DIFF' END
+          WHEN 2 THEN 'UNEXPECTED_DIFF' WHEN 3 THEN 'COMPRESSION_DIFF' WHEN 4 THEN 'FILE_CHANGED' ELSE 'MATCH' END AS status, repo FROM c WHERE path IS NOT NULL)
+        SELECT repo, count(*) AS n_files, sum((status IN ('MATCH', 'REDACTION_DIFF', 'COMPRESSION_DIFF'))::INT)::BIGINT AS n_passed, sum((status IN ('UNEXPECTED_DIFF', 'FILE_CHANGED'))::INT)::BIGINT AS n_failed,
+          sum((status = 'REDACTION_DIFF')::INT)::BIGINT AS n_redacted, sum((status = 'COMPRESSION_DIFF')::INT)::BIGINT AS n_compressed FROM w GROUP BY repo""",
 }
 ORACLES["parsed_xml_files"] = ORACLES["parsed_markdown_files"]
 

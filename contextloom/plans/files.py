@@ -292,26 +292,32 @@ kt AS (SELECT ct.file_id, space, tokens, array_to_string(string_split(content, c
 tx AS (SELECT file_id, space, CASE WHEN kept = '' THEN '' ELSE kept || chr(10) END || '<!-- Content truncated: ' || (strlen(kept) // 4) || ' of ' || tokens || ' tokens shown -->' AS content FROM kt),
 us AS (SELECT b.*, CASE status WHEN 'excluded' THEN 0 WHEN 'truncated' THEN strlen(tx.content) // 4 ELSE coalesce(tokens, 0) END AS used FROM b LEFT JOIN tx ON tx.file_id = b.file_id)"""
 _NUMBERED = f"""{T_SQL}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY tier, path, file_id) AS k FROM t)"""
-_SPLIT = f"""{T_SQL}, o AS MATERIALIZED (
+
+def split_sql(part: int, source: str = "t", recursive: bool = True) -> str:
+    """Parts of ordered files in SQL; ``source`` has ``file_id, repo, tier, path, tokens``."""
+    return f"""{T_SQL + ', ' if recursive else 'WITH RECURSIVE '}o AS MATERIALIZED (
   SELECT file_id, repo, tier, path, coalesce(tokens, 0) AS tokens, regexp_extract(path, '^([^/]*)', 1) AS top, row_number() OVER (PARTITION BY repo ORDER BY tier, path, file_id) AS k,
-         sum(coalesce(tokens, 0)) OVER (PARTITION BY repo) + 200 * count(*) OVER (PARTITION BY repo) + 600 AS whole FROM t),
+         sum(coalesce(tokens, 0)) OVER (PARTITION BY repo) + 200 * count(*) OVER (PARTITION BY repo) + 600 AS whole FROM {source}),
 -- next_part/filled/used: the part that is open after this file; part_no: where this file went
 w AS (
   SELECT o.*, 1 AS part_no,
-         CASE WHEN tokens + 200 > {PART} - 600 THEN 2 ELSE 1 END AS open_part, CASE WHEN tokens + 200 > {PART} - 600 THEN 0 ELSE 1 END AS filled, CASE WHEN tokens + 200 > {PART} - 600 THEN 0 ELSE tokens + 200 END AS used
+         CASE WHEN tokens + 200 > {part} - 600 THEN 2 ELSE 1 END AS open_part, CASE WHEN tokens + 200 > {part} - 600 THEN 0 ELSE 1 END AS filled, CASE WHEN tokens + 200 > {part} - 600 THEN 0 ELSE tokens + 200 END AS used
   FROM o WHERE k = 1
   UNION ALL
   SELECT file_id, repo, tier, path, tokens, top, k, whole, part_no,
          CASE WHEN own THEN part_no + 1 ELSE part_no END, CASE WHEN own THEN 0 WHEN part_no > open_part THEN 1 ELSE filled + 1 END, CASE WHEN own THEN 0 WHEN part_no > open_part THEN cost ELSE used + cost END
   FROM (
     SELECT o.*, w.open_part, w.filled, w.used, o.tokens + 200 AS cost,
-           o.tokens + 200 > CASE WHEN w.open_part = 1 THEN {PART} - 600 ELSE {PART} - 300 END AS own,
-           CASE WHEN o.tokens + 200 > CASE WHEN w.open_part = 1 THEN {PART} - 600 ELSE {PART} - 300 END THEN w.open_part + CASE WHEN w.filled > 0 THEN 1 ELSE 0 END
-                WHEN w.filled > 0 AND w.used + o.tokens + 200 > CASE WHEN w.open_part = 1 THEN {PART} - 600 ELSE {PART} - 300 END
-                     AND NOT (w.tier = o.tier AND w.top = o.top AND w.used + o.tokens + 200 <= CASE WHEN w.open_part = 1 THEN {PART - 600 + (PART - 600) * 15 // 100} ELSE {PART - 300 + (PART - 300) * 15 // 100} END)
+           o.tokens + 200 > CASE WHEN w.open_part = 1 THEN {part} - 600 ELSE {part} - 300 END AS own,
+           CASE WHEN o.tokens + 200 > CASE WHEN w.open_part = 1 THEN {part} - 600 ELSE {part} - 300 END THEN w.open_part + CASE WHEN w.filled > 0 THEN 1 ELSE 0 END
+                WHEN w.filled > 0 AND w.used + o.tokens + 200 > CASE WHEN w.open_part = 1 THEN {part} - 600 ELSE {part} - 300 END
+                     AND NOT (w.tier = o.tier AND w.top = o.top AND w.used + o.tokens + 200 <= CASE WHEN w.open_part = 1 THEN {part - 600 + (part - 600) * 15 // 100} ELSE {part - 300 + (part - 300) * 15 // 100} END)
                 THEN w.open_part + 1 ELSE w.open_part END AS part_no
     FROM w JOIN o ON o.repo = w.repo AND o.k = w.k + 1))
-SELECT file_id, repo, tier, path, tokens, CAST(CASE WHEN whole <= {PART} THEN 1 ELSE part_no END AS INTEGER) AS part_no FROM w"""
+SELECT file_id, repo, tier, path, tokens, CAST(CASE WHEN whole <= {part} THEN 1 ELSE part_no END AS INTEGER) AS part_no FROM w"""
+
+
+_SPLIT = split_sql(PART)
 
 QUERIES = {
     f.__name__: f

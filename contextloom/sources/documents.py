@@ -8,6 +8,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ENDINGS = {"markdown": ".md", "xml": ".xml", "plain": ".txt"}
 
@@ -40,9 +41,14 @@ def write_text(path: Path, text: str) -> str:
 
 
 def write_documents(docs: DataFrame, folder: str | Path, kind: str = "markdown") -> dict[str, str]:
-    """One file per row of ``repo, document``; returns hashes by file name. One document at a time is on the driver."""
+    """One file per row of ``repo, part_no, document``; returns hashes by file name. One document at a time is on the driver.
+
+    Names carry the part's number where a repository has more than one. Without ``part_no`` a row is a whole document.
+    """
+    parts = docs.withColumn("part_no", F.lit(1)) if "part_no" not in docs.columns else docs
+    totals = {r.repo: r.n for r in parts.groupBy("repo").agg(F.max("part_no").alias("n")).where("n > 1").toLocalIterator()}
     written = {}
-    for row in docs.select("repo", "document").toLocalIterator():
-        path = Path(folder) / (row.repo.replace("/", "__") + ENDINGS[kind])
+    for row in parts.select("repo", "part_no", "document").toLocalIterator():
+        path = part_path(Path(folder) / (row.repo.replace("/", "__") + ENDINGS[kind]), row.part_no, totals.get(row.repo, 1))
         written[path.name] = write_text(path, row.document)
     return written

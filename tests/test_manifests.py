@@ -29,6 +29,9 @@ def test_writing(spark, tmp_path):
     assert part_path(output_path("a/b"), 2, 3).name == "b.part-002.md" and part_path(output_path("b"), 1, 1).name == "b.md"
     docs = spark.createDataFrame([("o/r", "# héllo\n"), ("o/s", "")], "repo string, document string")
     assert set(write_documents(docs, tmp_path)) == {"o__r.md", "o__s.md"} and (tmp_path / "o__r.md").read_text() == "# héllo\n"
+    (tmp_path / "parts").mkdir()
+    parts = spark.createDataFrame([("o/r", 1, "a"), ("o/r", 2, "b"), ("s", 1, "c")], "repo string, part_no int, document string")
+    assert set(write_documents(parts, tmp_path / "parts")) == {"o__r.part-001.md", "o__r.part-002.md", "s.md"}
     with pytest.raises(FileNotFoundError):
         write_text(tmp_path / "no" / "x.md", "a")
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["o__r.md", "o__s.md"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["o__r.md", "o__s.md", "parts"]

@@ -193,12 +193,39 @@ def test_imports(spark, make_files):
 
 def test_render_and_verify_round_trip(spark, make_files):
     df = make_files((1, "r", "docs/a.md", "x ```js\ny``` z\n"), (2, "r", "docs/b.md", ""), (3, "r", "docs/c.md", None))
-    blocks = render.renderable(df, relevance.tier_of(F.col("path"))).select("repo", "tier", "path", render.markdown_block().alias("block"))
+    blocks = render.renderable(df, relevance.tier_of(F.col("path"))).select("repo", F.lit(1).alias("part_no"), "tier", "path", "tokens", "n_bytes", render.markdown_block().alias("block"))
     parsed = render.parsed_markdown(render.documents(blocks))
     assert {r.path: r.content for r in parsed.collect()} == {"docs/a.md": "x ```js\ny``` z\n", "docs/b.md": ""}
     assert {r.path: r.status for r in verify.verified(parsed, df).collect()} == {"docs/a.md": "MATCH", "docs/b.md": "MATCH"}
 
 
+def test_document_heads(spark):
+    members = spark.createDataFrame([("r", 1, f"src/{n}", 1, 100 + n % 3, 400) for n in range(7)] + [("r", 2, "docs/a.md", 4, 1500, 6000), ("q", 1, "x", 2, 0, 0)], "repo string, part_no int, path string, tier int, tokens long, n_bytes long")
+    hashes = spark.createDataFrame([("r", "abc"), ("q", "def")], "repo string, content_hash string")
+    masked = spark.createDataFrame([("r", "jwt_token", 2), ("r", "aws_access_key_id", 1)], "repo string, secret_type string, n long")
+    trees_ = spark.createDataFrame([("r", "└── src")], "repo string, tree string")
+    heads = {(r.repo, r.part_no): r.head for r in render.document_heads(members, hashes, masked, trees_, generated="2025-01-01T00:00:00Z").collect()}
+    first = heads["r", 1]
+    assert first.startswith("# Context: r (Part 1 of 2)\n\n| Field | Value |\n|-------|-------|\n| Generated | 2025-01-01T00:00:00Z |\n| Content Hash | abc |\n| Profile | default |\n| Tokenizer | none |\n| Total Tokens | 706 |\n| Total Files | 7 |\n")
+    top = first[first.index("### Top Files") :].split("\n")[4:9]
+    assert [line.split(" | ")[0] for line in top] == ["| docs/a.md", "| src/2", "| src/5", "| src/1", "| src/4"] and "| docs/a.md | 1,500 | 5.9 KB |" in first
+    assert "| 1 | primary | 7 |" in first and "| aws_access_key_id | 1 |\n| jwt_token | 2 |" in first and "└── src" in first
+    assert "Top Files" not in heads["r", 2] and "See Part 1" in heads["r", 2] and "Redaction" not in heads["r", 2] and heads["q", 1].startswith("# Context: q\n")
+
+
+def test_change_section(spark):
+    changes = spark.createDataFrame([("r", "b", "added"), ("r", "a", "added"), ("r", "c", "deleted")], "repo string, path string, change string")
+    assert render.change_section(changes).first().section == "\n## Change Summary\n\n| Change Type | Count |\n|-------------|-------|\n| Added | 2 |\n| Modified | 0 |\n| Deleted | 1 |\n\n### Added Files\n\n- a\n- b\n\n### Deleted Files\n\n- c\n"
+
+
+def test_ordered_hash(spark, make_files):
+    import xxhash
+
+    df = make_files((2, "r", "b", "two"), (1, "r", "a", "öne"), (1, "r", "a", "öne"), (3, "s", "x", None), (4, None, "y", "z"))
+    want = {"r": f"{xxhash.xxh3_64_intdigest('a'.encode() + bytes(1) + 'öne'.encode() + b'b' + bytes(1) + b'two'):x}", "s": f"{xxhash.xxh3_64_intdigest(b'x' + bytes(1)):x}"}
+    assert {r.repo: r.content_hash for r in render.ordered_hash(df).collect()} == want and render.ordered_hash(df.limit(0)).count() == 0
+
+
 def test_verify_statuses(spark):
     df = spark.createDataFrame(
         [(None, "a", False, 0), ("a", "b", True, 0), ("a\n\n", "a", False, 0), ("k = SECRET;\nx", "k = [REDACTED:t];\nx", False, 1), ("k = SECRET;\nx", "other\nx", False, 1), ("a", "b", False, 0)],
