@@ -143,3 +143,34 @@ def problems(name: str, profile: Profile) -> list[tuple[str, str, str]]:
     if sum(v not in ("", (), {}, None) and v != getattr(Profile(), k) for k, v in asdict(profile).items()) > 8:
         found.append(("warning", name, "many settings; consider splitting the profile"))
     return found
+
+
+_SIZE_UNITS = {"KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
+
+
+def parsed_size(text: str) -> int:
+    """Bytes of ``500``, ``12KB``, ``1.5 MB`` or ``2gb``; anything else, also a negative number, raises."""
+    bare = text.strip()
+    unit = _SIZE_UNITS.get(bare[-2:].upper())
+    number = bare[:-2].strip() if unit else bare
+    try:
+        size = int(number)
+    except ValueError:
+        if not unit:
+            raise ValueError(f"no size: {text!r}") from None
+        try:
+            size = float(number)
+        except ValueError:
+            raise ValueError(f"no size: {text!r}") from None
+    if not size >= 0 or size == float("inf"):
+        raise ValueError(f"a size can't be negative or endless: {text!r}")
+    return int(size * (unit or 1))
+
+
+def diff_mode(since: str = "", base: str = "", head: str = "") -> str:
+    """``since``, ``range`` or ``cache``: what a comparison is made against; contradicting or half-given references raise."""
+    if since and (base or head):
+        raise ValueError("a start and a range exclude each other")
+    if bool(base) != bool(head):
+        raise ValueError("a range needs both of its ends")
+    return "since" if since else "range" if base else "cache"

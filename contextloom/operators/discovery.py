@@ -43,7 +43,7 @@ def matches_patterns(path: Column, include: Sequence[str] = (), exclude: Sequenc
 def is_binary_content(content: Column) -> Column:
     """A zero byte among the first ``BINARY_HEAD`` bytes; empty and null contents are text."""
     head = F.substring(content.cast("binary"), 1, BINARY_HEAD)
-    return F.coalesce(F.locate("00", F.regexp_replace(F.hex(head), "(..)", "$1 ")) > 0, F.lit(False))
+    return F.coalesce(F.contains(head, F.lit(b"\x00")), F.lit(False))
 
 
 def ignore_rules(spark, rules: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
@@ -70,6 +70,32 @@ def ignored_by_files(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("file_id", "dir").agg(F.max_by("negate", "ord").alias("negated")).where(~F.col("negated")).select("file_id").distinct()
 
 
+def ignored(paths: DataFrame, *rules: DataFrame) -> DataFrame:
+    """``paths`` with ``is_ignored``: by the default patterns, or by any of several sets of ignore files (version control's, the tool's own)."""
+    out = paths.withColumn("is_ignored", F.coalesce(ignored_by_default(F.col("path")), F.lit(False)))
+    for each in rules:
+        out = out.join(ignored_by_files(paths, each).withColumn("__hit", F.lit(True)), "file_id", "left")
+        out = out.withColumn("is_ignored", F.col("is_ignored") | F.coalesce("__hit", F.lit(False))).drop("__hit")
+    return out
+
+
+def walk_counts(files: DataFrame, tracked: DataFrame, links: DataFrame, wanted: Column, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``repo, reason, n``: what the whole walk does with each file, ``kept`` or why it is skipped, counted once, by the first reason.
+
+    ``files`` has ``file_id, repo, path, n_bytes, is_binary, is_symlink, error, is_ignored``; files below an ignored directory
+    count as ``ignored_dir``; ``links`` has ``repo, path, verdict`` and ``tracked`` the ``file_id`` of an index.
+    """
+    directory = F.coalesce(F.regexp_extract("path", r"^(.*/)[^/]*$", 1), F.lit(""))
+    joined = files.join(tracked.select("file_id").distinct().withColumn("__tracked", F.lit(True)), "file_id", "left").join(links.select("repo", "path", "verdict"), ["repo", "path"], "left")
+    too_large = (F.col("n_bytes") > max_bytes) if max_bytes > 0 else F.lit(False)
+    reason = (
+        F.when(F.col("is_ignored") & ignored_by_default(F.concat(directory, F.lit("x"))), "ignored_dir").when(F.col("is_ignored"), "ignored").when(F.col("__tracked").isNull(), "not_tracked")
+        .when(F.col("is_symlink") & (F.coalesce("verdict", F.lit("symlink_error")) != "followed"), F.coalesce("verdict", F.lit("symlink_error")))
+        .when(F.col("error").isNotNull(), "stat_error").when(too_large, "large_file").when(F.col("is_binary"), "binary").when(~wanted, "pattern_filter").otherwise("kept")
+    )
+    return joined.select("repo", reason.alias("reason")).groupBy("repo", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def skip_reason(path: Column, n_bytes: Column, is_binary: Column, is_symlink: Column, wanted: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
     """The first reason to skip a file, in the order of the walk, or null: ignored, symlink, size, binary, pattern."""
     too_large = (n_bytes > max_bytes) if max_bytes > 0 else F.lit(False)

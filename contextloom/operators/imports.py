@@ -95,6 +95,18 @@ def test_edges(paths: DataFrame) -> DataFrame:
     return paths.select("repo", F.col("path").alias("src"), F.explode(test_candidates(F.col("path"))).alias("dst")).join(known, ["repo", "dst"]).select("repo", "src", "dst").distinct()
 
 
+def importers(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """``repo, path`` of files that import a changed file or anything in the directory of one; changed files themselves are left out.
+
+    Semi joins on file and on directory, united.
+    """
+    files = changed.select("repo", F.col("path").alias("dst")).distinct()
+    folders = changed.select("repo", parent_dir(F.col("path")).alias("folder")).distinct()
+    by_file = edges.join(files, ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("path"))
+    by_folder = edges.withColumn("folder", parent_dir(F.col("dst"))).join(folders, ["repo", "folder"], "left_semi").select("repo", F.col("src").alias("path"))
+    return by_file.unionByName(by_folder).distinct().join(changed.select("repo", "path"), ["repo", "path"], "left_anti")
+
+
 def neighbours(changed: DataFrame, paths: DataFrame, edges: DataFrame, tests: DataFrame, depth: int) -> DataFrame:
     """``repo, path, depth``: files around ``changed`` ones, level by level.
 

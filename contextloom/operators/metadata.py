@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.functions.globs import any_regex, glob_regex
-from contextloom.functions.tables import TIER_KEYS
+from contextloom.functions.tables import TIER_KEYS, TIER_PATTERNS
 from contextloom.operators.compression import compressor_language
 from contextloom.operators.discovery import ignored_by_default
 from contextloom.operators.relevance import tier_of
@@ -74,3 +74,39 @@ def inclusion_summary(df: DataFrame) -> DataFrame:
     total = tiers.groupBy("repo").agg(F.sum("tokens").alias("all"))
     key = F.element_at(F.array(*[F.lit(k) for k in TIER_KEYS]), F.col("tier") + 1)
     return tiers.join(total, "repo").select("repo", key.alias("tier_key"), "n_included", "n_excluded", F.when(F.col("all") > 0, F.expr("tokens * 100 div all")).otherwise(0).alias("percent"))
+
+
+def inclusion_total(df: DataFrame, max_tokens: int) -> DataFrame:
+    """``repo, n_included, n_excluded, tokens, percent`` of a budgeted set with ``used`` tokens; percent of the whole budget, cut to a whole, 0 without one."""
+    taken = F.col("status").isin("included", "truncated")
+    percent = F.expr(f"tokens * 100 div {max_tokens}") if max_tokens > 0 else F.lit(0).cast("long")
+    return df.groupBy("repo").agg(F.sum(taken.cast("long")).alias("n_included"), F.sum((~taken).cast("long")).alias("n_excluded"), F.sum("used").alias("tokens")).withColumn("percent", percent)
+
+
+def ordered_trace(df: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = (), priority: tuple[str, ...] = ()) -> DataFrame:
+    """``file_id, path, included, trace``: the steps that a path goes through, in order, up to the one that decides.
+
+    A step is ``(step, rule, matched, outcome)``. Exclusion ends the trace, so does the first tier that matches; a path
+    named in ``priority`` has tier 0 and skips the tiers.
+    """
+    path = F.col("path")
+    under = lambda globs: path.rlike(any_regex(glob_regex(g) for g in globs)) if globs else F.lit(False)
+    step = lambda n, rule, matched, outcome: F.struct(F.lit(n).alias("step"), F.lit(rule).alias("rule"), matched.alias("matched"), outcome.alias("outcome"))
+    go_on, out = F.lit("no match -> continue"), F.lit("EXCLUDED")
+    by_default, by_profile, outside, first = ignored_by_default(path), under(ignore), ~under(include) if include else F.lit(False), path.isin(*priority) if priority else F.lit(False)
+    steps = [
+        step(1, "Default ignore patterns", by_default, F.when(by_default, out).otherwise(go_on)), step(2, "Profile ignore patterns", by_profile, F.when(by_profile, out).otherwise(go_on)),
+        step(3, "Ignore files", F.lit(False), F.lit("not simulated -> continue")),
+        step(4, "Include filter", outside, F.when(outside, out).otherwise("include match -> continue" if include else "not active -> continue")),
+        step(5, "Priority files", first, F.when(first, "priority file -> tier 0").otherwise(go_on)),
+    ]
+    for tier in sorted(TIER_PATTERNS):
+        hit = F.lit(None).cast("string")
+        for pattern in reversed(TIER_PATTERNS[tier]):
+            hit = F.when(path.rlike(glob_regex(pattern)), pattern).otherwise(hit)
+        outcome = F.when(first, "skipped (priority file)").when(hit.isNotNull(), F.concat(F.lit('MATCH "'), hit, F.lit(f'" -> assigned tier {tier}'))).otherwise("no match")
+        steps.append(step(6 + tier, f"Relevance tier_{tier}", hit.isNotNull() & ~first, outcome))
+    ends = F.when(by_default, 1).when(by_profile, 2).when(outside, 4).otherwise(F.lit(99))
+    tier_end = F.coalesce(F.array_min(F.transform(F.filter(F.array(*steps[5:]), lambda s: s["matched"]), lambda s: s["step"])), F.lit(99))
+    last = F.least(ends, tier_end)
+    return df.where(path.isNotNull()).select("file_id", "path", (ends == 99).alias("included"), F.filter(F.array(*steps), lambda s: s["step"] <= last).alias("trace"))

@@ -56,3 +56,8 @@ def explained(df: DataFrame, tiers: Tiers = TIER_PATTERNS) -> DataFrame:
         .select("file_id", "path", first.alias("best"), F.explode("hits").alias("hit"))
         .select("file_id", "path", "hit.tier", "hit.ord", "hit.pattern", (F.col("hit") == F.col("best")).alias("is_winner"))
     )
+
+
+def grouped_by_tier(df: DataFrame, *by: str) -> DataFrame:
+    """``tier, n_files, tokens, paths`` of each group, paths in order, tiers that hold nothing left out."""
+    return df.groupBy(*by, "tier").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.sort_array(F.collect_list("path")).alias("paths"))

@@ -40,3 +40,13 @@ def pipeline_stats(df: DataFrame, *by: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.sum(F.col("is_binary").cast("long")).alias("n_binary"),
         F.when(F.max(F.col("error").isNotNull()), 2).otherwise(0).alias("exit_code"),
     )
+
+
+def selection_stats(df: DataFrame, secrets: DataFrame, *by: str) -> DataFrame:
+    """Per group of a selection (``file_id, tokens, included``): files, selected ones, their tokens, and those of them that hold secrets (``file_id``)."""
+    marked = df.join(secrets.select("file_id").distinct().withColumn("__secret", F.lit(True)), "file_id", "left")
+    chosen = F.col("included")
+    return marked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(chosen.cast("long")).alias("n_selected"), F.coalesce(F.sum(F.when(chosen, F.col("tokens"))), F.lit(0)).alias("tokens"),
+        F.sum((chosen & F.coalesce("__secret", F.lit(False))).cast("long")).alias("n_with_secrets"),
+    )

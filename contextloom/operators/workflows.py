@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.functions.globs import glob_regex
 from contextloom.functions.manifests import manifest_section
 from contextloom.functions.tables import KNOWN_DIRECTORIES
-from contextloom.functions.text import ending, lookup, top_dir
+from contextloom.functions.text import ending, lookup, tokens_ceil, top_dir
+from contextloom.operators.imports import neighbours
+from contextloom.operators.listings import in_modules, is_listed
 from contextloom.operators.ordered import running_sum
 
 LARGE_TEXT_BYTES, LARGE_BINARY_BYTES = 512_000, 1 << 20
@@ -130,3 +134,30 @@ def snapshot_listing(snapshots: DataFrame) -> DataFrame:
     """``repo, profile_name, n_snapshots, latest, head``: stored states; commit ids cut to seven characters."""
     rows = snapshots.where(F.col("snapshot_id").isNotNull()).select("snapshot_id", "repo", "profile_name", F.try_to_timestamp("generated_at").alias("at"), "git_head_sha").distinct()
     return rows.groupBy("repo", "profile_name").agg(F.countDistinct("snapshot_id").alias("n_snapshots"), F.max("at").alias("latest"), F.substring(F.max_by(F.coalesce("git_head_sha", F.lit("")), F.struct("at", "snapshot_id")), 1, 7).alias("head"))
+
+
+def module_slice(files: DataFrame, edges: DataFrame, tests: DataFrame, modules: Sequence[str], max_tokens: int, depth: int = 1) -> DataFrame:
+    """``repo, path, tokens, is_primary``: the files of modules with their neighbours, as many as the budget takes.
+
+    ``files`` has ``repo, path, tokens`` of what workflows see. Module files are always kept.
+    """
+    listed = files.where(is_listed(F.col("path")))
+    paths, inside = listed.select("repo", "path"), in_modules(F.col("path"), modules)
+    near = neighbours(paths.where(inside), paths, edges, tests, depth).select("repo", "path", F.lit(False).alias("is_primary")).join(paths, ["repo", "path"], "left_semi")
+    chosen = paths.where(inside).withColumn("is_primary", F.lit(True)).unionByName(near)
+    return slice_budget(listed.join(chosen, ["repo", "path"]).select("repo", "path", F.coalesce("tokens", F.lit(0)).alias("tokens"), "is_primary"), max_tokens)
+
+
+def brief_documents(sections: DataFrame, modules: DataFrame, max_tokens: int) -> DataFrame:
+    """``repo, document, tokens``: what a repository says about itself, in order of priority, under a header, within a budget.
+
+    ``sections`` has ``repo, priority, name, content``, ``modules`` the map of ``module_map``, which makes the last section.
+    The budget bounds a document's size. Tokens are counted again over the finished text.
+    """
+    listed = modules.groupBy("repo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("module", "description"))), lambda m: F.concat(F.lit("- `"), m["module"], F.lit("/`: "), m["description"])), "\n").alias("content"))
+    everything = sections.select("repo", "priority", "name", "content").unionByName(listed.select("repo", F.lit(7).alias("priority"), F.lit("modules").alias("name"), "content"))
+    kept = brief_budget(everything.withColumn("tokens", tokens_ceil(F.octet_length("content"))), max_tokens)
+    block = F.concat(F.lit("## "), F.col("name"), F.lit("\n\n"), F.rtrim("content"), F.lit("\n"))
+    body = kept.groupBy("repo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("priority", "name", block.alias("block")))), lambda s: s["block"]), "\n").alias("body"))
+    header = F.concat(F.lit("# Brief: "), F.col("repo"), F.lit("\n\n| Field | Value |\n|-------|-------|\n| Content Hash | "), F.md5("body"), F.lit(" |\n| Tokens | "), tokens_ceil(F.octet_length("body")).cast("string"), F.lit(" |\n\n"))
+    return body.select("repo", F.concat(header, F.col("body")).alias("document")).withColumn("tokens", tokens_ceil(F.octet_length("document")))
