@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from contextloom.functions.tables import CONFIDENCE_LEVELS, ENTROPY_THRESHOLDS, REDACTION_RULES, SUSPICIOUS_WORDS
 
@@ -38,6 +39,7 @@ _LONG_TOKEN = re.compile(r"[^ \t=:\"'\n]{8,}")
 _HEX, _ALNUM, _BASE64 = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[0-9A-Za-z]+"), re.compile(r"[0-9A-Za-z+/=_-]+")
 
 
+@lru_cache(maxsize=1 << 16)
 def entropy(value: str) -> float:
     """Bits per character of the first 256 characters; 0 below 16."""
     if len(value) < 16:
@@ -46,6 +48,7 @@ def entropy(value: str) -> float:
     return -sum(n / len(head) * math.log2(n / len(head)) for n in Counter(head).values())
 
 
+@lru_cache(maxsize=1 << 16)
 def charset_of(value: str) -> str:
     if not value:
         return "unknown"
@@ -72,6 +75,8 @@ def scan_text(text: str | None, rules: tuple[Rule, ...], threshold: str, sensiti
     words = sorted({k for r in active for k in r.lowered}, key=len)
     every = any(not r.lowered for r in active)
     hint = re.compile("|".join(re.escape(w) for w in words)) if words else None
+    if not by_entropy and not every and "PRIVATE KEY" not in text and not (hint and hint.search(text.lower())):
+        return text, []
     out, found, inside = [], [], False
     for number, line in enumerate(text.split("\n"), 1):
         if inside:

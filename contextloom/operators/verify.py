@@ -34,10 +34,24 @@ def status(source: Column, shown: Column, is_compressed: Column, redactions: Col
 
 
 def verified(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo, path, status`` of each rendered file, by a left join on (repo, path)."""
-    sources = files.where(F.col("path").isNotNull()).select("repo", "path", F.col("content").alias("source")).dropDuplicates(["repo", "path"])
+    """``repo, path, status`` of each rendered file, by a left join on (repo, path).
+
+    Digests are joined first; only where they differ and masks might explain it, the sources' texts are fetched.
+    """
+    digest = lambda text: F.md5(trimmed(text))
+    sources = files.where(F.col("path").isNotNull()).select("repo", "path", digest(F.col("content")).alias("source_md5")).groupBy("repo", "path").agg(F.max("source_md5").alias("source_md5"))
     compressed = F.coalesce(F.col("is_compressed"), F.lit(False)) if "is_compressed" in parsed.columns else F.lit(False)
-    return parsed.join(sources, ["repo", "path"], "left").select("repo", "path", status(F.col("source"), F.col("content"), compressed, F.col("redactions")).alias("status"))
+    masked = F.coalesce(F.col("redactions"), F.lit(0)) > 0
+    shown = parsed.select("repo", "path", compressed.alias("compressed"), digest(F.col("content")).alias("shown_md5"), masked.alias("masked"), F.when(masked & ~compressed, F.col("content")).alias("shown"))
+    first = (
+        F.when(F.col("source_md5").isNull(), "FILE_CHANGED").when(F.col("compressed"), "COMPRESSION_DIFF").when(F.col("source_md5") == F.col("shown_md5"), "MATCH").when(~F.col("masked"), "UNEXPECTED_DIFF")
+    )
+    joined = shown.join(sources, ["repo", "path"], "left").select("repo", "path", "shown", first.alias("status"))
+    open_, decided = joined.where("status IS NULL"), joined.where("status IS NOT NULL").select("repo", "path", "status")
+    texts = files.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("repo", "path", F.col("content").alias("source")).join(open_.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    texts = texts.groupBy("repo", "path").agg(F.max("source").alias("source"))
+    rest = open_.join(texts, ["repo", "path"]).select("repo", "path", F.when(is_redaction_diff(F.col("source"), F.col("shown")), "REDACTION_DIFF").otherwise("UNEXPECTED_DIFF").alias("status"))
+    return decided.unionByName(rest)
 
 
 def tallies(statuses: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from contextloom.functions import entropy
@@ -28,13 +26,13 @@ def _files(spark, sf_dir):
     return table(spark, sf_dir, "files")
 
 
-#: A public vocabulary; where it isn't installed, the estimate is used.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Session setting that names a public vocabulary's file, readable on every executor, and where the test machine keeps one.
+VOCABULARY_SETTING, VOCABULARY = "contextloom.vocabulary", "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def tokenizer_counts(spark, sf_dir):
-    """Tokens of each file by a public tokenizer beside the estimate."""
-    path = VOCABULARY if os.path.exists(VOCABULARY) else None
+    """Tokens of each file by a public tokenizer beside the estimate; a vocabulary that isn't there fails."""
+    path = spark.conf.get(VOCABULARY_SETTING, VOCABULARY)
     rows = spread(_files(spark, sf_dir).where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "content"), "file_id")
     return rows.select("file_id", token_count(F.col("content"), path).alias("tokens"), token_count(F.col("content")).alias("estimate")).distinct()
 
@@ -62,16 +60,16 @@ def redacted_contents(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    """Long tokens of configuration files, with the line they stand on."""
-    found = _files(spark, sf_dir).where(F.col("file_id").isNotNull() & F.col("path").rlike(r"\.(env|ini|cfg|properties|toml|ya?ml)$"))
-    lines = found.select("file_id", F.explode(F.split("content", "\n")).alias("line"))
-    return lines.select("file_id", "line", F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token")).distinct()
+    """Long tokens of all contents, and whether they stand on a line that mentions secrets; once per file before the shuffle."""
+    files = spread(_files(spark, sf_dir).where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "content"), "file_id")
+    lines = files.select("file_id", F.explode(F.split("content", "\n")).alias("line"))
+    found = lines.select("file_id", entropy.is_suspicious(F.col("line")).alias("suspicious"), F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
+    return found.groupBy("file_id", "token").agg(F.max("suspicious").alias("suspicious"))
 
 
 def entropy_scores(spark, sf_dir):
     bits, kind = entropy.shannon_entropy(F.col("token")), entropy.charset(F.col("token"))
-    scored = _tokens(spark, sf_dir).select("file_id", "token", kind.alias("charset"), bits.alias("bits"), entropy.entropy_threshold(kind, entropy.is_suspicious(F.col("line"))).alias("threshold"))
-    return scored.groupBy("file_id", "token", "charset").agg(F.round(F.max("bits"), 6).alias("bits"), F.min("threshold").alias("threshold"))
+    return _tokens(spark, sf_dir).select("file_id", "token", kind.alias("charset"), F.round(bits, 6).alias("bits"), entropy.entropy_threshold(kind, F.col("suspicious")).alias("threshold"))
 
 
 def charset_classes(spark, sf_dir):
@@ -253,7 +251,7 @@ def _rule_hits_sql() -> str:
     return f"{C_SQL} SELECT rule_id, sum((n > 0)::INT)::BIGINT AS n_files, sum(n)::BIGINT AS n_hits FROM ({' UNION ALL '.join(rows)}) GROUP BY rule_id"
 
 
-_TOKENS = rf"""{C_SQL}, l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line FROM c WHERE regexp_matches(path, '\.(env|ini|cfg|properties|toml|ya?ml)$')),
+_TOKENS = rf"""{C_SQL}, l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS line FROM c),
 tk AS (SELECT DISTINCT file_id, line, unnest(regexp_extract_all(line, {q(TOKEN)})) AS token FROM l)"""
 _CHARSET = "CASE WHEN regexp_full_match(token, '[0-9a-fA-F]+') THEN 'hex' WHEN regexp_full_match(token, '[0-9A-Za-z]+') THEN 'alphanumeric' WHEN regexp_full_match(token, '[0-9A-Za-z+/=_-]+') THEN 'base64' ELSE 'mixed' END"
 _THRESHOLD = "CASE charset " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in ENTROPY_THRESHOLDS.items()) + f" END - CASE WHEN regexp_matches(lower(line), '{'|'.join(SUSPICIOUS_WORDS)}') THEN 0.5 ELSE 0 END"

@@ -11,14 +11,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The largest source that is spread by a shuffle; anything larger has splits enough.
+SPREAD_BYTES = 2 << 30
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def _bytes(setting: str) -> int:
+    number = setting.strip().rstrip("bBkKmMgG")
+    return int(number) * _UNITS[setting.strip()[len(number) :].lower()]
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` by hash of ``key`` over all cores where its source has fewer splits than that, else as it is.
+    """``df`` by hash of ``key`` over all cores where its source is small and has fewer splits than there are cores, else as it is.
 
-    Parsing texts is slow work, and a small table may be one file with one row group. A large one has more
-    splits than the cluster has cores and isn't shuffled.
+    Parsing texts is slow work, and a small table may be one file with one row group. A split holds at most
+    ``spark.sql.files.maxPartitionBytes``, so the number of splits bounds what would be shuffled: only up to
+    ``SPREAD_BYTES``, whatever the cluster's size. For larger tables lower that setting instead.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df._jdf.rdd().getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores, splits = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    small = splits * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= SPREAD_BYTES
+    return df.repartition(cores, key) if splits < cores and small else df
 
 
 def distinct_rows(df: DataFrame, key: str, *, latest: str | None = None) -> DataFrame:

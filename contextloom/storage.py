@@ -18,13 +18,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is configured (tests), a local one is made."""
-    configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
+    """The session's shared folder. Where none is configured, a local master gets a local one; a cluster raises, as executors would write to their own disks."""
+    configured = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"{_SETTING} has to name a folder that all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='contextloom-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made

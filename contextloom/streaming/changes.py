@@ -1,8 +1,8 @@
 """Changes of a stream of file deliveries against a stored state.
 
 Files arrive again and again; each micro-batch keeps the last delivery of a file, compares it with the
-state, appends what changed and folds the batch into the state. The state is written in generations, so
-a failed batch is simply run again.
+state, appends what changed and folds the batch into the state. A delivery that is older than what the
+state holds changes nothing. The state has two generations that take turns, so a failed batch is run again.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ def delivered(spark: SparkSession, folder: str, schema: StructType, per_batch: i
 
 
 def latest(batch: DataFrame) -> DataFrame:
-    """``repo, path, hash``: of several deliveries of a path the last one counts, ties by hash."""
+    """``repo, path, hash, ingested_at``: of several deliveries of a path the last one counts, ties by hash."""
     best = batch.where(F.col("path").isNotNull()).groupBy("repo", "path").agg(F.max(F.struct("ingested_at", F.md5("content").alias("hash"))).alias("m"))
-    return best.select("repo", "path", F.col("m.hash").alias("hash"))
+    return best.select("repo", "path", F.col("m.hash").alias("hash"), F.col("m.ingested_at").alias("ingested_at"))
 
 
 def counted_by_window(stream: DataFrame, size: str = "1 hour", late: str = "2 days") -> DataFrame:
@@ -32,14 +32,16 @@ def counted_by_window(stream: DataFrame, size: str = "1 hour", late: str = "2 da
 
 
 def follow_changes(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Run ``stream`` (files rows) to its present end: changes go to ``folder/changes``, the state to ``folder/state/<batch>``."""
+    """Run ``stream`` (files rows) to its present end: changes go to ``folder/changes``, the state to ``folder/state/0`` and ``1`` in turns."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = latest(batch)
-        old = spark.read.parquet(f"{folder}/state/{number - 1}") if number else spark.createDataFrame([], new.schema)
+        old = spark.read.parquet(f"{folder}/state/{(number - 1) % 2}") if number else spark.createDataFrame([], new.schema)
+        held = old.select("repo", "path", F.col("ingested_at").alias("held_at"))
+        new = new.join(held, ["repo", "path"], "left").where("held_at IS NULL OR ingested_at >= held_at").drop("held_at")
         seen = compared_states(old.join(new.select("repo", "path"), ["repo", "path"], "left_semi"), new, "repo")
         seen.where("change <> 'unchanged'").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-        old.join(new.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        old.join(new.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{folder}/state/{number % 2}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
