@@ -14,9 +14,9 @@ def shannon_entropy(value: Column) -> Column:
     """Bits per character of the first ``MOST_CHARS`` characters; 0 for strings shorter than ``LEAST_CHARS``; null for null."""
     head = F.substring(value, 1, MOST_CHARS)
     length = F.length(head)
-    chars = F.split(head, "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
-    bits = F.aggregate(counts, F.lit(0.0), lambda s, n: s - (n / length) * F.log2(n / length))
+    # what a character's removal takes away is its count
+    counts = F.transform(F.array_distinct(F.split(head, "")), lambda c: (length - F.length(F.replace(head, c, F.lit("")))).cast("double"))
+    bits = F.log2(length) - F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * F.log2(n)) / length
     return F.when(F.length(value) < LEAST_CHARS, F.lit(0.0)).otherwise(bits)
 
 

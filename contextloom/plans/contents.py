@@ -62,8 +62,11 @@ def redacted_contents(spark, sf_dir):
 def _tokens(spark, sf_dir):
     """Long tokens of all contents, and whether they stand on a line that mentions secrets; once per file before the shuffle."""
     files = spread(_files(spark, sf_dir).where("file_id IS NOT NULL AND content IS NOT NULL").select("file_id", "content"), "file_id")
-    lines = files.select("file_id", F.explode(F.split("content", "\n")).alias("line"))
-    found = lines.select("file_id", entropy.is_suspicious(F.col("line")).alias("suspicious"), F.explode(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("token"))
+    # a line is judged once and left behind, not carried along with each of its tokens
+    lines = files.select("file_id", F.explode(F.split("content", "\n")).alias("line")).select(
+        "file_id", entropy.is_suspicious(F.col("line")).alias("suspicious"), F.array_distinct(F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("tokens")
+    )
+    found = lines.where(F.size("tokens") > 0).select("file_id", "suspicious", F.explode("tokens").alias("token"))
     return found.groupBy("file_id", "token").agg(F.max("suspicious").alias("suspicious"))
 
 
