@@ -31,6 +31,8 @@ from contextloom.storage import materialize
 GROUP_ITEMS = 50_000
 #: What is tried: the share of the capacity that a combination may leave unused, and how often the rest is solved again.
 ATTEMPTS = ((0.0, 2), (0.005, 3))
+#: A plan with at most this share of containers above the lower bound is not tried to be bettered.
+CLOSE = 0.0005
 #: Combinations per length, times lengths.
 PATTERNS = 30_000
 NNLS_STEPS = 150
@@ -161,13 +163,20 @@ def _solved(left: dict[int, int], capacity: int, window: float, rounds: int) ->
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Combinations of sizes, each with its number of containers, that take up the histogram exactly.
 
-    The best of ``ATTEMPTS`` and of the greedy packing alone, so never more containers than largest first.
+    The best of ``ATTEMPTS``, up to one that comes ``CLOSE`` to the lower bound, and of the greedy packing alone, so
+    never more containers than largest first.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
     if not left:
         return []
-    plans = [_solved(left, capacity, window, rounds) for window, rounds in ATTEMPTS] + [list(_greedy(dict(left), capacity))]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
+    containers = lambda plan: sum(n for _, n in plan)
+    least = -(-sum(s * n for s, n in left.items()) // capacity)
+    plans = [list(_greedy(dict(left), capacity))]
+    for window, rounds in ATTEMPTS:
+        plans.append(_solved(left, capacity, window, rounds))
+        if containers(plans[-1]) <= least * (1 + CLOSE) + 1:
+            break
+    return min(reversed(plans), key=containers)
 
 
 class Places:
