@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +43,21 @@ def budget_skip(df: DataFrame, max_tokens: int, group: str = "repo", overhead: i
     if max_tokens <= 0:
         return df.select(*columns[:-1]).withColumn("status", F.lit("included"))
 
-    def step(left: int | None, row: tuple) -> tuple:
-        left = int(row[5]) if left is None else left
-        need = 0 if row[4] is None or pd.isna(row[4]) else int(row[4])
-        return (left - need, ("included",)) if need <= left else (left, ("excluded",))
+    def fold(left: int | None, rows: pd.DataFrame) -> tuple:
+        left = int(rows["__left"].iloc[0]) if left is None else left
+        need = rows["tokens"].fillna(0).to_numpy(dtype=np.int64)
+        taken = np.zeros(len(need), dtype=bool)
+        open_ = np.flatnonzero(need <= left)
+        while len(open_):  # what is too large now stays so; of the others as many fit as their sum allows
+            sums = np.cumsum(need[open_])
+            n = int(np.searchsorted(sums, left, side="right"))
+            taken[open_[:n]] = True
+            left -= int(sums[n - 1]) if n else 0
+            open_ = open_[n:][need[open_[n:]] <= left]
+        return left, np.where(taken, "included", "excluded")
 
     limited = df.withColumn("__left", (F.lit(max_tokens) - (F.lit(overhead) if isinstance(overhead, int) else F.col(overhead))).cast("long"))
-    return ordered_fold(limited, group, ORDER, lambda: None, step, schema, columns).drop("__left")
+    return ordered_fold(limited, group, ORDER, lambda: None, fold, schema, columns, "status").drop("__left")
 
 
 def with_used_tokens(budgeted: DataFrame, cut: DataFrame) -> DataFrame:
@@ -106,19 +115,38 @@ def split_parts(df: DataFrame, tokens_per_part: int, group: str = "repo") -> Dat
     joined = df.select("file_id", group, "tier", "path", F.coalesce("tokens", F.lit(0)).alias("tokens")).join(total, group)
     columns = ["file_id", group, "tier", "path", "tokens", "whole"]
 
-    def step(state: tuple, row: tuple) -> tuple:
+    def fold(state: tuple, rows: pd.DataFrame) -> tuple:
         part, filled, used, last = state
-        _, _, tier, path, tokens, whole = row
-        if whole <= tokens_per_part:
-            return (1, 1, 0, None), (1,)
-        here = (tier, (path or "").split("/", 1)[0])
-        cost, space = int(tokens) + SPLIT_FILE_OVERHEAD, first_room if part == 1 else room
-        if cost > space:
-            part += filled > 0
-            return (part + 1, 0, 0, here), (part,)
-        if filled and used + cost > space and not (here == last and used + cost <= space + space * 15 // 100):
-            part, filled, used = part + 1, 0, 0
-        return (part, filled + 1, used + cost, here), (part,)
+        if int(rows["whole"].iloc[0]) <= tokens_per_part:
+            return state, np.ones(len(rows), dtype=np.int32)
+        cost = rows["tokens"].to_numpy(dtype=np.int64) + SPLIT_FILE_OVERHEAD
+        tiers, tops = rows["tier"].to_numpy(), [(p or "").split("/", 1)[0] for p in rows["path"]]
+        sums = np.concatenate(([0], np.cumsum(cost)))
+        large = np.append(np.flatnonzero(cost > first_room), len(cost))  # may exceed a part's room
+        out = np.empty(len(cost), dtype=np.int32)
+        k = 0
+        while k < len(cost):
+            space = first_room if part == 1 else room
+            # all files up to the first that overflows, or that may be too large alone, stay in the open part
+            end = min(int(np.searchsorted(sums, sums[k] + space - used, side="right")) - 1, int(large[np.searchsorted(large, k)]))
+            if end > k:
+                out[k:end] = part
+                used, filled, last = used + int(sums[end] - sums[k]), filled + end - k, (tiers[end - 1], tops[end - 1])
+                k = end
+                continue
+            here, need = (tiers[k], tops[k]), int(cost[k])
+            if need > space:
+                part += filled > 0
+                out[k] = part
+                part, filled, used = part + 1, 0, 0
+            else:
+                if filled and used + need > space and not (here == last and used + need <= space + space * 15 // 100):
+                    part, filled, used = part + 1, 0, 0
+                out[k] = part
+                filled, used = filled + 1, used + need
+            last = here
+            k += 1
+        return (part, filled, used, last), out
 
     schema = f"file_id long, {group} string, tier int, path string, tokens long, whole long, part_no int"
-    return ordered_fold(joined, group, ORDER, lambda: (1, 0, 0, None), step, schema, columns).drop("whole")
+    return ordered_fold(joined, group, ORDER, lambda: (1, 0, 0, None), fold, schema, columns, "part_no").drop("whole")

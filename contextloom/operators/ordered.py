@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,24 +32,30 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value
     return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col("b.__before") + F.col("a.__inside")).cast("long").alias(name))
 
 
-def ordered_fold(df: DataFrame, group: str, order: Sequence[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], schema: str, columns: Sequence[str]) -> DataFrame:
+def ordered_fold(df: DataFrame, group: str, order: Sequence[str], start: Callable[[], object], fold: Callable[[object, pd.DataFrame], tuple], schema: str, columns: Sequence[str], result: str) -> DataFrame:
     """A fold that can't be a running sum: each group's rows pass one task in order, as a sorted stream.
 
-    ``step(state, row)`` gets ``columns`` of a row and returns ``(state, output)``; outputs are appended to the
-    row. The sort spills and the fold keeps one state, so a task's memory doesn't grow with its group.
+    ``fold(state, rows)`` gets consecutive rows of one group and returns the new state and an array, the ``result`` of
+    each row; it is called once per batch and group, so it can work on whole columns. The sort spills and the
+    fold keeps one state, so a task's memory doesn't grow with its group.
     """
-    at = columns.index(group)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = object(), None
         for pdf in batches:
+            keys = pdf[group].to_numpy()
             out = []
-            for row in pdf.itertuples(index=False, name=None):
-                if row[at] != current:
-                    current, state = row[at], start()
-                state, extra = step(state, row)
-                out.append((*row, *extra))
-            yield pd.DataFrame(out, columns=names)
-
-    names = [part.strip().split()[0].strip("`") for part in schema.split(",")]
+            begin = 0
+            while begin < len(keys):
+                here = keys[begin]
+                differs = np.flatnonzero(keys[begin:] != here)
+                end = begin + int(differs[0]) if len(differs) and differs[0] > 0 else len(keys) if not len(differs) else begin + 1
+                if here != current:
+                    current, state = here, start()
+                part = pdf.iloc[begin:end]
+                state, values = fold(state, part)
+                out.append(part.assign(**{result: values}))
+                begin = end
+            yield pd.concat(out) if out else pdf.assign(**{result: []})
+
     return df.select(*columns).repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)

@@ -171,5 +171,6 @@ ORACLES = {
         SELECT CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' WHEN x.hash IS NOT DISTINCT FROM y.hash THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n
         FROM x FULL JOIN y ON x.repo = y.repo AND x.profile_name = y.profile_name AND x.git_branch = y.git_branch AND x.path = y.path GROUP BY 1""",
 }
+ORACLES["streamed_changes"] = "SELECT 'added' AS change, count(*) AS n FROM (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL)"
 ORACLES["change_summary_xml"] = f"""{_SUMMARY_SQL} SELECT snapshot_id, md5('<change_summary>' || chr(10) || '  <counts added="' || a || '" modified="' || m
   || '" deleted="' || d || '" unchanged="' || u || '"/>' || chr(10) || xa || xm || xd || '</change_summary>' || chr(10)) AS summary_md5 FROM z"""

@@ -364,3 +364,42 @@ h AS (SELECT v.repo, src, t, tail = '' AS exact, k.path AS dst FROM v JOIN k ON
 e AS (SELECT repo, src, t, max(exact::INT) AS any_exact FROM h GROUP BY ALL)
 SELECT DISTINCT h.repo, h.src, h.dst FROM h JOIN e ON e.repo = h.repo AND e.src = h.src AND e.t = h.t WHERE h.exact OR any_exact = 0"""
 ORACLES["import_edges"] = _EDGES_SQL
+
+_FOLDER = "regexp_extract({}, '^(?:(.*)/)?[^/]*$', 1)"
+_LEAF = "regexp_extract(path, '([^/]*)$', 1)"
+_BASE = r"regexp_replace(path, '\.[^./]*$', '')"
+_STEM = rf"regexp_replace({_LEAF}, '\.[^./]*$', '')"
+
+
+def _beside(name: str) -> str:
+    return f"CASE WHEN {_FOLDER.format('path')} <> '' THEN {_FOLDER.format('path')} || '/' ELSE '' END || {name}"
+
+
+def _script(a: str, b: str) -> str:
+    """Candidates of the tests of a script, whose own ending comes first."""
+    return "[" + ", ".join([*[f"{_BASE} || '{x}'" for x in (f".test.{a}", f".spec.{a}", f".test.{b}", f".spec.{b}")], _beside(f"'__tests__/' || {_LEAF}")]) + "]"
+
+
+_TESTS_SQL = f"""SELECT DISTINCT t.repo, t.src, t.dst FROM (
+  SELECT repo, path AS src, unnest(CASE lower({ENDING}) WHEN 'go' THEN [{_BASE} || '_test.go'] WHEN 'ts' THEN {_script('ts', 'tsx')} WHEN 'tsx' THEN {_script('ts', 'tsx')} WHEN 'js' THEN {_script('js', 'jsx')}
+    WHEN 'jsx' THEN {_script('js', 'jsx')} WHEN 'py' THEN [{_beside(f"'test_' || {_STEM} || '.py'")}, {_BASE} || '_test.py', {_beside(f"'tests/test_' || {_STEM} || '.py'")}] WHEN 'rs' THEN [{_beside(f"'tests/' || {_LEAF}")}]
+    ELSE [] END) AS dst FROM (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL AND file_id IS NOT NULL)) t
+  JOIN (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL AND file_id IS NOT NULL) k ON k.repo = t.repo AND k.path = t.dst"""
+
+
+def near_sql(frontier: str, seen: str) -> str:
+    """The files around those of ``frontier`` that aren't among ``seen``; with ``e``, ``te`` and ``k`` for imports, tests and all paths."""
+    return f"""(SELECT DISTINCT n.repo, n.path FROM (
+      SELECT e.repo, e.dst AS path FROM (SELECT * FROM e UNION ALL SELECT * FROM te) e JOIN {frontier} f ON f.repo = e.repo AND f.path = e.src
+      UNION ALL SELECT e.repo, e.src FROM e JOIN {frontier} f ON f.repo = e.repo AND f.path = e.dst
+      UNION ALL SELECT k.repo, k.path FROM k JOIN {frontier} f ON f.repo = k.repo AND {_FOLDER.format('f.path')} = {_FOLDER.format('k.path')} WHERE lower({ENDING.replace('path', 'f.path')}) NOT IN ('go', 'ts', 'tsx', 'js', 'jsx', 'py')) n
+    WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.repo = n.repo AND s.path = n.path))"""
+
+
+GRAPH_SQL = f"e AS ({_EDGES_SQL}), te AS ({_TESTS_SQL}), k AS (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL AND file_id IS NOT NULL)"
+ORACLES |= {
+    "test_edges": _TESTS_SQL,
+    "neighbours_depth2": rf"""WITH {GRAPH_SQL}, f0 AS (SELECT repo, path FROM k WHERE starts_with(path, 'cmd/') OR regexp_matches(path, '(^|/)c(ache|olumn|ursor)[^/]*\.md$')),
+        f1 AS {near_sql('f0', 'f0')}, s1 AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1), f2 AS {near_sql('f1', 's1')}
+        SELECT repo, path, 1 AS depth FROM f1 UNION ALL SELECT repo, path, 2 FROM f2""",
+}

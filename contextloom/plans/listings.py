@@ -9,6 +9,7 @@ from contextloom.functions.globs import any_regex, glob_regex, ignore_regex
 from contextloom.functions.tables import DEFAULT_IGNORE, TIER_PATTERNS
 from contextloom.operators import budget, discovery, imports, listings, metadata, relevance, reports, workflows
 from contextloom.operators.descriptors import descriptors
+from contextloom.plans.contents import GRAPH_SQL, near_sql
 from contextloom.plans.contents import ORACLES as CONTENT_ORACLES
 from contextloom.plans.files import _CUT, BUDGET, EXCLUDE, EXTENSIONS, F_SQL, IGNORE_FILES, IGNORED, INCLUDE, T_SQL, WANTED, _budgeted, _tiered, matches, q
 from contextloom.sources.tables import table
@@ -194,4 +195,13 @@ ORACLES = {
     "importers": f"""WITH x AS ({CONTENT_ORACLES['import_edges']}), g AS (SELECT DISTINCT repo, path FROM files WHERE path LIKE '%.go' AND file_id IS NOT NULL)
         SELECT DISTINCT repo, src AS path FROM x WHERE (EXISTS (SELECT 1 FROM g WHERE g.repo = x.repo AND g.path = x.dst)
           OR EXISTS (SELECT 1 FROM g WHERE g.repo = x.repo AND {_DIR} = regexp_extract(x.dst, '^(?:(.*)/)?[^/]*$', 1))) AND NOT EXISTS (SELECT 1 FROM g WHERE g.repo = x.repo AND g.path = x.src)""",
+    "module_slice": rf"""WITH {GRAPH_SQL}, lf AS (SELECT repo, path, max(strlen(content)) // 4 AS tokens FROM files WHERE path IS NOT NULL AND file_id IS NOT NULL
+          AND NOT regexp_matches(path, '(^|/)(\.[^/]*|node_modules|vendor|__pycache__|dist)/') GROUP BY repo, path),
+        m AS (SELECT repo, path FROM lf WHERE path IN ('src', 'docs/guides') OR starts_with(path, 'src/') OR starts_with(path, 'docs/guides/')), n AS {near_sql('m', 'm')},
+        c AS (SELECT lf.repo, lf.path, coalesce(tokens, 0) AS tokens, m.path IS NOT NULL AS is_primary FROM lf LEFT JOIN m ON m.repo = lf.repo AND m.path = lf.path LEFT JOIN n ON n.repo = lf.repo AND n.path = lf.path
+          WHERE m.path IS NOT NULL OR n.path IS NOT NULL),
+        u AS (SELECT repo, sum(tokens) AS used FROM c WHERE is_primary GROUP BY repo),
+        r AS (SELECT *, sum(tokens) OVER (PARTITION BY repo ORDER BY path ROWS UNBOUNDED PRECEDING) AS running FROM c WHERE NOT is_primary)
+        SELECT repo, path, tokens, is_primary FROM c WHERE is_primary
+        UNION ALL SELECT r.repo, path, tokens, is_primary FROM r LEFT JOIN u ON u.repo = r.repo WHERE running <= 6000 - coalesce(used, 0) AND 6000 - coalesce(used, 0) > 0""",
 }
