@@ -165,3 +165,11 @@ COMPRESSED_MARK = "<!-- Compressed: signatures only -->"
 TRUNCATED_MARK = "<!-- Content truncated: %d of %d tokens shown -->"
 FILE_OVERHEAD, DOCUMENT_OVERHEAD = 35, 200
 SPLIT_FILE_OVERHEAD, SPLIT_HEADER = 200, 300
+
+# How kinds of secrets are named in reports; others are named by their identifier.
+SECRET_LABELS = {
+    "aws_access_key": "AWS access key", "aws_secret_key": "AWS secret key", "github_token": "GitHub token", "gitlab_token": "GitLab token", "private_key_block": "private key block",
+    "connection_string": "connection string", "jwt_token": "JWT token", "generic_api_key": "API key", "high_entropy_secret": "high entropy secret", "slack_token": "Slack token",
+    "stripe_secret_key": "Stripe secret key", "google_api_key": "Google API key", "twilio_api_key": "Twilio API key", "sendgrid_api_key": "SendGrid API key", "mailchimp_api_key": "Mailchimp API key",
+    "heroku_api_key": "Heroku API key", "basic_auth": "basic auth credential", "bearer_token": "bearer token",
+}

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextloom.functions.globs import any_regex, glob_regex
 from contextloom.functions.rules import BUILT_IN, Rule, scan_text
+from contextloom.functions.tables import SECRET_LABELS
+from contextloom.functions.text import lookup
 from contextloom.operators.discovery import is_sensitive_file
 from contextloom.sources.tables import spread
 
@@ -63,6 +65,49 @@ def redaction_summary(matches: DataFrame) -> DataFrame:
     return grouped.select("secret_type", "n", "n_files", name.alias("confidence"))
 
 
+def secret_label(secret_type: Column, n: Column) -> Column:
+    """A kind of secret in words, in the plural unless it is one."""
+    spaced = F.replace(secret_type, F.lit("_"), F.lit(" "))
+    known = lookup(secret_type, SECRET_LABELS)
+    label = F.when(known != "", known).otherwise(F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1 << 30)))
+    return F.concat(label, F.when(n == 1, "").otherwise("s"))
+
+
+def redaction_reports(matches: DataFrame, paths: DataFrame, profile: str = "default", threshold: str = "medium") -> DataFrame:
+    """``repo, report, text, inline``: the report of each repository's matches as JSON and as text, and its one-line summary.
+
+    ``paths`` has ``file_id, repo, path``; repositories without matches say so. Details are ordered by path, line and
+    column; kinds by number, then name. A repository's matches make one value.
+    """
+    located = matches.join(paths.where("file_id IS NOT NULL").select("file_id", "repo", "path").distinct(), "file_id")
+    level = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
+    kinds = located.groupBy("repo", "secret_type").agg(F.count(F.lit(1)).alias("n"), F.max(level).alias("level"))
+    by_type = kinds.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "secret_type", "n", "level"))).alias("kinds"))
+    levels = located.groupBy("repo", "confidence").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("confidence", "n"))).alias("levels"))
+    entry = F.struct("path", "line_no", "start_col", "rule_id", "secret_type", "confidence")
+    details = located.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("file_id").alias("n_files"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    joined = paths.select("repo").distinct().join(details, "repo", "left").join(by_type, "repo", "left").join(levels, "repo", "left")
+    total = F.coalesce("total", F.lit(0))
+    name = lambda of: F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), of + 1)
+    pairs = lambda rows, key: F.coalesce(F.map_from_entries(F.transform(rows, lambda r: F.struct(r[key], r["n"]))), F.create_map().cast("map<string, bigint>"))
+    shown = F.transform("entries", lambda e: F.struct(
+        e["path"].alias("file"), e["line_no"].alias("line"), e["rule_id"].alias("rule_id"), e["secret_type"].alias("secret_type"), e["confidence"].alias("confidence"), F.concat(F.lit("[REDACTED:"), e["secret_type"], F.lit("]")).alias("replacement")
+    ))
+    none = F.array().cast("array<struct<file: string, line: int, rule_id: string, secret_type: string, confidence: string, replacement: string>>")
+    summary = F.struct(total.alias("total_redactions"), F.coalesce("n_files", F.lit(0)).alias("files_affected"), pairs(F.col("kinds"), "secret_type").alias("by_type"), pairs(F.col("levels"), "confidence").alias("by_confidence"))
+    report = F.to_json(F.struct(F.lit(profile).alias("profile"), F.lit(threshold).alias("confidence_threshold"), summary.alias("summary"), F.coalesce(shown, none).alias("redactions")))
+    word = F.when(total == 1, "redaction").otherwise("redactions")
+    listed = F.array_join(F.transform("kinds", lambda k: F.concat(k["n"].cast("string"), F.lit(" "), secret_label(k["secret_type"], k["n"]))), ", ")
+    inline = F.when(total == 0, "No secrets detected").otherwise(F.concat(total.cast("string"), F.lit(" "), word, F.lit(" ("), listed, F.lit(")")))
+    per_kind = F.array_join(F.transform("kinds", lambda k: F.concat(F.lit("  "), k["n"].cast("string"), F.lit(" "), secret_label(k["secret_type"], k["n"]), F.lit(" ("), name(k["level"]), F.lit(" confidence)\n"))), "")
+    per_entry = F.array_join(F.transform("entries", lambda e: F.format_string("  %-40s [%-25s]  %s\n", F.concat(e["path"], F.lit(":"), e["line_no"].cast("string")), e["secret_type"], e["confidence"])), "")
+    text = F.concat(
+        F.lit(f"Profile: {profile}\nThreshold: {threshold}\n\nSummary: "), total.cast("string"), F.lit(" "), word, F.lit(" in "), F.coalesce("n_files", F.lit(0)).cast("string"), F.lit(" files\n"), F.coalesce(per_kind, F.lit("")), F.lit("\nDetails:\n"),
+        F.coalesce(per_entry, F.lit("")),
+    )
+    return joined.select("repo", report.alias("report"), text.alias("text"), inline.alias("inline"))
+
+
 def rule_hits(files: DataFrame, rules: Sequence[Rule] = BUILT_IN) -> DataFrame:
     """``rule_id, n_files, n_hits``: raw hits of each rule's pattern, before entropy, overlaps and lines, as built-in expressions.
 

@@ -142,11 +142,51 @@ def repository_hash(files: DataFrame) -> DataFrame:
     return buckets.groupBy("repo").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n")).alias("content_hash"))
 
 
-def xml_documents(blocks: DataFrame) -> DataFrame:
-    """``repo, part_no, document``: each part's XML elements in order of tier and path, as in ``documents``."""
+def xml_heads(members: DataFrame, hashes: DataFrame | None = None, redactions: DataFrame | None = None, *, profile: str = "default", tokenizer: str = "none", generated: str = "") -> DataFrame:
+    """``repo, part_no, head, tail``: metadata and summary before the files of each part, statistics behind them; see ``document_heads``."""
+    parts = members.groupBy("repo", "part_no").agg(
+        F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), *[F.sum((F.col("tier") == t).cast("long")).alias(f"t{t}") for t in range(len(TIER_KEYS))]
+    )
+    joined = parts.join(parts.groupBy("repo").agg(F.max("part_no").alias("n_parts")), "repo").join(top_members(members), "repo", "left")
+    joined = joined.join(hashes.select("repo", "content_hash"), "repo", "left") if hashes is not None else joined.withColumn("content_hash", F.lit(""))
+    if redactions is not None:
+        joined = joined.join(redactions.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("secret_type", "n"))).alias("masked"), F.sum("n").alias("n_masked")), "repo", "left")
+    else:
+        joined = joined.withColumn("masked", F.lit(None).cast("array<struct<secret_type: string, n: bigint>>")).withColumn("n_masked", F.lit(0).cast("long"))
+    first = F.col("part_no") == 1
+    tag = lambda name, value, lead="    ": F.concat(F.lit(f"{lead}<{name}>"), value, F.lit(f"</{name}>\n"))
+    lines = lambda rows, shape: F.array_join(F.transform(rows, shape), "")
+    name = F.concat(F.col("repo"), F.when(F.col("n_parts") > 1, F.format_string(" (Part %d of %d)", F.col("part_no"), F.col("n_parts"))).otherwise(""))
+    n_files, n_tokens = F.col("n_files").cast("string"), F.col("n_tokens").cast("string")
+    facts = F.concat(
+        F.lit("  <metadata>\n"), tag("project_name", xml_attribute(name)), tag("generated", F.lit(generated)) if generated else F.lit(""), tag("content_hash", F.coalesce("content_hash", F.lit(""))), tag("profile", F.lit(profile)),
+        tag("tokenizer", F.lit(tokenizer)), tag("total_tokens", n_tokens), tag("total_files", n_files), F.lit("  </metadata>\n"),
+    )
+    tiers = F.concat(*[F.when(F.col(f"t{t}") > 0, F.format_string(f'      <tier number="{t}" label="{key}" count="%d"/>\n', F.col(f"t{t}"))).otherwise("") for t, key in enumerate(TIER_KEYS)])
+    file_line = lambda f: F.concat(F.lit('      <file path="'), xml_attribute(f["path"]), F.lit('" tokens="'), thousands(f["tokens"]), F.lit('" size="'), human_bytes(f["n_bytes"]), F.lit('"/>\n'))
+    top = F.when(first & (F.size("top") > 0), F.concat(F.lit("    <top_files>\n"), lines("top", file_line), F.lit("    </top_files>\n"))).otherwise("")
+    masked = F.when(
+        first & (F.size("masked") > 0),
+        F.concat(
+            F.lit('    <redaction_summary total="'), F.col("n_masked").cast("string"), F.lit('">\n'), lines("masked", lambda m: F.concat(F.lit('      <type name="'), m["secret_type"], F.lit('" count="'), m["n"].cast("string"), F.lit('"/>\n'))),
+            F.lit("    </redaction_summary>\n"),
+        ),
+    ).otherwise('    <redaction_summary total="0"/>\n')
+    summary = F.concat(
+        F.lit("  <file_summary>\n"), tag("total_files", n_files), tag("total_tokens", thousands(F.col("n_tokens"))), F.lit("    <files_by_tier>\n"), tiers, F.lit("    </files_by_tier>\n"), top, masked, F.lit("  </file_summary>\n")
+    )
+    tail = F.concat(F.lit("  <statistics>\n"), tag("total_files", n_files), tag("total_tokens", n_tokens), F.lit("  </statistics>\n"))
+    return joined.select("repo", "part_no", F.concat(facts, summary).alias("head"), tail.alias("tail"))
+
+
+def xml_documents(blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """``repo, part_no, document``: each part's XML elements in order of tier and path, between the parts' heads and tails; see ``documents``."""
     grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
+    head = tail = F.lit("")
+    if heads is not None:
+        grouped, head, tail = grouped.join(heads, ["repo", "part_no"]), F.col("head"), F.col("tail")
     body = F.array_join(F.transform("b", lambda x: x["block"]), "\n")
-    return grouped.select("repo", "part_no", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<repository>\n<files>\n'), body, F.lit("\n</files>\n</repository>\n")).alias("document"))
+    return grouped.select("repo", "part_no", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<repository>\n'), head, F.lit("<files>\n"), body, F.lit("\n</files>\n"), tail, F.lit("</repository>\n")).alias("document"))
 
 
 def ordered_hash(files: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def redaction_by_confidence(spark, sf_dir):
     return found.groupBy("confidence").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
 
 
+def redaction_reports(spark, sf_dir):
+    matches = redaction.redaction_matches(_files(spark, sf_dir), "medium")
+    return redaction.redaction_reports(matches, descriptors(_files(spark, sf_dir)).where("path IS NOT NULL"))
+
+
 def redacted_contents(spark, sf_dir):
     done = redaction.redacted_contents(_files(spark, sf_dir), "medium")
     return done.select("file_id", F.md5("content").alias("content_md5"), "n_redactions").distinct()
@@ -145,10 +150,19 @@ def parsed_markdown_files(spark, sf_dir):
     return render.parsed_markdown(_documents(spark, sf_dir)).select("repo", "path", F.md5("content").alias("content_md5"), "redactions")
 
 
+def _xml_documents(spark, sf_dir):
+    blocks = _parted(spark, sf_dir, render.xml_block(), "xml-blocks")
+    return render.xml_documents(blocks, render.xml_heads(blocks, render.repository_hash(_files(spark, sf_dir))))
+
+
+def xml_documents(spark, sf_dir):
+    """Each part of each repository's XML document, over all files."""
+    return _xml_documents(spark, sf_dir).select("repo", "part_no", F.md5("document").alias("document_md5"), F.octet_length("document").alias("n_bytes"))
+
+
 def parsed_xml_files(spark, sf_dir):
     """The same files through XML documents and back."""
-    docs = render.xml_documents(_parted(spark, sf_dir, render.xml_block(), "xml-blocks"))
-    return render.parsed_xml(docs).select("repo", "path", F.md5("content").alias("content_md5"), "redactions")
+    return render.parsed_xml(_xml_documents(spark, sf_dir)).select("repo", "path", F.md5("content").alias("content_md5"), "redactions")
 
 
 def verify_status(spark, sf_dir):
@@ -239,8 +253,8 @@ def brief_budget(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
-        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, document_heads, parsed_markdown_files, parsed_xml_files, verify_status, verify_tallies, verify_redacted, line_differences, content_hash_md5,
+        tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redaction_reports, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
+        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, xml_documents, document_heads, parsed_markdown_files, parsed_xml_files, verify_status, verify_tallies, verify_redacted, line_differences, content_hash_md5,
         content_hash_ordered, content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, manifest_sections, brief_budget,
     )
 }
@@ -310,6 +324,28 @@ d AS (SELECT repo, part_no, '# Context: ' || repo || CASE WHEN n_parts > 1 THEN
 SELECT repo, part_no, md5(document) AS document_md5, strlen(document) AS n_bytes FROM d"""
 
 
+def _xml_documents_sql() -> str:
+    size = lambda n: _SIZE.replace("n_bytes", n)
+    line = "chr(10)"
+    escaped = lambda c: f"""replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''''', '&apos;')"""
+    tag = lambda name, value: f"'    <{name}>' || {value} || '</{name}>' || {line}"
+    tiers = " || ".join(f"CASE WHEN sum((tier = {t})::INT) > 0 THEN '      <tier number=\"{t}\" label=\"{key}\" count=\"' || sum((tier = {t})::INT) || '\"/>' || {line} ELSE '' END" for t, key in enumerate(TIER_KEYS))
+    name = "repo || CASE WHEN n_parts > 1 THEN ' (Part ' || part_no || ' of ' || n_parts || ')' ELSE '' END"
+    return f"""{_R_SQL}, sp AS MATERIALIZED ({split_sql(DOCUMENT_PART, source="(SELECT file_id, repo, tier, path, tokens FROM r)", recursive=False)}), {_HASH_SQL},
+m AS (SELECT r.*, sp.part_no, {_XML} AS block FROM (SELECT file_id, part_no FROM sp) sp JOIN r USING (file_id)),
+tp AS (SELECT repo, string_agg('      <file path="' || {escaped('path')} || '" tokens="' || format('{{:,}}', tokens) || '" size="' || {size('n_bytes')} || '"/>' || {line}, '' ORDER BY tokens DESC, tier, path) AS top
+  FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY repo ORDER BY tokens DESC, tier, path) <= 5) GROUP BY repo),
+pt AS (SELECT repo, part_no, count(*) AS n, sum(tokens)::BIGINT AS t, {tiers} AS tiers, string_agg(block, {line} ORDER BY tier, path, block) AS body FROM m GROUP BY repo, part_no),
+np AS (SELECT repo, max(part_no) AS n_parts FROM pt GROUP BY repo),
+d AS (SELECT repo, part_no, '<?xml version="1.0" encoding="UTF-8"?>' || {line} || '<repository>' || {line} || '  <metadata>' || {line} || {tag('project_name', escaped(name))} || {tag('content_hash', 'content_hash')}
+  || {tag('profile', "'default'")} || {tag('tokenizer', "'none'")} || {tag('total_tokens', 't')} || {tag('total_files', 'n')} || '  </metadata>' || {line}
+  || '  <file_summary>' || {line} || {tag('total_files', 'n')} || {tag('total_tokens', "format('{:,}', t)")} || '    <files_by_tier>' || {line} || tiers || '    </files_by_tier>' || {line}
+  || CASE WHEN part_no = 1 THEN '    <top_files>' || {line} || top || '    </top_files>' || {line} ELSE '' END || '    <redaction_summary total="0"/>' || {line} || '  </file_summary>' || {line}
+  || '<files>' || {line} || body || {line} || '</files>' || {line} || '  <statistics>' || {line} || {tag('total_files', 'n')} || {tag('total_tokens', 't')} || '  </statistics>' || {line} || '</repository>' || {line} AS document
+  FROM pt JOIN np USING (repo) JOIN rh USING (repo) JOIN tp USING (repo))
+SELECT repo, part_no, md5(document) AS document_md5, strlen(document) AS n_bytes FROM d"""
+
+
 _IMPORTS_SQL = rf"""{C_SQL}, l AS (SELECT file_id, repo, path, lower({ENDING}) AS kind, unnest(string_split(content, chr(10))) AS line FROM c WHERE lower({ENDING}) IN ('go', 'ts', 'tsx', 'js', 'jsx', 'py')),
 g AS (SELECT *, regexp_extract(line, {q(imports.GO_IMPORT)}, 1) AS go_, regexp_extract(line, {q(imports.JS_IMPORT)}, 1) AS js1, regexp_extract(line, {q(imports.JS_REQUIRE)}, 1) AS js2,
              coalesce(nullif(regexp_extract(line, {q(imports.PY_IMPORT)}, 1), ''), regexp_extract(line, {q(imports.PY_IMPORT)}, 2)) AS py_ FROM l),
@@ -332,6 +368,7 @@ ORACLES = {
     "markdown_blocks": f"{_R_SQL} SELECT file_id, md5({_BLOCK}) AS block_md5 FROM r",
     "xml_blocks": f"{_R_SQL} SELECT file_id, md5({_XML}) AS block_md5 FROM r",
     "markdown_documents": _markdown_documents_sql(),
+    "xml_documents": _xml_documents_sql(),
     "content_hash_md5": f"WITH {_HASH_SQL} SELECT repo, content_hash FROM rh",
     "import_targets": _IMPORTS_SQL,
     "line_differences": f"""{C_SQL}, s AS (SELECT file_id, string_split(content, chr(10)) AS a, string_split(regexp_replace(content, 'AKIA[0-9A-Z]{{16}}', '[REDACTED:aws_access_key_id]', 'g'), chr(10)) AS b FROM c),

@@ -293,3 +293,20 @@ def test_side_outputs(spark):
     xml, text_ = spark.range(1).select(changes.summary_xml(*listed, F.lit(2)).alias("x"), changes.summary_markdown(*listed, F.lit(2)).alias("m")).first()
     assert '<file path="a&lt;b"/>' in xml and 'unchanged="2"' in xml and "### Added Files\n- `a<b`" in text_
     assert spark.range(1).select(changes.summary_markdown(*[F.array().cast("array<string>")] * 3, F.lit(0))).first()[0] == "No changes detected since last run.\n"
+
+
+def test_redaction_reports(spark):
+    matches = spark.createDataFrame(
+        [(1, 7, 0, 9, "r1", "github_token", "high"), (1, 2, 0, 9, "r2", "jwt_token", "medium"), (2, 1, 0, 9, "r2", "jwt_token", "low"), (2, 1, 20, 29, "r3", "odd_kind", "low")],
+        "file_id long, line_no int, start_col int, end_col int, rule_id string, secret_type string, confidence string",
+    )
+    paths = spark.createDataFrame([(1, "r", "b"), (2, "r", "a"), (3, "s", "c"), (1, "r", "b")], "file_id long, repo string, path string")
+    rows = {r.repo: r for r in redaction.redaction_reports(matches, paths).collect()}
+    import json
+
+    report = json.loads(rows["r"].report)
+    assert [(e["file"], e["line"], e["replacement"]) for e in report["redactions"]] == [("a", 1, "[REDACTED:jwt_token]"), ("a", 1, "[REDACTED:odd_kind]"), ("b", 2, "[REDACTED:jwt_token]"), ("b", 7, "[REDACTED:github_token]")]
+    assert report["summary"] == {"total_redactions": 4, "files_affected": 2, "by_type": {"jwt_token": 2, "github_token": 1, "odd_kind": 1}, "by_confidence": {"high": 1, "low": 2, "medium": 1}}
+    assert rows["r"].inline == "4 redactions (2 JWT tokens, 1 GitHub token, 1 Odd kind)" and rows["s"].inline == "No secrets detected"
+    assert "  2 JWT tokens (medium confidence)\n" in rows["r"].text and "Summary: 4 redactions in 2 files\n" in rows["r"].text and "  a:1" in rows["r"].text
+    assert json.loads(rows["s"].report)["redactions"] == [] and redaction.redaction_reports(matches.limit(0), paths.limit(0)).count() == 0
