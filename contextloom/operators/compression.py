@@ -87,3 +87,12 @@ def compression_stats(done: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"), F.sum(F.col("status").isin("ast", "regex").cast("long")).alias("n_compressed"), F.sum("original_bytes").alias("original_bytes"), F.sum("compressed_bytes").alias("compressed_bytes")
     )
     return grouped.withColumn("ratio", F.when(F.col("original_bytes") == 0, F.lit(1.0)).otherwise(F.round(F.col("compressed_bytes") / F.col("original_bytes"), 6)))
+
+
+def compression_savings(stats: DataFrame) -> DataFrame:
+    """One row over ``compression_stats``: files, compressed ones, tokens saved and the ratio of all; the ratio of nothing is 1."""
+    before, after = F.coalesce(F.sum("original_bytes"), F.lit(0)), F.coalesce(F.sum("compressed_bytes"), F.lit(0))
+    return stats.agg(
+        F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("n_compressed"), F.lit(0)).alias("n_compressed"), (F.floor(before / 4) - F.floor(after / 4)).cast("long").alias("tokens_saved"),
+        F.when(before == 0, F.lit(1.0)).otherwise(F.round(after / before, 6)).alias("ratio"),
+    )

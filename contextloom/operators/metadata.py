@@ -14,27 +14,70 @@ from contextloom.operators.relevance import tier_of
 METADATA_VERSION = "1.0.0"
 
 
-def metadata(files: DataFrame, max_tokens: int = 0) -> DataFrame:
-    """``repo, metadata``: version, statistics and files in order of path, as one JSON text per repository.
+_ENTRY = "path: string, tier: int, tokens: bigint, bytes: bigint, redactions: bigint, compressed: boolean, language: string"
+_STATISTICS = "total_files: bigint, total_tokens: bigint, total_bytes: bigint, budget_used_percent: double, max_tokens: bigint, files_by_tier: map<string, bigint>, redactions_total: bigint, redactions_by_type: map<string, bigint>, compressed_files: bigint"
+METADATA_SCHEMA = f"struct<version: string, profile: string, tokenizer: string, content_hash: string, statistics: struct<{_STATISTICS}>, files: array<struct<{_ENTRY}>>>"
 
-    ``files`` has ``repo, path, tier, tokens, n_bytes``. The share of the budget is null without a limit.
+
+def metadata(files: DataFrame, max_tokens: int = 0, redactions: DataFrame | None = None, hashes: DataFrame | None = None, *, profile: str = "default", tokenizer: str = "none") -> DataFrame:
+    """``repo, metadata``: version, run, statistics and files in order of path, as one JSON text per repository.
+
+    ``files`` has ``repo, path, tier, tokens, n_bytes`` and may have ``redactions, is_compressed, language``; ``redactions`` has ``repo,
+    secret_type, n``, ``hashes`` ``repo, content_hash``. The share of the budget is left out without a limit.
     """
+    has = lambda name, default: F.coalesce(F.col(name), default) if name in files.columns else default
+    masked, compressed = has("redactions", F.lit(0)).cast("long"), has("is_compressed", F.lit(False))
     used = F.round(F.sum("tokens") * 100.0 / F.lit(float(max_tokens)), 4) if max_tokens > 0 else F.lit(None).cast("double")
-    entry = F.struct("path", "tier", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_bytes", F.lit(0)).alias("bytes"))
+    entry = F.struct("path", "tier", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_bytes", F.lit(0)).alias("bytes"), masked.alias("redactions"), compressed.alias("compressed"), has("language", F.lit("")).alias("language"))
     grouped = files.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("total_bytes"), used.alias("budget_used_percent"),
-        F.sort_array(F.collect_list(entry)).alias("files"),
+        F.sum(masked).alias("redactions_total"), F.sum(compressed.cast("long")).alias("compressed_files"), F.sort_array(F.collect_list(entry)).alias("files"),
     )
-    statistics = F.struct("total_files", "total_tokens", "total_bytes", "budget_used_percent")
-    return grouped.select("repo", F.to_json(F.struct(F.lit(METADATA_VERSION).alias("version"), statistics.alias("statistics"), "files")).alias("metadata"))
-
-
-def preview(files: DataFrame) -> DataFrame:
-    """``repo, preview``: files, tokens and a map from tier to files, as one small JSON text per repository."""
+    tiers = files.groupBy("repo", "tier").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("tier", "n"))).alias("t"))
+    grouped = grouped.join(tiers.select("repo", F.map_from_entries(F.transform("t", lambda e: F.struct(e["tier"].cast("string"), e["n"]))).alias("files_by_tier")), "repo")
+    empty = F.create_map().cast("map<string, bigint>")
+    if redactions is not None:
+        kinds = redactions.groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("secret_type", "n")))).alias("redactions_by_type"))
+        grouped = grouped.join(kinds, "repo", "left").withColumn("redactions_by_type", F.coalesce("redactions_by_type", empty))
+    else:
+        grouped = grouped.withColumn("redactions_by_type", empty)
+    grouped = grouped.join(hashes.select("repo", "content_hash"), "repo", "left") if hashes is not None else grouped.withColumn("content_hash", F.lit(None).cast("string"))
+    statistics = F.struct(
+        "total_files", "total_tokens", "total_bytes", "budget_used_percent", F.lit(max(max_tokens, 0)).cast("long").alias("max_tokens"), "files_by_tier", "redactions_total", "redactions_by_type", "compressed_files"
+    )
+    run = [F.lit(METADATA_VERSION).alias("version"), F.lit(profile).alias("profile"), F.lit(tokenizer).alias("tokenizer"), "content_hash"]
+    return grouped.select("repo", F.to_json(F.struct(*run, statistics.alias("statistics"), "files")).alias("metadata"))
+
+
+def metadata_rows(records: DataFrame, column: str = "metadata") -> DataFrame:
+    """The other columns of ``records`` and ``path, tier, tokens, bytes, redactions, compressed, language`` of each file of a metadata text; bad or missing texts give none."""
+    rest = [c for c in records.columns if c != column]
+    return records.select(*rest, F.explode(F.from_json(column, METADATA_SCHEMA)["files"]).alias("f")).select(*rest, "f.*")
+
+
+def budget_info(records: DataFrame, column: str = "metadata") -> DataFrame:
+    """The other columns of ``records`` and ``total_tokens, max_tokens, budget_used_percent`` of a metadata text; null where it is bad or missing."""
+    rest = [c for c in records.columns if c != column]
+    parsed = F.from_json(column, METADATA_SCHEMA)["statistics"]
+    return records.select(*rest, parsed["total_tokens"].alias("total_tokens"), parsed["max_tokens"].alias("max_tokens"), parsed["budget_used_percent"].alias("budget_used_percent"))
+
+
+def preview(files: DataFrame, omitted: DataFrame | None = None, max_tokens: int = 0) -> DataFrame:
+    """``repo, preview``: files, tokens and a map from tier to files, as one small JSON text per repository.
+
+    With ``omitted`` (``repo, n``) and a budget also the files left out and the share of the budget used.
+    """
     tiers = files.groupBy("repo", "tier").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     entries = F.sort_array(F.collect_list(F.struct("tier", "n")))
     rolled = tiers.groupBy("repo").agg(F.sum("n").alias("total_files"), F.sum("tokens").alias("total_tokens"), F.map_from_entries(F.transform(entries, lambda e: F.struct(e["tier"].cast("string"), e["n"]))).alias("tiers"))
-    return rolled.select("repo", F.to_json(F.struct("total_files", "total_tokens", "tiers")).alias("preview"))
+    shown = ["total_files", "total_tokens", "tiers"]
+    if omitted is not None:
+        rolled = rolled.join(omitted.select("repo", F.col("n").alias("files_omitted")), "repo", "left").withColumn("files_omitted", F.coalesce("files_omitted", F.lit(0)))
+        shown.append("files_omitted")
+    if max_tokens > 0:
+        rolled = rolled.withColumns({"budget": F.lit(max_tokens), "budget_utilization_percent": F.round(F.col("total_tokens") * 100.0 / F.lit(float(max_tokens)), 4)})
+        shown += ["budget", "budget_utilization_percent"]
+    return rolled.select("repo", F.to_json(F.struct(*shown)).alias("preview"))
 
 
 def sample(files: DataFrame, n: int, seed: str = "") -> DataFrame:

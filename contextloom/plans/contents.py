@@ -100,6 +100,10 @@ def compression_report(spark, sf_dir):
     return compression.compression_stats(compression.compressed_files(_files(spark, sf_dir)))
 
 
+def compression_savings(spark, sf_dir):
+    return compression.compression_savings(compression_report(spark, sf_dir))
+
+
 def _renderable(spark, sf_dir):
     return render.renderable(_files(spark, sf_dir), relevance.tier_of(F.col("path")))
 
@@ -254,7 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redaction_reports, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
-        compression_report, line_numbers, markdown_blocks, xml_blocks, markdown_documents, xml_documents, document_heads, parsed_markdown_files, parsed_xml_files, verify_status, verify_tallies, verify_redacted, line_differences, content_hash_md5,
+        compression_report, compression_savings, line_numbers, markdown_blocks, xml_blocks, markdown_documents, xml_documents, document_heads, parsed_markdown_files, parsed_xml_files, verify_status, verify_tallies, verify_redacted, line_differences, content_hash_md5,
         content_hash_ordered, content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, manifest_sections, brief_budget,
     )
 }

@@ -258,6 +258,15 @@ def metadata_files(spark, sf_dir):
     return out.select("repo", part("$.statistics.total_tokens").cast("long").alias("tokens"), part("$.statistics.budget_used_percent").cast("double").alias("percent"), part("$.files[0].path").alias("first_path"))
 
 
+def metadata_entries(spark, sf_dir):
+    """Every file through a metadata text and back."""
+    return metadata.metadata_rows(metadata.metadata(_tiered(spark, sf_dir).where("path IS NOT NULL"), BUDGET)).select("repo", "path", "tier", "tokens", "bytes")
+
+
+def budget_info(spark, sf_dir):
+    return metadata.budget_info(metadata.metadata(_tiered(spark, sf_dir), BUDGET))
+
+
 def preview_records(spark, sf_dir):
     return metadata.preview(_tiered(spark, sf_dir)).withColumnRenamed("preview", "record")
 
@@ -324,7 +333,7 @@ QUERIES = {
     for f in (
         ignore_filter, ignore_files, pattern_filter, sensitive_paths, binary_contents, skip_reasons, scan_skip_counts, tracked_files, assert_include, tier_match, tier_counts, tier_explain,
         language_breakdown, token_estimates, tier_token_report, top_files_by_tokens, token_heatmap, document_overhead, pipeline_stats, budget_truncate, budget_tier_stats, budget_skip, budget_unlimited,
-        budget_truncated_files, split_parts, split_part_sizes, dir_tristate, selection_patterns, tree_nodes, tree_drawing, module_map, health_checks, quality_coverage, quality_percent, slice_budget, inclusion_summary, metadata_files, preview_records, verify_sample, decision_trace, fuzzy_search,
+        budget_truncated_files, split_parts, split_part_sizes, dir_tristate, selection_patterns, tree_nodes, tree_drawing, module_map, health_checks, quality_coverage, quality_percent, slice_budget, inclusion_summary, metadata_files, metadata_entries, budget_info, preview_records, verify_sample, decision_trace, fuzzy_search,
     )
 }
 
@@ -402,6 +411,8 @@ ORACLES |= {
           sum(used)::BIGINT AS tokens FROM us GROUP BY repo, tier), h AS (SELECT *, sum(tokens) OVER (PARTITION BY repo)::BIGINT AS total FROM g)
         SELECT repo, {_TIER_KEY} AS tier_key, n_included, n_excluded, CASE WHEN total > 0 THEN tokens * 100 // total ELSE 0 END AS percent FROM h""",
     "metadata_files": f"{T_SQL} SELECT repo, coalesce(sum(tokens), 0)::BIGINT AS tokens, round(sum(tokens) * 100.0::DOUBLE / {BUDGET}.0::DOUBLE, 4) AS percent, min(path) AS first_path FROM t GROUP BY repo",
+    "metadata_entries": f"{T_SQL} SELECT repo, path, tier, coalesce(tokens, 0)::BIGINT AS tokens, coalesce(n_bytes, 0)::BIGINT AS bytes FROM t WHERE path IS NOT NULL",
+    "budget_info": f"{T_SQL} SELECT repo, coalesce(sum(tokens), 0)::BIGINT AS total_tokens, {BUDGET}::BIGINT AS max_tokens, round(sum(tokens) * 100.0::DOUBLE / {BUDGET}.0::DOUBLE, 4) AS budget_used_percent FROM t GROUP BY repo",
     "preview_records": f"""{T_SQL}, g AS (SELECT repo, tier, count(*) AS n, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM t GROUP BY repo, tier)
         SELECT repo, '{{"total_files":' || sum(n) || ',"total_tokens":' || sum(tokens) || ',"tiers":{{' || string_agg('"' || tier || '":' || n, ',' ORDER BY tier) || '}}}}' AS record FROM g GROUP BY repo""",
     "verify_sample": f"{F_SQL} SELECT file_id, repo, path FROM f WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY md5(path || '|s')) <= 5",

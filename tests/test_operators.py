@@ -9,7 +9,7 @@ from contextloom.functions import entropy, text
 from contextloom.functions.globs import glob_regex, ignore_regex
 from contextloom.functions.rules import BUILT_IN, Rule, scan_text
 from contextloom.functions.rules import entropy as bits_of
-from contextloom.operators import budget, changes, compression, discovery, imports, redaction, relevance, render, reports, trees, verify, workflows
+from contextloom.operators import budget, changes, compression, discovery, imports, metadata, redaction, relevance, render, reports, trees, verify, workflows
 from contextloom.operators.descriptors import descriptors
 from contextloom.operators.ordered import running_sum
 
@@ -310,3 +310,24 @@ def test_redaction_reports(spark):
     assert rows["r"].inline == "4 redactions (2 JWT tokens, 1 GitHub token, 1 Odd kind)" and rows["s"].inline == "No secrets detected"
     assert "  2 JWT tokens (medium confidence)\n" in rows["r"].text and "Summary: 4 redactions in 2 files\n" in rows["r"].text and "  a:1" in rows["r"].text
     assert json.loads(rows["s"].report)["redactions"] == [] and redaction.redaction_reports(matches.limit(0), paths.limit(0)).count() == 0
+
+
+def test_metadata_round_trip(spark):
+    import json
+
+    files = spark.createDataFrame([("r", "b", 1, 30, 120, 2, True, "go"), ("r", "a", 0, None, None, None, None, None), ("q", "c", 1, 5, 20, 0, False, "")], "repo string, path string, tier int, tokens long, n_bytes long, redactions int, is_compressed boolean, language string")
+    kinds = spark.createDataFrame([("r", "jwt_token", 2)], "repo string, secret_type string, n long")
+    records = metadata.metadata(files, 100, kinds, spark.createDataFrame([("r", "abc")], "repo string, content_hash string"))
+    stats = json.loads({r.repo: r.metadata for r in records.collect()}["r"])["statistics"]
+    assert (stats["files_by_tier"], stats["redactions_total"], stats["redactions_by_type"], stats["compressed_files"], stats["max_tokens"]) == ({"0": 1, "1": 1}, 2, {"jwt_token": 2}, 1, 100)
+    rows = sorted(tuple(r) for r in metadata.metadata_rows(records).collect())
+    assert rows == [("q", "c", 1, 5, 20, 0, False, ""), ("r", "a", 0, 0, 0, 0, False, ""), ("r", "b", 1, 30, 120, 2, True, "go")]
+    bad = records.unionByName(spark.createDataFrame([("x", "{"), ("y", None)], "repo string, metadata string"))
+    assert metadata.metadata_rows(bad).count() == 3 and {r.repo: r.budget_used_percent for r in metadata.budget_info(bad).collect()} == {"r": 30.0, "q": 5.0, "x": None, "y": None}
+    shown = json.loads({r.repo: r.preview for r in metadata.preview(files, spark.createDataFrame([("r", 4)], "repo string, n long"), 60).collect()}["r"])
+    assert shown == {"total_files": 2, "total_tokens": 30, "tiers": {"0": 1, "1": 1}, "files_omitted": 4, "budget": 60, "budget_utilization_percent": 50.0}
+
+
+def test_compression_savings(spark):
+    stats = spark.createDataFrame([("go", 2, 1, 400, 100, 0.25), ("none", 1, 0, 0, 0, 1.0)], "language string, n_files long, n_compressed long, original_bytes long, compressed_bytes long, ratio double")
+    assert tuple(compression.compression_savings(stats).first()) == (3, 1, 75, 0.25) and tuple(compression.compression_savings(stats.limit(0)).first()) == (0, 0, 0, 1.0)
