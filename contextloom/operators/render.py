@@ -98,9 +98,9 @@ def documents(blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """``repo, part_no, document``: each part's blocks in order of tier and path, under its head or a title.
 
     ``blocks`` has ``repo, part_no, tier, path, block``; a part comes from ``split_parts``, so that a document is one value of
-    bounded size: its tokens, or those of a single larger file.
+    bounded size: its tokens, or those of a single larger file. Blocks delivered again count once.
     """
-    grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
+    grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_set(F.struct("tier", "path", "block"))).alias("b"))
     head = F.concat(F.lit("# "), F.col("repo"), F.lit("\n"))
     if heads is not None:
         grouped, head = grouped.join(heads, ["repo", "part_no"]), F.col("head")
@@ -181,7 +181,7 @@ def xml_heads(members: DataFrame, hashes: DataFrame | None = None, redactions: D
 
 def xml_documents(blocks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """``repo, part_no, document``: each part's XML elements in order of tier and path, between the parts' heads and tails; see ``documents``."""
-    grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_list(F.struct("tier", "path", "block"))).alias("b"))
+    grouped = blocks.groupBy("repo", "part_no").agg(F.sort_array(F.collect_set(F.struct("tier", "path", "block"))).alias("b"))
     head = tail = F.lit("")
     if heads is not None:
         grouped, head, tail = grouped.join(heads, ["repo", "part_no"]), F.col("head"), F.col("tail")

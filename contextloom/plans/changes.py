@@ -118,6 +118,12 @@ def workspace_links(spark, sf_dir):
     return workspace_edges(lists)
 
 
+def deliveries_by_hour(spark, sf_dir):
+    """The windowed count of a delivery stream, over the table at rest."""
+    counted = streaming.counted_by_window(table(spark, sf_dir, "files").where("ingested_at IS NOT NULL"))
+    return counted.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "repo", "n")
+
+
 def streamed_changes(spark, sf_dir):
     """The files table as a stream of deliveries, followed to its end."""
     folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -151,7 +157,7 @@ z AS (SELECT o.snapshot_id, coalesce(a, 0) AS a, coalesce(m, 0) AS m, coalesce(d
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, streamed_changes)
+    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, streamed_changes, deliveries_by_hour)
 }
 ORACLES = {
     "p5_found": P5_SQL,
@@ -171,6 +177,7 @@ ORACLES = {
         SELECT CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' WHEN x.hash IS NOT DISTINCT FROM y.hash THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n
         FROM x FULL JOIN y ON x.repo = y.repo AND x.profile_name = y.profile_name AND x.git_branch = y.git_branch AND x.path = y.path GROUP BY 1""",
 }
+ORACLES["deliveries_by_hour"] = "SELECT strftime(date_trunc('hour', ingested_at), '%Y-%m-%d %H:%M:%S') AS hour, repo, count(*) AS n FROM files WHERE ingested_at IS NOT NULL GROUP BY ALL"
 ORACLES["streamed_changes"] = "SELECT 'added' AS change, count(*) AS n FROM (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL)"
 ORACLES["change_summary_xml"] = f"""{_SUMMARY_SQL} SELECT snapshot_id, md5('<change_summary>' || chr(10) || '  <counts added="' || a || '" modified="' || m
   || '" deleted="' || d || '" unchanged="' || u || '"/>' || chr(10) || xa || xm || xd || '</change_summary>' || chr(10)) AS summary_md5 FROM z"""

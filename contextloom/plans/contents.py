@@ -42,7 +42,12 @@ def rule_hits(spark, sf_dir):
 
 
 def redaction_matches(spark, sf_dir):
-    return redaction.redaction_matches(_files(spark, sf_dir), "low", exclude=("**/*.lock",))
+    return redaction.redaction_matches(_files(spark, sf_dir), "low")
+
+
+def redaction_excluded(spark, sf_dir):
+    """The same where the profile leaves lock files alone."""
+    return redaction.redaction_matches(_files(spark, sf_dir), "low", exclude=("**/*.lock",)).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
 def redaction_by_type(spark, sf_dir):
@@ -126,16 +131,16 @@ DOCUMENT_PART = 50_000
 
 
 def _parted(spark, sf_dir, block, name):
-    """Blocks of all files, each in the part of its repository's document."""
-    once = _renderable(spark, sf_dir).select("file_id", "repo", "tier", "path", "tokens", "n_bytes", block.alias("block")).dropDuplicates(["file_id"])
-    blocks = materialize(once, name)
-    parts = budget.split_parts(blocks.select("file_id", "repo", "tier", "path", "tokens"), DOCUMENT_PART).select("file_id", "part_no")
-    return blocks.join(parts, "file_id")
+    """Blocks of all files, each in the part of its repository's document, and the narrow rows of the parts' members."""
+    blocks = materialize(_renderable(spark, sf_dir).select("file_id", "repo", "tier", "path", "tokens", "n_bytes", block.alias("block")), name)
+    members = blocks.select("file_id", "repo", "tier", "path", "tokens", "n_bytes").dropDuplicates(["file_id"])
+    parts = materialize(budget.split_parts(members, DOCUMENT_PART).select("file_id", "part_no"), f"{name}-parts")
+    return blocks.join(parts, "file_id"), members.join(parts, "file_id")
 
 
 def _documents(spark, sf_dir):
-    blocks = _parted(spark, sf_dir, render.markdown_block(), "markdown-blocks")
-    return render.documents(blocks, render.document_heads(blocks, render.repository_hash(_files(spark, sf_dir))))
+    blocks, members = _parted(spark, sf_dir, render.markdown_block(), "markdown-blocks")
+    return render.documents(blocks, render.document_heads(members, render.repository_hash(_files(spark, sf_dir))))
 
 
 def markdown_documents(spark, sf_dir):
@@ -145,9 +150,9 @@ def markdown_documents(spark, sf_dir):
 
 def document_heads(spark, sf_dir):
     """Heads with the tree to a depth of three and the masked secrets."""
-    blocks = _parted(spark, sf_dir, F.lit(""), "head-blocks")
-    masked = redaction.redaction_matches(_files(spark, sf_dir), "medium").join(blocks.select("file_id", "repo"), "file_id").groupBy("repo", "secret_type").agg(F.count("*").alias("n"))
-    return render.document_heads(blocks, None, masked, trees.repository_trees(blocks, 3))
+    _, members = _parted(spark, sf_dir, F.lit(""), "head-blocks")
+    masked = redaction.redaction_matches(_files(spark, sf_dir), "medium").join(members.select("file_id", "repo"), "file_id").groupBy("repo", "secret_type").agg(F.count("*").alias("n"))
+    return render.document_heads(members, None, masked, trees.repository_trees(members, 3))
 
 
 def parsed_markdown_files(spark, sf_dir):
@@ -155,8 +160,8 @@ def parsed_markdown_files(spark, sf_dir):
 
 
 def _xml_documents(spark, sf_dir):
-    blocks = _parted(spark, sf_dir, render.xml_block(), "xml-blocks")
-    return render.xml_documents(blocks, render.xml_heads(blocks, render.repository_hash(_files(spark, sf_dir))))
+    blocks, members = _parted(spark, sf_dir, render.xml_block(), "xml-blocks")
+    return render.xml_documents(blocks, render.xml_heads(members, render.repository_hash(_files(spark, sf_dir))))
 
 
 def xml_documents(spark, sf_dir):
@@ -257,7 +262,7 @@ def brief_budget(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenizer_counts, rule_hits, redaction_matches, redaction_by_type, redaction_by_confidence, redaction_reports, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
+        tokenizer_counts, rule_hits, redaction_matches, redaction_excluded, redaction_by_type, redaction_by_confidence, redaction_reports, redacted_contents, entropy_scores, charset_classes, declaration_lines, signature_rows, regex_signatures,
         compression_report, compression_savings, line_numbers, markdown_blocks, xml_blocks, markdown_documents, xml_documents, document_heads, parsed_markdown_files, parsed_xml_files, verify_status, verify_tallies, verify_redacted, line_differences, content_hash_md5,
         content_hash_ordered, content_hash_xxh3, import_targets, import_edges, test_edges, neighbours_depth2, review_slice, manifest_sections, brief_budget,
     )
