@@ -130,6 +130,31 @@ def workspace_edges(repos: DataFrame) -> DataFrame:
     return edges.join(repos.select(F.col("name").alias("dst"), F.lit(True).alias("known")).distinct(), "dst", "left").select("src", "dst", F.coalesce("known", F.lit(False)).alias("is_known"))
 
 
+def workspace_document(repos: DataFrame, name: str = "", description: str = "") -> DataFrame:
+    """``document, tokens``: a workspace's repositories by name, their integrations and shared schemas, as Markdown.
+
+    ``repos`` has ``name, path, description, entrypoints, docs, integrates_with, shared_schemas``; what is null or empty is left out. A
+    workspace is a list kept by hand, so it makes one value; without repositories only its title.
+    """
+    code = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    line = lambda title, value, shown: F.when(shown, F.concat(F.lit(f"- **{title}:** "), value, F.lit("\n"))).otherwise("")
+    text = lambda c: F.coalesce(c, F.lit("")) != ""
+    filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    block = F.concat(
+        F.lit("### "), F.col("name"), F.lit("\n"), line("Path", F.col("path"), text(F.col("path"))), line("Description", F.col("description"), text(F.col("description"))), line("Entrypoints", code("entrypoints"), filled("entrypoints")),
+        line("Docs", code("docs"), filled("docs")), line("Integrates with", F.array_join("integrates_with", ", "), filled("integrates_with")),
+    )
+    edge = F.when(filled("integrates_with"), F.concat(F.lit("- "), F.col("name"), F.lit(" → "), F.array_join(F.sort_array("integrates_with"), ", ")))
+    schemas = F.transform(F.coalesce("shared_schemas", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- `"), x, F.lit("` ("), F.col("name"), F.lit(")")))
+    listed = repos.where(F.col("name").isNotNull()).select("name", block.alias("block"), edge.alias("edge"), schemas.alias("schemas"))
+    one = listed.agg(F.sort_array(F.collect_list(F.struct("name", "block", "edge"))).alias("r"), F.sort_array(F.flatten(F.collect_list("schemas"))).alias("s"))
+    blocks, edges = F.transform("r", lambda x: x["block"]), F.filter(F.transform("r", lambda x: x["edge"]), lambda x: x.isNotNull())
+    part = lambda title, rows, between: F.when(F.size(rows) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(rows, between), F.lit("\n"))).otherwise("")
+    head = F.lit(f"# Workspace: {name or 'Workspace'}\n\n" + (f"> {description}\n\n" if description else ""))
+    whole = F.concat(head, part("Repositories", blocks, "\n"), F.when(F.size(edges) > 0, F.concat(F.lit("\n"), part("Integrations", edges, "\n"))).otherwise(""), F.when(F.size("s") > 0, F.concat(F.lit("\n"), part("Shared Schemas", F.col("s"), "\n"))).otherwise(""))
+    return one.select(whole.alias("document")).withColumn("tokens", tokens_ceil(F.octet_length("document")))
+
+
 def snapshot_listing(snapshots: DataFrame) -> DataFrame:
     """``repo, profile_name, n_snapshots, latest, head``: stored states; commit ids cut to seven characters."""
     rows = snapshots.where(F.col("snapshot_id").isNotNull()).select("snapshot_id", "repo", "profile_name", F.try_to_timestamp("generated_at").alias("at"), "git_head_sha").distinct()

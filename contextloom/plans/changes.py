@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from contextloom.operators import changes as ops
 from contextloom.operators.snapshots import normal_hash, normal_path, series_positions, snapshot_changes
-from contextloom.operators.workflows import snapshot_listing, workspace_edges
+from contextloom.operators.workflows import snapshot_listing, workspace_document, workspace_edges
 from contextloom.sources.tables import table
 from contextloom.storage import shared_dir
 from contextloom.streaming import changes as streaming
@@ -111,11 +111,25 @@ def cached_states(spark, sf_dir):
     return snapshot_listing(table(spark, sf_dir, "snapshots")).select("repo", "profile_name", "n_snapshots", "head")
 
 
+def _workspace(spark, sf_dir):
+    """Repositories of a workspace: here, those whose runs name a target, each integrated with its targets and with the first repository of each."""
+    runs = table(spark, sf_dir, "runs").select("repo", "target").where("target IS NOT NULL AND repo IS NOT NULL").distinct()
+    first = runs.groupBy("target").agg(F.min("repo").alias("first"))
+    links = runs.join(first, "target")
+    both = links.select("repo", F.concat(F.lit("target/"), "target").alias("to")).union(links.where("repo <> first").select("repo", "first"))
+    return both.groupBy("repo").agg(F.collect_set("to").alias("integrates_with")).unionByName(runs.select("repo").distinct().join(both.select("repo"), "repo", "left_anti").select("repo", F.array().cast("array<string>").alias("integrates_with")))
+
+
 def workspace_links(spark, sf_dir):
-    """Repositories of a workspace with their integrations: here, repositories whose runs share a target."""
-    runs = table(spark, sf_dir, "runs").select("repo", "target").where("target IS NOT NULL").distinct()
-    lists = runs.groupBy("repo").agg(F.collect_set(F.concat(F.lit("target/"), "target")).alias("integrates_with")).withColumnRenamed("repo", "name")
-    return workspace_edges(lists)
+    return workspace_edges(_workspace(spark, sf_dir).withColumnRenamed("repo", "name"))
+
+
+def workspace_documents(spark, sf_dir):
+    empty = F.array().cast("array<string>")
+    repos = _workspace(spark, sf_dir).select(
+        F.col("repo").alias("name"), F.lit(None).cast("string").alias("path"), F.lit("A repository").alias("description"), empty.alias("entrypoints"), empty.alias("docs"), F.sort_array("integrates_with").alias("integrates_with"), empty.alias("shared_schemas")
+    )
+    return workspace_document(repos, "all").select(F.md5("document").alias("document_md5"), "tokens")
 
 
 def deliveries_by_hour(spark, sf_dir):
@@ -155,9 +169,12 @@ z AS (SELECT o.snapshot_id, coalesce(a, 0) AS a, coalesce(m, 0) AS m, coalesce(d
   coalesce(xa, '') AS xa, coalesce(xm, '') AS xm, coalesce(xd, '') AS xd FROM (SELECT snapshot_id FROM ordered WHERE previous_id IS NOT NULL) o LEFT JOIN c USING (snapshot_id) LEFT JOIN eq USING (snapshot_id))"""
 
 
+_WORKSPACE_SQL = """wr AS (SELECT DISTINCT repo, target FROM runs WHERE target IS NOT NULL AND repo IS NOT NULL), wf AS (SELECT target, min(repo) AS hub FROM wr GROUP BY target),
+we AS (SELECT DISTINCT repo, 'target/' || target AS dst FROM wr UNION SELECT DISTINCT repo, hub FROM wr JOIN wf USING (target) WHERE repo <> hub)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, streamed_changes, deliveries_by_hour)
+    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, workspace_documents, streamed_changes, deliveries_by_hour)
 }
 ORACLES = {
     "p5_found": P5_SQL,
@@ -166,7 +183,12 @@ ORACLES = {
     "git_changes": f"{_STATUS} SELECT path, status AS change FROM l WHERE status <> 'renamed' UNION SELECT old_path, 'deleted' FROM l WHERE status = 'renamed' UNION SELECT path, 'added' FROM l WHERE status = 'renamed'",
     "change_summary": f"""{_SUMMARY_SQL} SELECT snapshot_id, md5(CASE WHEN a + m + d = 0 THEN 'No changes detected since last run.' || chr(10) ELSE '**' || a || ' added** | **' || m || ' modified** | **'
         || d || ' deleted** (' || u || ' unchanged)' || chr(10) || la || lm || ld END) AS summary_md5 FROM z""",
-    "workspace_links": "SELECT DISTINCT repo AS src, 'target/' || target AS dst, FALSE AS is_known FROM runs WHERE target IS NOT NULL",
+    "workspace_links": f"WITH {_WORKSPACE_SQL} SELECT repo AS src, dst, dst IN (SELECT repo FROM wr) AS is_known FROM we",
+    "workspace_documents": f"""WITH {_WORKSPACE_SQL}, b AS (SELECT repo, string_agg(dst, ', ' ORDER BY dst) AS links FROM we GROUP BY repo),
+        d AS (SELECT '# Workspace: all' || chr(10) || chr(10) || '## Repositories' || chr(10) || chr(10)
+          || string_agg('### ' || repo || chr(10) || '- **Description:** A repository' || chr(10) || '- **Integrates with:** ' || links || chr(10), chr(10) ORDER BY repo) || chr(10)
+          || chr(10) || '## Integrations' || chr(10) || chr(10) || string_agg('- ' || repo || ' → ' || links, chr(10) ORDER BY repo) || chr(10) AS document FROM b)
+        SELECT md5(document) AS document_md5, (strlen(document) + 3) // 4 AS tokens FROM d""",
     "cached_states": """WITH s AS (SELECT DISTINCT snapshot_id, repo, profile_name, CAST(generated_at AS TIMESTAMPTZ) AS instant, coalesce(git_head_sha, '') AS head FROM snapshots WHERE snapshot_id IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY repo, profile_name ORDER BY instant DESC, snapshot_id DESC) AS k FROM s)
         SELECT repo, profile_name, count(DISTINCT snapshot_id) AS n_snapshots, substring(max(CASE WHEN k = 1 THEN head END), 1, 7) AS head FROM r GROUP BY repo, profile_name""",

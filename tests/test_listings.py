@@ -96,3 +96,14 @@ def test_brief_documents(spark):
     assert set(docs) == {"r"} and docs["r"].tokens == -(-len(docs["r"].document) // 4)
     body = docs["r"].document
     assert body.startswith("# Brief: r\n") and body.index("## readme") < body.index("## rules") < body.index("## modules") and "- `docs/`: Documentation\n- `src/`: Source code" in body
+
+
+def test_workspace_document(spark):
+    schema = "name string, path string, description string, entrypoints array<string>, docs array<string>, integrates_with array<string>, shared_schemas array<string>"
+    repos = spark.createDataFrame([("b", "/b", "Second", ["main.go", "x"], None, ["z", "a"], ["s.proto"]), ("a", None, "", [], ["README.md"], None, None), (None, "x", "", None, None, None, None)], schema)
+    row = workflows.workspace_document(repos, "W", "All of it").first()
+    assert row.document == (
+        "# Workspace: W\n\n> All of it\n\n## Repositories\n\n### a\n- **Docs:** `README.md`\n\n### b\n- **Path:** /b\n- **Description:** Second\n- **Entrypoints:** `main.go`, `x`\n- **Integrates with:** z, a\n\n"
+        "\n## Integrations\n\n- b → a, z\n\n## Shared Schemas\n\n- `s.proto` (b)\n"
+    )
+    assert workflows.workspace_document(repos.limit(0)).first().document == "# Workspace: Workspace\n\n"
