@@ -83,6 +83,14 @@ def _packing_tables(spark, sf_dir):
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
 
 
+def p4_intact(spark, sf_dir):
+    """Per file with content: its lines after masking, and whether every line is as before, holds a mask, or is what a masked span of several lines left of it."""
+    files = table(spark, sf_dir, "files").where("content IS NOT NULL AND file_id IS NOT NULL").select("file_id", "path", "content", F.col("content").alias("original"))
+    masked, original = F.split("content", "\n", -1), F.split("original", "\n", -1)
+    kept = F.zip_with(original, masked, lambda a, b: (a == b) | F.contains(b, F.lit("[REDACTED:")) | F.endswith(a, b))
+    return redacted_files(files).select("file_id", F.size(masked).alias("n_lines"), ((F.size(masked) == F.size(original)) & F.forall(kept, lambda ok: F.coalesce(ok, F.lit(False)))).alias("is_intact")).distinct()
+
+
 def p6_assignment(spark, sf_dir):
     return packed(*_packing_tables(spark, sf_dir))
 
@@ -97,7 +105,7 @@ def p6_whole(spark, sf_dir):
     documents, containers = _packing_tables(spark, sf_dir)
     kinds = containers.select("container", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens")).distinct()
     placed = packed(documents, containers)
-    loads = placed.groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("texts")).join(kinds, "container")
+    loads = placed.groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).join(kinds, "container")
     used = F.col("tokens") + F.col("separator_tokens") * (F.col("n") - 1)
     least = F.ceil((F.sum("tokens") + F.sum("n") * F.first("separator_tokens")) / (F.first("capacity_tokens") + F.first("separator_tokens")))
     return loads.groupBy("container").agg(
@@ -130,6 +138,7 @@ def p4_redacted(spark, sf_dir):
     return masked.select("file_id", F.md5("content").alias("content_md5"), "found_redactions").distinct()
 
 
+P4_SQL = "SELECT DISTINCT file_id, len(string_split(content, chr(10)))::INTEGER AS n_lines, TRUE AS is_intact FROM files WHERE content IS NOT NULL AND file_id IS NOT NULL"
 P6_SQL = """
 WITH d AS (SELECT doc_id, max(strlen(text) // 4) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 k AS (SELECT DISTINCT container, capacity_tokens AS c FROM containers WHERE container IS NOT NULL AND capacity_tokens > 0)
@@ -158,6 +167,6 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)"""
 
 QUERIES = {
     query.__name__: query
-    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p2_whole, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p6_assignment, p6_fill, p6_whole, p7_found, p7_leaks, p8_found, p8_levels)
+    for query in (p1_found, p1_origins, p2_found, p2_pieces, p2_texts, p2_whole, p3_found, p3_pairs, p4_found, p4_by_type, p4_redacted, p4_intact, p6_assignment, p6_fill, p6_whole, p7_found, p7_leaks, p8_found, p8_levels)
 }
-ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL, "p6_whole": P6_SQL, "p7_found": P7_SQL}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p2_whole": P2_WHOLE_SQL, "p4_intact": P4_SQL, "p6_whole": P6_SQL, "p7_found": P7_SQL}
