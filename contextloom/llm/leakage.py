@@ -54,6 +54,8 @@ _KIND = np.uint64(3)
 _FLAT_SEED, _SHAPE_SEED, _WORD_SEED = np.uint64(11), np.uint64(23), np.uint64(47)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN_WORDS = 1 << 18
+#: Characters of texts that are taken apart in one go; it bounds memory, a longer text goes alone.
+BATCH_CHARS = 1 << 21
 
 
 def _unescape(m: re.Match) -> str:
@@ -163,15 +165,28 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return owner[:n][whole], flat[whole], shape[whole], plain[whole]
 
 
-def _rows(ids: pd.Series, texts: pd.Series, passes=None) -> pd.DataFrame:
+def _slices(texts: pd.Series) -> Iterator[slice]:
+    """Consecutive texts of about ``BATCH_CHARS`` together."""
+    begin = held = 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= BATCH_CHARS:
+            yield slice(begin, k + 1)
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+def _rows(ids: pd.Series, texts: pd.Series, passes=None) -> Iterator[pd.DataFrame]:
     """``id, key, words`` of the windows of texts, for both templates; each once per text."""
-    owner, flat, shape, plain = windows(list(texts))
-    owner, key, plain = np.concatenate((owner, owner)), np.concatenate((flat, shape)), np.concatenate((plain, plain))
-    keep = key != 0
-    if passes is not None:
-        keep &= passes(key)
-    rows = pd.DataFrame({"id": ids.to_numpy()[owner[keep]], "key": key[keep].view(np.int64), "words": plain[keep].view(np.int64)})
-    return rows.drop_duplicates()
+    for part in _slices(texts):
+        owner, flat, shape, plain = windows(list(texts.iloc[part]))
+        owner, key, plain = np.concatenate((owner, owner)), np.concatenate((flat, shape)), np.concatenate((plain, plain))
+        keep = key != 0
+        if passes is not None:
+            keep &= passes(key)
+        rows = pd.DataFrame({"id": ids.iloc[part].to_numpy()[owner[keep]], "key": key[keep].view(np.int64), "words": plain[keep].view(np.int64)})
+        yield rows.drop_duplicates()
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -180,7 +195,8 @@ def item_windows(items: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield _rows(pdf["item_id"], pdf["text"]).rename(columns={"id": "item_id"})
+            for rows in _rows(pdf["item_id"], pdf["text"]):
+                yield rows.rename(columns={"id": "item_id"})
 
     return texts.mapInPandas(read, "item_id long, key long, words long").distinct()
 
@@ -220,7 +236,8 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
             return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
         for pdf in batches:
-            yield _rows(pdf["doc_id"], pdf["text"], passes).rename(columns={"id": "doc_id"})
+            for rows in _rows(pdf["doc_id"], pdf["text"], passes):
+                yield rows.rename(columns={"id": "doc_id"})
 
     source = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     met = spread(source, "doc_id").mapInPandas(scan, "doc_id long, key long, words long")

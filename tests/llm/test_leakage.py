@@ -97,6 +97,7 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
     whole = found(spark, texts, items)
     monkeypatch.setattr(leakage, "LEAST_BITS", 1 << 15)
     monkeypatch.setattr(leakage, "BITMAP_BITS", 1 << 15)
+    monkeypatch.setattr(leakage, "BATCH_CHARS", 100)
     assert found(spark, texts, items) == whole and len(whole) >= 12
 
 
