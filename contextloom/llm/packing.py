@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -211,28 +211,28 @@ def item_sizes(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", tokens.alias("tokens")).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
-def _ranked(rows: DataFrame, key: str, weight: str, counts: DataFrame) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``weight`` over the rows before it among those of its ``key``, by group of salt, then doc_id.
+def _salt(n) -> Column:
+    """The group of a row among the ``n`` of its kind: one group per ``GROUP_ITEMS``."""
+    return F.pmod(F.xxhash64("doc_id"), F.ceil(n / GROUP_ITEMS)).cast("int").alias("salt")
 
-    ``counts`` has ``key`` and ``n``, its rows (at most ``LENGTHS`` + 1, so it is broadcast); a key has one salt per ``GROUP_ITEMS`` of them.
-    """
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP_ITEMS)).cast("int").alias("salt")
-    salted = rows.join(F.broadcast(counts.select(key, "n")), key).select(*rows.columns, salt)
-    groups = salted.groupBy(key, "salt").agg(F.sum(weight).alias("w"))
-    offsets = groups.select(key, "salt", (F.sum("w").over(W.partitionBy(key).orderBy("salt")) - F.col("w")).alias("offset"))
-    within = F.sum(weight).over(W.partitionBy(key, "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col(weight)
-    return salted.withColumn("within", within).join(offsets, [key, "salt"]).select(*rows.columns, (F.col("offset") + F.col("within")).alias("before"))
+
+def _ranked(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` (with ``salt``) with ``before``: the sum of ``weight`` over the rows before it among those of its ``keys``, by salt, then doc_id."""
+    groups = rows.groupBy(*keys, "salt").agg(F.sum(weight).alias("w"))
+    offsets = groups.select(*keys, "salt", (F.sum("w").over(W.partitionBy(*keys).orderBy("salt")) - F.col("w")).alias("offset"))  # one row a group
+    within = F.sum(weight).over(W.partitionBy(*keys, "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col(weight)
+    return rows.withColumn("within", within).join(offsets, [*keys, "salt"]).select(*rows.columns, (F.col("offset") + F.col("within")).alias("before"))
 
 
 def _fill(sizes: DataFrame, name: str, capacity: int, separator: int) -> DataFrame:
     whole = F.floor(F.col("tokens") / F.lit(capacity)).cast("long")
-    parts = sizes.select("doc_id", F.lit(0).alias("all"), whole.alias("n_full"), (F.col("tokens") - whole * capacity).alias("rest"), "tokens")
+    parts = sizes.select("doc_id", whole.alias("n_full"), (F.col("tokens") - whole * capacity).alias("rest"), "tokens")
     # full parts: one container each, numbered by a running sum over their texts
-    full = parts.where("n_full > 0").select("doc_id", "all", "n_full")
-    totals = full.groupBy("all").agg(F.count(F.lit(1)).alias("n"), F.sum("n_full").alias("parts"))
-    n_full = (totals.first() or {"parts": 0})["parts"]
+    full = parts.where("n_full > 0").select("doc_id", "n_full")
+    totals = full.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_full"), F.lit(0)).alias("parts")).first()
+    n_full = int(totals["parts"])
     columns = [F.lit(name).alias("container"), "bin", "doc_id", F.col("part_no").cast("int").alias("part_no"), F.col("tokens").cast("long").alias("tokens")]
-    alone = _ranked(full, "all", "n_full", totals).select("doc_id", "before", F.explode(F.sequence(F.lit(1), F.col("n_full").cast("int"))).alias("part_no"))
+    alone = _ranked(full.withColumn("salt", _salt(F.lit(max(1, int(totals["n"]))))), [], "n_full").select("doc_id", "before", F.explode(F.sequence(F.lit(1), F.col("n_full").cast("int"))).alias("part_no"))
     alone = alone.select("doc_id", "part_no", (F.col("before") + F.col("part_no") - 1).alias("bin"), F.lit(capacity).alias("tokens")).select(*columns)
     # the rest of each text, and texts that fit
     step = -(-(capacity + separator) // LENGTHS)
@@ -241,7 +241,8 @@ def _fill(sizes: DataFrame, name: str, capacity: int, separator: int) -> DataFra
     counts = rests.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {int(r.length): int(r.n) for r in counts.collect()}  # at most LENGTHS + 1 rows
     places = Places(plan_containers(histogram, (capacity + separator) // step))
-    ranked = _ranked(rests, "length", "one", counts)
+    salted = rests.join(F.broadcast(counts), "length").select(*rests.columns, _salt(F.col("n")))  # at most LENGTHS + 1 rows
+    ranked = _ranked(salted, ["length"], "one")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
