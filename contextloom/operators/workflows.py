@@ -155,6 +155,14 @@ def workspace_document(repos: DataFrame, name: str = "", description: str = "")
     return one.select(whole.alias("document")).withColumn("tokens", tokens_ceil(F.octet_length("document")))
 
 
+def stale_states(snapshots: DataFrame, days: int = 7) -> DataFrame:
+    """``repo, n_states, n_stale``: stored states of each repository, and those more than ``days`` older than the newest of all; a state without a readable time is none."""
+    states = snapshots.where(F.col("snapshot_id").isNotNull()).select("snapshot_id", "repo", F.try_to_timestamp("generated_at").alias("at")).where("at IS NOT NULL").distinct()
+    newest = states.agg(F.max("at").cast("string").alias("newest")).first()["newest"]
+    late = F.col("at") < F.lit(newest).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    return states.groupBy("repo").agg(F.countDistinct("snapshot_id").alias("n_states"), F.countDistinct(F.when(late, F.col("snapshot_id"))).alias("n_stale"))
+
+
 def snapshot_listing(snapshots: DataFrame) -> DataFrame:
     """``repo, profile_name, n_snapshots, latest, head``: stored states; commit ids cut to seven characters."""
     rows = snapshots.where(F.col("snapshot_id").isNotNull()).select("snapshot_id", "repo", "profile_name", F.try_to_timestamp("generated_at").alias("at"), "git_head_sha").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from contextloom.operators import changes as ops
 from contextloom.operators.snapshots import normal_hash, normal_path, series_positions, snapshot_changes
-from contextloom.operators.workflows import snapshot_listing, workspace_document, workspace_edges
+from contextloom.operators.workflows import snapshot_listing, stale_states as stale_states_of, workspace_document, workspace_edges
 from contextloom.sources.tables import table
 from contextloom.storage import shared_dir
 from contextloom.streaming import changes as streaming
@@ -111,6 +111,10 @@ def cached_states(spark, sf_dir):
     return snapshot_listing(table(spark, sf_dir, "snapshots")).select("repo", "profile_name", "n_snapshots", "head")
 
 
+def stale_states(spark, sf_dir):
+    return stale_states_of(table(spark, sf_dir, "snapshots"))
+
+
 def _workspace(spark, sf_dir):
     """Repositories of a workspace: here, those whose runs name a target, each integrated with its targets and with the first repository of each."""
     runs = table(spark, sf_dir, "runs").select("repo", "target").where("target IS NOT NULL AND repo IS NOT NULL").distinct()
@@ -174,7 +178,7 @@ we AS (SELECT DISTINCT repo, 'target/' || target AS dst FROM wr UNION SELECT DIS
 
 QUERIES = {
     f.__name__: f
-    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, workspace_links, workspace_documents, streamed_changes, deliveries_by_hour)
+    for f in (p5_found, snapshot_change_counts, state_compare, git_name_status, git_changes, change_summary, change_summary_xml, cached_states, stale_states, workspace_links, workspace_documents, streamed_changes, deliveries_by_hour)
 }
 ORACLES = {
     "p5_found": P5_SQL,
@@ -199,6 +203,8 @@ ORACLES = {
         SELECT CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' WHEN x.hash IS NOT DISTINCT FROM y.hash THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n
         FROM x FULL JOIN y ON x.repo = y.repo AND x.profile_name = y.profile_name AND x.git_branch = y.git_branch AND x.path = y.path GROUP BY 1""",
 }
+ORACLES["stale_states"] = """WITH s AS (SELECT DISTINCT snapshot_id, repo, CAST(generated_at AS TIMESTAMPTZ) AS instant FROM snapshots WHERE snapshot_id IS NOT NULL)
+    SELECT repo, count(DISTINCT snapshot_id) AS n_states, count(DISTINCT CASE WHEN instant < (SELECT max(instant) FROM s) - INTERVAL 7 DAY THEN snapshot_id END) AS n_stale FROM s GROUP BY repo"""
 ORACLES["deliveries_by_hour"] = "SELECT strftime(date_trunc('hour', ingested_at), '%Y-%m-%d %H:%M:%S') AS hour, repo, count(*) AS n FROM files WHERE ingested_at IS NOT NULL GROUP BY ALL"
 ORACLES["streamed_changes"] = "SELECT 'added' AS change, count(*) AS n FROM (SELECT DISTINCT repo, path FROM files WHERE path IS NOT NULL)"
 ORACLES["change_summary_xml"] = f"""{_SUMMARY_SQL} SELECT snapshot_id, md5('<change_summary>' || chr(10) || '  <counts added="' || a || '" modified="' || m

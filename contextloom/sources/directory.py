@@ -56,3 +56,18 @@ def stored_state(spark: SparkSession, path: str) -> DataFrame:
 def save_state(state: DataFrame, folder: str) -> None:
     """Write ``profile, path, size, hash, modified_time``, replacing the profiles it holds and no others."""
     state.withColumn("profile", F.regexp_replace("profile", "[^a-zA-Z0-9_-]", "_")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile").parquet(folder)
+
+
+def clear_state(spark: SparkSession, folder: str, profile: str = "") -> bool:
+    """Delete the state of one profile, or of all; whether there was any."""
+    name = re.sub("[^a-zA-Z0-9_-]", "_", profile)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/profile={name}" if profile else folder)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def working_copy(root: str) -> dict:
+    """``branch, head, n_changed`` of a working copy; None for a folder that is none."""
+    if not (Path(root) / ".git").exists():
+        return {"branch": None, "head": None, "n_changed": None}
+    return {"branch": _git(root, "rev-parse", "--abbrev-ref", "HEAD")[0], "head": _git(root, "rev-parse", "--short", "HEAD")[0], "n_changed": len(_git(root, "status", "--porcelain"))}

@@ -107,3 +107,9 @@ def test_workspace_document(spark):
         "\n## Integrations\n\n- b → a, z\n\n## Shared Schemas\n\n- `s.proto` (b)\n"
     )
     assert workflows.workspace_document(repos.limit(0)).first().document == "# Workspace: Workspace\n\n"
+
+
+def test_stale_states(spark):
+    rows = [(1, "r", "2025-01-20T00:00:00Z"), (2, "r", "2025-01-12T23:00:00+00:00"), (2, "r", "2025-01-12T23:00:00+00:00"), (3, "s", "2025-01-13T02:00:00+01:00"), (4, "s", "no time"), (None, "s", "2025-01-01T00:00:00Z")]
+    states = spark.createDataFrame(rows, "snapshot_id long, repo string, generated_at string")
+    assert sorted(tuple(r) for r in workflows.stale_states(states).collect()) == [("r", 2, 1), ("s", 1, 0)] and workflows.stale_states(states.limit(0)).count() == 0

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import subprocess
 
-from contextloom.sources.directory import changed_lines, directory_files, save_state, stored_state, tracked_paths
+from contextloom.sources.directory import changed_lines, clear_state, directory_files, save_state, stored_state, tracked_paths, working_copy
 from contextloom.sources.tables import distinct_rows
 from contextloom.streaming.changes import counted_by_window, delivered, follow_changes
 
@@ -23,6 +23,8 @@ def test_directory_and_git(spark, tmp_path):
     assert set(rows) == {"a.txt", "sub/b.bin"} and rows["a.txt"].content == "héllo\n" and rows["sub/b.bin"].content is None and rows["sub/b.bin"].is_binary
     assert [r.path for r in tracked_paths(spark, str(root)).collect()] == ["sub/b.bin"]
     assert [r.line for r in changed_lines(spark, str(root), "HEAD~1").collect()] == ["D\ta.txt"]
+    state = working_copy(str(root))
+    assert state["n_changed"] == 1 and len(state["head"]) >= 7 and state["branch"] and working_copy(str(tmp_path)) == {"branch": None, "head": None, "n_changed": None}
 
 
 def test_state_files(spark, tmp_path):
@@ -31,6 +33,8 @@ def test_state_files(spark, tmp_path):
     for profile, path in (("p 1", "a"), ("q", "b"), ("p 1", "c")):
         save_state(spark.createDataFrame([(profile, path)], "profile string, path string"), str(tmp_path / "state"))
     assert sorted((r.profile, r.path) for r in spark.read.parquet(str(tmp_path / "state")).collect()) == [("p_1", "c"), ("q", "b")]
+    assert clear_state(spark, str(tmp_path / "state"), "p 1") and not clear_state(spark, str(tmp_path / "state"), "none")
+    assert [r.path for r in spark.read.parquet(str(tmp_path / "state")).collect()] == ["b"] and clear_state(spark, str(tmp_path / "state")) and not (tmp_path / "state").exists()
 
 
 def test_distinct_rows(spark):
